@@ -44,6 +44,8 @@ def rename_plan(
         planned = ordered.withColumn("_r", name(F.lit(start)))
     planned = planned.select("position", "full_path", F.col("_r.new_path").alias("new_path"), F.col("_r.err").alias("err"))
     if invoice and not settings.parsed().uses("n"):
+        # the names are built once, not again in each expression that reads them
+        planned = write_down(planned, "names")
         planned = invoice_numbers(planned, listing)
     planned = write_down(planned, "planned")
     real = F.col("new_path").isNotNull() & (F.col("new_path") != F.col("full_path"))
