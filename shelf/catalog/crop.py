@@ -263,7 +263,7 @@ def f11(t):
 
 @query(
     "F12_save_example",
-    with_views(*VIEWS, body="""select image_id, type, l / w as box_l, t / h as box_t, greatest(l + 1, least(w, round_even(w * 1.1 - value * 9, 0)::int)) / w as box_r,
+    with_views(*VIEWS, body="""select image_id, type, l / w as box_l, t / h as box_t, greatest(l + 1, least(w, round_even(w * 1.1::double - value * 9, 0)::int)) / w as box_r,
 greatest(t + 1, least(h, round_even(h - value / 2, 0)::int)) / h as box_b from (select *, greatest(0, least(w - 1, round_even(value * 3 - 20, 0)::int)) as l,
 greatest(0, least(h - 1, round_even(value - 40, 0)::int)) as t, case when event_type in ('click', 'view') then 'receipt' else 'other' end as type
 from images_v join (select event_id as image_id, value, event_type from events) using (image_id))"""),
