@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shelf.fixtures import Tables, query, with_views
 from shelf.functions.geometry import confidence_score
 from shelf.operators import detect, edges, raster, regions
+from shelf.session import spread
 
 ID = ("image_id",)
 WINDOW = """win as (select a.image_id, a.y, a.x, sum(b.lum) as s from pixels_v a, (select unnest(range({lo}, {hi})) as dx) dx, (select unnest(range({lo}, {hi})) as dy) dy, pixels_v b
@@ -191,7 +192,7 @@ def g9(t):
 def _rectangles(t: Tables):
     """A slightly turned rectangle in each 16 x 16 image."""
     sides = {"x0": 3.0, "x1": 12.0, "y0": 2.0, "y1": 13.0}
-    return detect.image_arrays(_tiles(t)).withColumns({k: F.lit(v) for k, v in sides.items()} | {"ang": F.lit(0.05)})
+    return spread(detect.image_arrays(_tiles(t)), "image_id").withColumns({k: F.lit(v) for k, v in sides.items()} | {"ang": F.lit(0.05)})
 
 
 @query("G10_snapped_sides")

@@ -23,13 +23,18 @@ def distance(a: Column | str, b: Column | str) -> Column:
 
 def median_hash(vector: Column | str) -> Column:
     """Bit i is set when component i lies above the median of the 64 components."""
+    def hashed(bound: Column) -> Column:
+        values, median = bound["values"], bound["median"]
+        above = F.transform(values, lambda x: F.when(x > median, F.expr("1L")).otherwise(F.expr("0L")))
+        # one bit per position; the bits are disjoint
+        return F.aggregate(
+            F.arrays_zip(above.alias("bit"), F.sequence(F.lit(0), F.lit(63)).alias("at")),
+            F.expr("0L"),
+            lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", x["bit"], x["at"])),
+        )
+
+    # values and median are bound first: a lambda computes what it names again for every element
     values = F.transform(as_column(vector), lambda x: x.cast("double"))
-    ordered = F.array_sort(values)
-    median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    above = F.transform(values, lambda x, i: F.when(x > median, F.expr("1L")).otherwise(F.expr("0L")))
-    # one bit per position; the bits are disjoint, so their sum is the hash
-    return F.aggregate(
-        F.arrays_zip(above.alias("bit"), F.sequence(F.lit(0), F.lit(63)).alias("at")),
-        F.expr("0L"),
-        lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", x["bit"], x["at"])),
-    )
+    middle = F.slice(F.array_sort(values), 32, 2)
+    median = F.aggregate(middle, F.lit(0.0), lambda acc, x: acc + x) / 2
+    return F.transform(F.array(F.struct(values.alias("values"), median.alias("median"))), hashed)[0]

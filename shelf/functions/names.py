@@ -32,8 +32,8 @@ def natural_key(text: Column | str) -> Column:
     runs = F.regexp_extract_all(F.lower(plain_digits(text)), F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def piece(run: Column) -> Column:
-        is_text = ~F.rlike(run, F.lit(r"^\d"))
-        number = F.regexp_replace(run, "^0+(?=.)", "")
+        is_text = ~((run >= "0") & (run < ":"))
+        number = F.ltrim(run, F.lit("0"))
         return F.struct(
             is_text.alias("is_text"),
             F.when(is_text, F.lit(0)).otherwise(F.length(number)).alias("digits"),

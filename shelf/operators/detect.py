@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelf.functions.geometry import confidence_score
 from shelf.operators import edges, raster
 from shelf.operators.regions import KEY, fill_holes, frame_quad, largest_region, min_area_rectangles
-from shelf.session import write_down
+from shelf.session import spread, write_down
 
 # Limits of confidence, and how near to the paper's colour a cell must be, strict first.
 CONF_OK = 0.70
@@ -54,7 +54,7 @@ def clean_regions(masks: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def score_regions(regions: DataFrame, arrays: DataFrame) -> DataFrame:
     """One row per region: its rectangle, snapped to edges, with confidence and evidence."""
-    rects = min_area_rectangles(regions).drop("gw", "gh").join(arrays, "image_id")
+    rects = spread(min_area_rectangles(regions).drop("gw", "gh"), "image_id").join(arrays, "image_id")
     snapped = write_down(edges.snap_sides(rects), "snapped")
     judged = write_down(edges.side_contrasts(snapped), "contrasts")
     judged = edges.inner_edge(judged).drop("r", "g", "b", "lum")

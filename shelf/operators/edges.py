@@ -19,7 +19,8 @@ def _numbers(values) -> Column:
 
 
 def _let(value: Column, then) -> Column:
-    """Bind a value inside an expression, so it is computed once."""
+    """Bind a value inside an expression: a lambda computes what it names again for every element,
+    so anything costly is bound before."""
     return F.transform(F.array(value), then)[0]
 
 
@@ -108,7 +109,9 @@ def snap_sides(rects: DataFrame) -> DataFrame:
         # the first and last offset have no step of their own
         shifts = F.transform(found, lambda e: (-e["at"] + 1 - F.col("_win")).cast("double"))
         snapped = snapped.withColumn("_shifts", shifts).withColumn("_median", array_quantile(F.col("_shifts"), 0.5))
-        agree = array_quantile(F.transform("_shifts", lambda d: F.abs(d - F.col("_median"))), 0.75)
+        agree = _let(
+            F.col("_median"), lambda m: array_quantile(F.transform("_shifts", lambda d: F.abs(d - m)), 0.75)
+        )
         move = (F.size("_shifts") >= 12.5) & (agree <= F.greatest(F.lit(2.0), F.col("_win") * 0.3))
         snapped = snapped.withColumn(side, F.col(side) + F.when(move, F.col("_median")).otherwise(0.0))
     kept = (F.col("x1") - F.col("x0") >= 4) & (F.col("y1") - F.col("y0") >= 4)
@@ -135,57 +138,71 @@ def side_contrasts(rects: DataFrame) -> DataFrame:
     """Add contrasts (sides inside the photo), touching (number of the others) and purity.
 
     A strip just inside a side is compared with one just outside; of each strip only the brighter
-    half counts, which leaves print out. The four inner strips of a sheet have one colour.
+    half counts, which leaves print out. The four inner strips of a sheet have one colour. Sides are
+    looked at as rows and brought together again without the image.
     """
-    depth = F.col("_depth")
-    rects = rects.withColumn("_depth", F.greatest(F.lit(3.0), F.least("gw", "gh") * 0.012))
-    for side in SIDES:
-        spans = _span(side, _linspace(0.15, 0.85, 25))
-
-        def strip(sign: float, side=side, spans=spans) -> Column:
-            def line(share: float) -> Column:
-                at = F.col(side) + (sign + share) * depth
-
-                def cell(along: Column) -> Column:
-                    px, py = _on_side(side, at, along)
-                    beyond = (px < 0) | (px > F.col("gw") - 1) | (py < 0) | (py > F.col("gh") - 1)
-                    return F.struct(
-                        *[sample(F.col(c), px, py).alias(c) for c in ("r", "g", "b", "lum")], beyond.alias("beyond")
-                    )
-
-                return F.transform(spans, cell)
-
-            return F.array(*[line(share) for share in (-0.5, 0.0, 0.5)])
-
-        inward = _INWARD[side]
-        rects = rects.withColumn("_in", strip(inward)).withColumn("_out", strip(-inward))
-        beyond = F.array_max(F.transform(
-            F.concat("_in", "_out"), lambda line: F.size(F.filter(line, lambda c: c["beyond"])) / F.lit(25.0)
-        ))
-        rects = rects.withColumn(f"_edge_{side}", (beyond > 0.3) | near_border(side, depth))
-        for strip_name in ("_in", "_out"):
-            cells = F.flatten(F.col(strip_name))
-            level = array_quantile(F.transform(cells, lambda c: c["lum"]), 0.5)
-            rects = rects.withColumn("_cells", cells).withColumn("_level", level)
-            bright = F.filter("_cells", lambda c: c["lum"] >= F.col("_level"))
-            rects = rects.withColumn("_bright", bright).withColumn(
-                f"{strip_name}_{side}",
-                F.struct(*[
-                    (F.aggregate("_bright", F.lit(0.0), _add(c)) / F.size("_bright")).alias(c) for c in "rgb"
-                ]),
-            )
-    gaps = {
-        side: F.greatest(*[F.abs(F.col(f"_in_{side}.{c}") - F.col(f"_out_{side}.{c}")) for c in "rgb"]) for side in SIDES
-    }
-    contrasts = F.array_compact(F.array(*[F.when(~F.col(f"_edge_{s}"), gaps[s]) for s in SIDES]))
-    touching = sum((F.col(f"_edge_{s}").cast("int") for s in SIDES[1:]), F.col(f"_edge_{SIDES[0]}").cast("int"))
-    inside = {c: [F.col(f"_in_{s}.{c}") for s in SIDES] for c in "rgb"}
-    spread = F.greatest(*[F.greatest(*inside[c]) - F.least(*inside[c]) for c in "rgb"])
-    purity = F.least(F.greatest(1.0 - (spread - 12.0) / 30.0, F.lit(0.0)), F.lit(1.0))
-    scratch = ["_in", "_out", "_cells", "_level", "_bright"] + [f"{k}_{s}" for k in ("_edge", "_in", "_out") for s in SIDES]
-    return rects.withColumn("contrasts", contrasts).withColumn("touching", touching).withColumn("purity", purity).drop(
-        *scratch, "_depth"
+    key = [c for c in ("image_id", "mask", "rank") if c in rects.columns]
+    depth = F.greatest(F.lit(3.0), F.least("gw", "gh") * 0.012)
+    sides = F.array(*[
+        F.struct(
+            F.lit(i).alias("side"), F.lit(side in ("x0", "x1")).alias("upright"), F.col(side).alias("at"),
+            *[c.alias(n) for c, n in zip(_span_ends(side), ("low", "high"))],
+            F.lit(_INWARD[side]).alias("inward"), near_border(side, depth).alias("near"),
+        )
+        for i, side in enumerate(SIDES)
+    ])
+    rows = rects.select(
+        *key, "gw", "gh", "r", "g", "b", "lum", F.cos("ang").alias("c"), F.sin("ang").alias("s"),
+        depth.alias("depth"), F.inline(sides),
     )
+    shares = [i / 24 * 0.7 + 0.15 for i in range(25)]
+
+    def strip(sign: int) -> Column:
+        """Cells of three lines along the side, inside (1) or outside (-1) of it."""
+        places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t")) for d in (0.5, 1.0, 1.5) for t in shares])
+
+        def cell(place: Column) -> Column:
+            across = F.col("at") + F.col("inward") * F.col("depth") * sign * place["d"]
+            along = F.col("low") + place["t"] * (F.col("high") - F.col("low"))
+            fx = F.when(F.col("upright"), across).otherwise(along)
+            fy = F.when(F.col("upright"), along).otherwise(across)
+            return F.struct(place["d"].alias("d"), (fx * F.col("c") - fy * F.col("s")).alias("x"), (fx * F.col("s") + fy * F.col("c")).alias("y"))
+
+        return F.transform(places, cell)
+
+    def looked_up(p: Column) -> Column:
+        beyond = (p["x"] < 0) | (p["x"] > F.col("gw") - 1) | (p["y"] < 0) | (p["y"] > F.col("gh") - 1)
+        return F.struct(p["d"], beyond.alias("beyond"), *[sample(F.col(k), p["x"], p["y"]).alias(k) for k in ("r", "g", "b", "lum")])
+
+    def summary(cells: Column) -> Column:
+        lines = [F.size(F.filter(cells, _beyond_on(d))) / F.lit(25.0) for d in (0.5, 1.0, 1.5)]
+        level = array_quantile(F.transform(cells, lambda c: c["lum"]), 0.5)
+        bright = _let(level, lambda bound: F.filter(cells, lambda c: c["lum"] >= bound))
+        mean = _let(bright, lambda part: F.struct(*[
+            (F.aggregate(part, F.lit(0.0), _add(c)) / F.size(part)).alias(c) for c in "rgb"
+        ]))
+        return F.struct(F.greatest(*lines).alias("beyond"), mean.alias("mean"))
+
+    rows = rows.select(
+        *key, "side", "near",
+        _let(F.transform(strip(1), looked_up), summary).alias("inner"),
+        _let(F.transform(strip(-1), looked_up), summary).alias("outer"),
+    )
+    on_edge = (F.greatest("inner.beyond", "outer.beyond") > 0.3) | F.col("near")
+    gap = F.greatest(*[F.abs(F.col(f"inner.mean.{c}") - F.col(f"outer.mean.{c}")) for c in "rgb"])
+    apart = F.greatest(*[F.max(f"inner.mean.{c}") - F.min(f"inner.mean.{c}") for c in "rgb"])
+    judged = rows.withColumn("on_edge", on_edge).groupBy(*key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(~F.col("on_edge"), F.struct("side", gap.alias("gap"))))), lambda e: e["gap"]
+        ).alias("contrasts"),
+        F.count_if("on_edge").alias("touching"),
+        F.least(F.greatest(1.0 - (apart - 12.0) / 30.0, F.lit(0.0)), F.lit(1.0)).alias("purity"),
+    )
+    return rects.join(judged, key)
+
+
+def _beyond_on(d: float):
+    return lambda c: c["beyond"] & (c["d"] == d)
 
 
 def _add(channel: str):
@@ -213,7 +230,7 @@ def inner_edge(rects: DataFrame) -> DataFrame:
         count = F.greatest(F.ceil((0.65 * length - first) / 2.0).cast("int"), F.lit(0))
         places = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: first + (i - 1) * 2.0)
 
-        def cover(tilt: Column, place: Column, side=side, middle=middle, spans=spans) -> Column:
+        def cover(tilt: Column, place: Column, along: Column, side=side, middle=middle) -> Column:
             def weak(sp: Column) -> Column:
                 at = F.col(side) + _INWARD[side] * place + (sp - middle) * tilt
                 one = sample(F.col("lum"), *_on_side(side, at - 2.0, sp))
@@ -221,12 +238,12 @@ def inner_edge(rects: DataFrame) -> DataFrame:
                 step = F.abs(two - one)
                 return (step > 4.0) & (step < 45.0)
 
-            return F.size(F.filter(spans, weak)) / F.lit(40.0)
+            return F.size(F.filter(along, weak)) / F.lit(40.0)
 
-        best = F.array_max(F.flatten(F.transform(tilts, _over(places, cover))))
+        best = _let(spans, lambda along: F.array_max(F.flatten(F.transform(tilts, _over(places, along, cover)))))
         any_inner = any_inner | (near_border(side, depth) & (count > 0) & (best > 0.88))
     return rects.withColumn("inner", any_inner)
 
 
-def _over(places: Column, cover):
-    return lambda tilt: F.transform(places, lambda place: cover(tilt, place))
+def _over(places: Column, along: Column, cover):
+    return lambda tilt: F.transform(places, lambda place: cover(tilt, place, along))

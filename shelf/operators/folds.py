@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelf.session import write_down
 
-# Rows of one block: ids are unique, so a block of this many ids holds no more rows.
-BLOCK_IDS = 4096
+# Rows of one block: ids are unique, so a block of this many ids holds no more rows. Walking a block
+# copies its earlier results, so small blocks and one more level are cheaper than large blocks.
+BLOCK_IDS = 256
 
 # Parameter defaults and the range feedback may move them in.
 DEFAULTS = {

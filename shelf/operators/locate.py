@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelf.functions.geometry import box, iou
 from shelf.operators import raster
 from shelf.operators.numbering import row_numbers
-from shelf.session import write_down
+from shelf.session import spread, write_down
 
 # Fixed values of the model.
 MIN_PHOTOS = 3
@@ -122,7 +122,7 @@ def best_rectangles(scores: DataFrame, column: str = "score") -> DataFrame:
     )
     rows = rows.select("image_id", "y", totals.alias("totals"))
     pairs = (
-        rows.select("image_id", "y", "totals", F.explode(F.sequence(F.lit(0), F.size("totals") - 2)).alias("l"))
+        spread(rows, "image_id").select("image_id", "y", "totals", F.explode(F.sequence(F.lit(0), F.size("totals") - 2)).alias("l"))
         .select("image_id", "y", "totals", "l", F.explode(F.sequence(F.col("l") + 1, F.size("totals") - 1)).alias("r"))
         .select("image_id", "l", "r", "y", (F.get("totals", F.col("r")) - F.get("totals", F.col("l"))).alias("s"))
     )

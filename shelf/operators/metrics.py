@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelf.operators.crop import CONF_OK
 from shelf.operators.quantiles import exact_medians
+from shelf.session import spread
 
 # Grades of the shared area.
 GOOD, FAIR, RIGHT = 0.93, 0.85, 0.90
@@ -27,7 +28,7 @@ def quad_iou(pairs: DataFrame, scale: float = 0.25, key: str = "case_id") -> Dat
     centres at ``scale``; 0 when both are empty."""
     cols, rows = (F.greatest(F.lit(1), (F.col(c) * scale).cast("int")) for c in ("w", "h"))
     points = (
-        pairs.select(key, "a", "b", rows.alias("rows"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("cx"))
+        spread(pairs, key).select(key, "a", "b", rows.alias("rows"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("cx"))
         .select(key, "a", "b", "cx", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("cy"))
         .withColumn("px", (F.col("cx") + 0.5) / scale)
         .withColumn("py", (F.col("cy") + 0.5) / scale)

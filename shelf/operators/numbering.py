@@ -8,6 +8,8 @@ from shelf.session import write_down
 
 # A task may hold at most this many rows of one group; larger groups take the split path.
 GROUP_ROWS = 1_000_000
+# A numbering of the whole table has a single group; beyond this it pays to sort in parallel.
+TABLE_ROWS = 50_000
 
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
@@ -31,7 +33,8 @@ def row_numbers(
     the position is the distance from the group's first row in that global order. A caller that
     knows the size of the ``largest`` group saves the count.
     """
-    group_rows = GROUP_ROWS if group_rows is None else group_rows
+    if group_rows is None:
+        group_rows = GROUP_ROWS if by else TABLE_ROWS
     largest = largest_group(df, by) if largest is None else largest
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     if largest <= group_rows:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelf.operators.graph import connected_components
-from shelf.session import write_down
+from shelf.session import spread, write_down
 
 KEY = ("image_id", "mask", "rank")
 _ROW = 1 << 20  # larger than any grid side
@@ -81,7 +79,7 @@ def min_area_rectangles(regions: DataFrame, by: tuple[str, ...] = KEY) -> DataFr
     xr = F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn)
     yr = -F.col("x") * F.sin(turn) + F.col("y") * F.cos(turn)
     frames = (
-        corners.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(180))))
+        spread(corners, *by).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(180))))
         .groupBy(*by, "step")
         .agg(F.min(xr).alias("x0"), F.max(xr).alias("x1"), F.min(yr).alias("y0"), F.max(yr).alias("y1"))
     )

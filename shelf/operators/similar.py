@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelf.functions.bits import distance
 from shelf.operators.graph import connected_components
 from shelf.operators.numbering import first_per, row_numbers
-from shelf.session import write_down
+from shelf.session import spread, write_down
 
 # A band value shared by more hashes than this is looked up together with a second band.
 HOT_HASHES = 20_000
@@ -81,6 +81,7 @@ def similar_pairs(hashes: DataFrame, threshold: int, bands: int | None = None, h
     hashes share a band value, the key is extended by a second band under the same argument.
     """
     hot = HOT_HASHES if hot is None else hot
+    hashes = spread(write_down(hashes.select("h"), "hashes"), "h")
     n = hashes.count()
     cuts = _cut(bands or choose_bands(n, threshold))
     m = len(cuts)

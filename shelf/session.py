@@ -55,3 +55,14 @@ def write_down(df: DataFrame, label: str = "step") -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Spread few rows that each cause much work (an explode, a search) over all tasks.
+
+    Small inputs arrive in one or two partitions, and adaptive coalescing judges by bytes, not by the
+    work that follows; a stated number of partitions is left alone.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
