@@ -169,10 +169,11 @@ def complete_link(hashes: DataFrame, pairs: DataFrame, threshold: int, largest:
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("first", kind="stable")
         h = group["h"].to_numpy(np.int64)
+        bits = h.view(np.uint64)  # bit counts of signed numbers are those of their absolute values
         cluster = np.zeros(len(h), np.int64)
         opened: list[int] = []
         for i in range(len(h)):
-            far = np.bitwise_count(h[:i] ^ h[i]) > threshold
+            far = np.bitwise_count(bits[:i] ^ bits[i]) > threshold
             closed = np.zeros(len(opened) + 1, bool)
             closed[cluster[:i][far]] = True
             cluster[i] = int(np.argmin(closed))
