@@ -72,12 +72,12 @@ def page_manifest(index: DataFrame) -> DataFrame:
     rows = _book_folders(index)
     products = rows.select(F.lower(book_name("folder_name")).alias("_product")).distinct()
     ext = F.lower(P.extension("filename"))
+    printable = rows.withColumn("is_pdf", ext == ".pdf").filter(F.col("is_pdf") | ext.isin(*P.IMAGE_TYPES))
+    # only PDFs can be products; images take no part in the join
+    own = printable.filter("is_pdf").withColumn("_product", F.lower("filename"))
     pages = (
-        rows.withColumn("is_pdf", ext == ".pdf")
-        .filter(F.col("is_pdf") | ext.isin(*P.IMAGE_TYPES))
-        .withColumn("_product", F.when(F.col("is_pdf"), F.lower("filename")))
-        .join(products, "_product", "left_anti")
-        .drop("_product")
+        own.join(products, "_product", "left_anti").drop("_product")
+        .unionByName(printable.filter("not is_pdf"))
         .withColumn("natural", natural_key("filename"))
     )
     return row_numbers(pages, ["folder_name"], ["natural", "id"], "page_no")

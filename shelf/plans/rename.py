@@ -49,11 +49,12 @@ def rename_plan(
         planned = invoice_numbers(planned, listing)
     planned = write_down(planned, "planned")
     real = F.col("new_path").isNotNull() & (F.col("new_path") != F.col("full_path"))
-    first = planned.filter(real).groupBy("new_path").agg(F.min("position").alias("_first"))
-    there = listing.select(F.col("full_path").alias("new_path"), F.lit(True).alias("_there")).distinct()
+    first = planned.filter(real).groupBy(F.col("new_path").alias("_wanted")).agg(F.min("position").alias("_first"))
+    there = listing.select(F.col("full_path").alias("_wanted"), F.lit(True).alias("_there")).distinct()
     return (
-        planned.join(first, "new_path", "left")
-        .join(there, "new_path", "left")
+        planned.withColumn("_wanted", _wanted())
+        .join(first, "_wanted", "left")
+        .join(there, "_wanted", "left")
         .select(
             "position", "full_path", "new_path", "err",
             ((F.coalesce(F.col("new_path") == F.col("full_path"), F.lit(False)))
@@ -63,6 +64,12 @@ def rename_plan(
     )
 
 
+def _wanted() -> Column:
+    """Join key of the new name. Rows without one use their own path, so that they do not all meet in
+    one task under null; what they find there is not used."""
+    return F.coalesce("new_path", "full_path")
+
+
 def _with_counter(ordered: DataFrame, name, start: int) -> DataFrame:
     """Add ``_counter``, the number a row gets.
 
@@ -146,7 +153,9 @@ def invoice_numbers(planned: DataFrame, listing: DataFrame) -> DataFrame:
     keeps = F.lower(F.regexp_extract(own, numbered, 1)) == F.lower(base)
     rows = planned.withColumn(
         "_case", F.when(~real, "none").when(same_name, "same").when(keeps & F.rlike(own, F.lit(numbered)), "keep").otherwise("number")
-    ).withColumn("_key", F.lower(base)).withColumn("_folder", folder)
+    ).withColumn("_folder", folder)
+    # only rows to be numbered look for a name; the others are spread by a key no name can have
+    rows = rows.withColumn("_key", F.when(F.col("_case") == "number", F.lower(base)).otherwise(F.col("full_path")))
     wanted = rows.filter("_case = 'number'").select("_folder", "_key").distinct()
     stem = P.stem(P.basename("full_path"))
     highest = (
@@ -242,15 +251,16 @@ def single_plans(
     (full_path, other, distance) unless the name is in error."""
     listing = files if listing is None else listing
     planned = files.withColumn("_r", renamed(settings, "full_path", F.lit(start)))
-    there = listing.select(F.col("full_path").alias("new_path"), F.lit(True).alias("_there")).distinct()
+    there = listing.select(F.col("full_path").alias("_wanted"), F.lit(True).alias("_there")).distinct()
     return (
         planned.select("full_path", F.col("_r.new_path").alias("new_path"), F.col("_r.err").alias("err"))
-        .join(there, "new_path", "left")
+        .withColumn("_wanted", _wanted())
+        .join(there, "_wanted", "left")
         .join(duplicates.select("full_path", "other", "distance"), "full_path", "left")
         .select(
             "full_path", "new_path", "err",
             (F.col("new_path").isNull() & F.col("err").isNull()).alias("same"),
-            F.coalesce("_there", F.lit(False)).alias("conflict"),
+            F.coalesce(F.col("_there") & F.col("new_path").isNotNull(), F.lit(False)).alias("conflict"),
             F.when(F.col("err").isNull(), F.col("other")).alias("dup_path"),
             F.when(F.col("err").isNull(), F.col("distance")).alias("dup_distance"),
         )
