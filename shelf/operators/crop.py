@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelf.functions import geometry as G
 from shelf.functions import paths as P
@@ -47,27 +47,44 @@ def taught_priors(examples: DataFrame, shapes: DataFrame) -> DataFrame:
     """(w, h, box, n, spread, strong, type) for each distinct photo size that examples exist for.
 
     Examples count when they have the same orientation and an aspect ratio within 3 %. They are
-    summed per size first, so the join pairs sizes, not photos; it meets on steps of the log ratio
-    and their neighbours.
+    summed per ratio first. A size then needs the sums over a stretch of ratios: ratios are cut into
+    steps as wide as the tolerance, so the size's own step counts in full, of the step below the
+    upper end and of the step above the lower end. Those ends are running sums inside a step, read
+    off by sorting sizes and examples together; no size is paired with single examples.
     """
     usable = examples.filter("low_quality = 0")
+    names = [f"{k}_{s}" for k in "sq" for s in SIDES]
     sums = [F.sum(f"box_{s}").alias(f"s_{s}") for s in SIDES] + [
         F.sum(F.col(f"box_{s}") * F.col(f"box_{s}")).alias(f"q_{s}") for s in SIDES
     ]
-    by_type = usable.groupBy("img_w", "img_h", "type").agg(F.count("*").alias("n"), *sums)
 
-    def step(w: str, h: str) -> Column:
-        return F.floor(F.log(F.col(w) / F.col(h)) / SHAPE_TOLERANCE)
+    def placed(w: str, h: str) -> list[Column]:
+        ratio = F.log(F.col(w) / F.col(h))
+        return [(F.col(w) >= F.col(h)).alias("wide"), ratio.alias("ratio"), F.floor(ratio / SHAPE_TOLERANCE).alias("step")]
 
-    taught = by_type.withColumn("step", step("img_w", "img_h"))
-    wanted = shapes.select("w", "h").distinct().withColumn(
-        "step", F.explode(F.array(*[step("w", "h") + d for d in (-1, 0, 1)]))
+    taught = usable.select("*", *placed("img_w", "img_h")).groupBy("wide", "step", "ratio", "type").agg(
+        F.count("*").alias("n"), *sums
     )
-    near = wanted.join(taught, "step").filter(
-        ((F.col("w") >= F.col("h")) == (F.col("img_w") >= F.col("img_h")))
-        & (F.abs(F.log((F.col("w") / F.col("h")) / (F.col("img_w") / F.col("img_h")))) < SHAPE_TOLERANCE)
+    taught = write_down(taught, "taught")
+    values = ["n", *names]
+    steps = taught.groupBy("wide", "step", "type").agg(*[F.sum(c).alias(f"all_{c}") for c in values])
+    sizes = shapes.select("w", "h").distinct().select("w", "h", *placed("w", "h"))
+    # (which step, where in it, whether equal ratios come before): the part up to there is read off
+    asked = sizes.select("w", "h", "wide", F.inline(F.array(
+        F.struct(F.lit("own").alias("part"), F.col("step").alias("step"), F.col("ratio").alias("at"), F.lit(1).alias("turn")),
+        F.struct(F.lit("below"), F.col("step") - 1, F.col("ratio") - SHAPE_TOLERANCE, F.lit(1)),
+        F.struct(F.lit("above"), F.col("step") + 1, F.col("ratio") + SHAPE_TOLERANCE, F.lit(-1)),
+    ))).join(steps.select("wide", "step", "type"), ["wide", "step"])
+    line = taught.select("wide", "step", "type", F.col("ratio").alias("at"), F.lit(0).alias("turn"), *values).unionByName(
+        asked, allowMissingColumns=True
     )
-    names = [f"{k}_{s}" for k in "sq" for s in SIDES]
+    upto = Window.partitionBy("wide", "step", "type").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    read = line.withColumns({c: F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in values}).filter("part is not null")
+    read = read.join(steps, ["wide", "step", "type"])
+    share = lambda c: (
+        F.when(F.col("part") == "own", F.col(f"all_{c}")).when(F.col("part") == "below", F.col(f"all_{c}") - F.col(c)).otherwise(F.col(c))
+    )
+    near = read.select("w", "h", "type", *[share(c).alias(c) for c in values]).filter("n > 0")
     per_type = near.groupBy("w", "h", "type").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
     total = per_type.groupBy("w", "h").agg(
         F.sum("n").alias("n"),
