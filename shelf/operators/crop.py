@@ -70,10 +70,14 @@ def taught_priors(examples: DataFrame, shapes: DataFrame) -> DataFrame:
     steps = taught.groupBy("wide", "step", "type").agg(*[F.sum(c).alias(f"all_{c}") for c in values])
     sizes = shapes.select("w", "h").distinct().select("w", "h", *placed("w", "h"))
     # (which step, where in it, whether equal ratios come before): the part up to there is read off
+    def part(name: str, shift: int, turn: int) -> Column:
+        at = F.col("ratio") + shift * SHAPE_TOLERANCE
+        return F.struct(
+            F.lit(name).alias("part"), (F.col("step") + shift).alias("step"), at.alias("at"), F.lit(turn).alias("turn")
+        )
+
     asked = sizes.select("w", "h", "wide", F.inline(F.array(
-        F.struct(F.lit("own").alias("part"), F.col("step").alias("step"), F.col("ratio").alias("at"), F.lit(1).alias("turn")),
-        F.struct(F.lit("below"), F.col("step") - 1, F.col("ratio") - SHAPE_TOLERANCE, F.lit(1)),
-        F.struct(F.lit("above"), F.col("step") + 1, F.col("ratio") + SHAPE_TOLERANCE, F.lit(-1)),
+        part("own", 0, 1), part("below", -1, 1), part("above", 1, -1)
     ))).join(steps.select("wide", "step", "type"), ["wide", "step"])
     line = taught.select("wide", "step", "type", F.col("ratio").alias("at"), F.lit(0).alias("turn"), *values).unionByName(
         asked, allowMissingColumns=True
