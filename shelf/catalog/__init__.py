@@ -4,7 +4,7 @@ import importlib
 
 from shelf.fixtures import ORACLES, QUERIES
 
-for _module in ("files", "names", "similar", "logs", "crop", "raster", "locate"):
+for _module in ("files", "names", "similar", "logs", "crop", "raster", "locate", "streams"):
     try:
         importlib.import_module(f"shelf.catalog.{_module}")
     except ModuleNotFoundError as missing:
