@@ -78,7 +78,7 @@ def a3(t):
 def _hash_tables(t):
     """Files with their time in seconds; a cache of the older ones, some of it outdated or gone."""
     files = L.distinct_paths(t.files()).select(
-        "full_path", F.unix_seconds(F.col("mtime").cast("timestamp")).cast("double").alias("mtime"), "length"
+        "full_path", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', mtime)").cast("double").alias("mtime"), "length"
     )
     old = files.filter("length < 250000")
     cache = old.select(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shelf.operators.graph import connected_components
 from shelf.session import spread, write_down
 
 KEY = ("image_id", "mask", "rank")
@@ -15,8 +16,9 @@ def label_regions(masks: DataFrame, by: tuple[str, ...] = KEY, column: str = "on
     """Add ``region`` to the set cells: 4-connected regions, named by their first cell in reading
     order (y * 2^20 + x).
 
-    Cells in a row first merge into runs, so the graph has one node per run and an edge where runs
-    of neighbouring rows overlap; all images are labelled in one go.
+    Cells in a row first merge into runs, so the graph of an image has one node per run and an edge
+    where runs of neighbouring rows overlap. A grid bounds that graph, so each image's runs are
+    joined up in one task, in a single shuffle for all images.
     """
     by = list(by)
     row = Window.partitionBy(*by, "y").orderBy("x")
@@ -28,14 +30,39 @@ def label_regions(masks: DataFrame, by: tuple[str, ...] = KEY, column: str = "on
     runs = cells.groupBy(*by, "y", F.col("_run").alias("run")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     above = runs.select(*by, (F.col("y") + 1).alias("y"), F.col("run").alias("a"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     touching = runs.join(above, by + ["y"]).filter("x0 <= a1 and a0 <= x1")
-    found = connected_components(touching, "run", "a", tuple(by))
+    schema = T.StructType([masks.schema[c] for c in by] + [T.StructField("_run", T.LongType()), T.StructField("component", T.LongType())])
+    found = touching.select(*by, "run", "a").groupBy(*by).applyInPandas(_join_runs(by), schema)
     return (
-        cells.join(found.withColumnRenamed("node", "_run"), by + ["_run"], "left")
+        cells.join(found, by + ["_run"], "left")
         .withColumn("region", F.coalesce("component", "_run"))
         .drop("_x0", "_run", "component")
     )
 
 
+def _join_runs(by: list[str]):
+    """Component (its smallest run) of every run of one image, by lowering labels along edges."""
+
+    def join(edges: pd.DataFrame) -> pd.DataFrame:
+        runs, ends = np.unique(edges[["run", "a"]].to_numpy(), return_inverse=True)
+        one, two = ends.reshape(-1, 2).T
+        label = np.arange(len(runs))
+        while True:
+            low = np.minimum(label[one], label[two])
+            lower = label.copy()
+            for end in (label[one], label[two], one, two):
+                np.minimum.at(lower, end, low)
+            lower = lower[lower]
+            if (lower == label).all():
+                break
+            label = lower
+        found = pd.DataFrame({"_run": runs, "component": runs[label]})
+        for i, name in enumerate(by):
+            found.insert(i, name, edges[name].iloc[0])
+        return found
+
+    return join
+
+
 def touching_border(regions: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
     """(``by``…, region) of regions with a cell on the outermost line; needs gw and gh columns."""
     edge = "x = 0 or y = 0 or x = gw - 1 or y = gh - 1"
