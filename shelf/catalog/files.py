@@ -12,8 +12,11 @@ from shelf.plans import months as M
 from shelf.sources import listing as L
 
 ROOT = "/lake"
-# the third path part is one of three top folders; each is the root of its own tree
-TOP = F.regexp_extract("full_path", r"^(/[^/]*/[^/]*)", 1)
+
+
+# the second path part is one of three top folders; each is the root of its own tree
+def top_folder():
+    return F.regexp_extract("full_path", r"^(/[^/]*/[^/]*)", 1)
 
 
 def _index(t: Tables):
@@ -192,7 +195,7 @@ def b1(t):
 
 @query("B2_month_moves", with_views("files_v", ctes=MOVES, body="select source, dest_dir from moves"))
 def b2(t):
-    return M.month_moves(L.distinct_paths(t.files()), TOP).select("source", "dest_dir")
+    return M.month_moves(L.distinct_paths(t.files()), top_folder()).select("source", "dest_dir")
 
 
 @query(
@@ -201,7 +204,7 @@ def b2(t):
 from dated where d between 1 and 31 and m between 1 and 12 and full_path not like '%/.cache/%' and full_path not like '%/export_output/%'"""),
 )
 def b2_day(t):
-    return M.month_moves(L.distinct_paths(t.files()), TOP, by_day=True).select("source", "dest_dir")
+    return M.month_moves(L.distinct_paths(t.files()), top_folder(), by_day=True).select("source", "dest_dir")
 
 
 FREE = rf"""parts as (select source, dest_dir, regexp_extract(filename, '^(.*?)(\.[^.]*)?$', 1) as stem, regexp_extract(filename, '(\.[^.]*)$', 1) as ext from moves),
@@ -219,7 +222,7 @@ dest as (select a.source, a.dest_dir, f.path as destination, a.stem || a.ext as
 )
 def b3(t):
     files = L.distinct_paths(t.files())
-    return M.month_destinations(M.month_moves(files, TOP), files).select("source", "destination")
+    return M.month_destinations(M.month_moves(files, top_folder()), files).select("source", "destination")
 
 
 @query(
@@ -228,7 +231,7 @@ def b3(t):
 )
 def b4(t):
     files = L.distinct_paths(t.files())
-    moves = M.month_moves(files, TOP)
+    moves = M.month_moves(files, top_folder())
     return free_destinations(moves, files, ["source"], first_slot=1).select("source", "destination")
 
 
@@ -302,7 +305,7 @@ count(*) filter (destination <> dest_dir || '/' || filename) as renamed from des
 )
 def b8b(t):
     files = L.distinct_paths(t.files())
-    return M.month_report(M.month_destinations(M.month_moves(files, TOP), files))
+    return M.month_report(M.month_destinations(M.month_moves(files, top_folder()), files))
 
 
 @query(
@@ -312,5 +315,5 @@ from (select * from files_v qualify row_number() over (partition by full_path or
 )
 def b9(t):
     files = L.distinct_paths(t.files())
-    moves = M.month_destinations(M.month_moves(files, TOP), files)
+    moves = M.month_destinations(M.month_moves(files, top_folder()), files)
     return I.apply_moves(files, moves).select("id", "full_path")
