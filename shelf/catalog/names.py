@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelf.catalog.files import DIR, EXT, NATURAL
+from shelf.catalog.files import DIR, NATURAL
 from shelf.catalog.similar import NAT, PAIRS, _images, CLOSE
 from shelf.fixtures import Tables, query, with_views
 from shelf.functions import metadata as meta

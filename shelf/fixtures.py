@@ -154,8 +154,7 @@ def with_views(*names: str, ctes: str = "", body: str) -> str:
     if "examples_v" in needed and "images_v" not in needed:
         needed.insert(0, "images_v")
     parts = [f"{n} as ({DUCK_VIEWS[n]})" for n in needed]
-    recursive = "recursive " if "union all" in ctes.lower() and "/*recursive*/" in ctes else ""
-    text = "with " + recursive + ",\n".join(parts)
+    text = "with " + ",\n".join(parts)
     if ctes.strip():
         text += (",\n" if parts else "") + ctes.strip()
     return text + "\n" + body

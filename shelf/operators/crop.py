@@ -275,7 +275,7 @@ def crop_log(results: DataFrame, listing: DataFrame, root: str, out_root: str, r
     placed = free_destinations(pending.withColumn("filename", P.basename("full_path")), listing, ["full_path"])
     return placed.select(
         F.lit(run_id).alias("run_id"), F.lit("crop").alias("op"), F.col("full_path").alias("source"),
-        "destination", detail_json(placed).alias("detail"), F.lit("pending").alias("status"),
+        "destination", detail_json().alias("detail"), F.lit("pending").alias("status"),
     )
 
 
@@ -290,7 +290,7 @@ def _rounded(quad: Column) -> Column:
     return F.transform(quad, lambda p: F.array(F.bround(p["x"], 1), F.bround(p["y"], 1)))
 
 
-def detail_json(plans: DataFrame | None = None) -> Column:
+def detail_json() -> Column:
     """The plan as JSON text for the operation log; absent parts are written as null."""
     b = F.col("box")
     size = F.col("out_size")
