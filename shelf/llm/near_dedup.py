@@ -19,9 +19,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-BLOCK = 1000
+BLOCK = 500
 SALT_ROWS = 256
-BEST = 4
 #: Equal coordinates that a pair must have to be verified: five standard deviations below what 0.75 gives.
 LEAST_EQUAL = int(COORDINATES * 0.75 - 5 * (COORDINATES * 0.75 * 0.25) ** 0.5)
 _WORD = (~tb.WHITE).astype(np.uint8)
@@ -121,10 +120,11 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return counted.withColumn("r", best).filter("r = 1").select("a", "b")
 
 
-def likely_pairs(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, equal): pairs of a bucket that lie in different components, differ in size by no more than the threshold
-    allows, and agree in at least LEAST_EQUAL coordinates. Buckets with the same members count once. A large bucket is
-    split into blocks, and each two blocks meet in a task of their own, so no task or row holds a whole bucket."""
+def open_blocks(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, i, j, own, rep, component): what is left to compare. Buckets whose sets lie in different components are
+    split into blocks, and each two blocks i <= j meet in a task of their own, so no task holds a whole bucket. A set
+    stays in the task if another there, of a different component and of a fitting size, agrees with it in at least
+    LEAST_EQUAL coordinates. Buckets with the same members count once."""
     placed = buckets.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     kinds = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.min("rep").alias("first"),
@@ -138,21 +138,54 @@ def likely_pairs(buckets: DataFrame, components: DataFrame, sets: DataFrame) ->
     rows = rows.join(sets.select("rep", "n_shingles", "sketch"), "rep")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group["own"] == group["i"].iloc[0]]
-        right = group[group["own"] == group["j"].iloc[0]]
-        out = []
-        if len(left) and len(right):
-            p, q = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), COORDINATES) for x in (left, right))
-            pc, qc, pi, qi, pn, qn = (x[c].to_numpy() for c in ("component", "rep", "n_shingles") for x in (left, right))
-            for k in range(len(left)):
-                equal = (q == p[k]).sum(1)
-                fits = np.minimum(qn, pn[k]) * DENOMINATOR >= np.maximum(qn, pn[k]) * NUMERATOR
-                some = np.flatnonzero(fits & (equal >= LEAST_EQUAL) & (qc != pc[k]))
-                out.append(pd.DataFrame({"a": np.minimum(qi[some], pi[k]), "b": np.maximum(qi[some], pi[k]), "equal": equal[some]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "equal": []}).astype("int64")
-
-    pairs = rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, equal long")
-    return pairs.groupBy("a", "b").agg(F.max("equal").alias("equal"))
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), COORDINATES)
+        component, n, own = (group[c].to_numpy() for c in ("component", "n_shingles", "own"))
+        across = group["i"].iloc[0] != group["j"].iloc[0]
+        needed = np.zeros(len(group), bool)
+        for k in range(len(group) - 1):
+            fits = np.minimum(n[k + 1 :], n[k]) * DENOMINATOR >= np.maximum(n[k + 1 :], n[k]) * NUMERATOR
+            other = k + 1 + np.flatnonzero(fits & (component[k + 1 :] != component[k]) & ((own[k + 1 :] != own[k]) | (not across)))
+            other = other[(sketch[other] == sketch[k]).sum(1) >= LEAST_EQUAL]
+            if len(other):
+                needed[other] = needed[k] = True
+        return group.loc[needed, ["key", "i", "j", "own", "rep", "component"]]
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "key long, i int, j int, own int, rep long, component long")
+
+
+def block_links(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a, b): links between the sets of each two blocks, on whole shingle sets. Links within a component, and those
+    that earlier links of the task imply, are left out, so a task gives fewer rows than it takes."""
+    texts = perhaps_in(docs.select(F.col("doc_id").alias("rep"), "text"), blocks, "rep")
+    rows = texts.join(blocks, "rep")
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("rep").sort_values("rep")
+        sets = [x for chunk in tb.chunks(pa.array(group["text"], pa.string())) for x in shingle_sets(chunk)]
+        size = np.array([len(x) for x in sets])
+        rep, own, component = (group[c].to_numpy() for c in ("rep", "own", "component"))
+        across = group["i"].iloc[0] != group["j"].iloc[0]
+        number, where = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(size) - size
+        there = np.zeros(len(number), np.int32)
+        label = np.unique(component, return_inverse=True)[1]
+        a, b = [], []
+        for k in range(len(rep) - 1):
+            fits = np.minimum(size[k + 1 :], size[k]) * DENOMINATOR >= np.maximum(size[k + 1 :], size[k]) * NUMERATOR
+            other = k + 1 + np.flatnonzero(fits & (label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) | (not across)))
+            if not len(other):
+                continue
+            mine = where[first[k] : first[k] + size[k]]
+            there[mine] = 1
+            both = np.array([there[where[first[x] : first[x] + size[x]]].sum() for x in other.tolist()])
+            there[mine] = 0
+            for x in other[DENOMINATOR * both >= NUMERATOR * (size[other] + size[k] - both)].tolist():
+                if label[x] != label[k]:
+                    label[label == label[x]] = label[k]
+                    a.append(rep[k]), b.append(rep[x])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(link, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -192,9 +225,8 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text's set are its distinct shingles of five
     words, or all its words as one shingle if they are fewer. Documents with equal sets are one class. Classes that
-    share a band of their sketches are candidates: first each with one partner, then, among those still in different
-    components, each with its BEST likeliest partners, then all that are left; every link is confirmed on full sets.
-    Components are those of the links of at least 0.75. A pair at exactly 0.75 is missed with a chance of 5 in a
+    share a band of their sketches are candidates: first each with one partner, then all that are still in different
+    components and agree in enough coordinates; every link is confirmed on full sets. Components are those of the links of at least 0.75. A pair at exactly 0.75 is missed with a chance of 5 in a
     million, a more similar one less often.
 
     Null, empty and blank texts have no shingles and stay alone, and so do rows without doc_id (null component).
@@ -208,21 +240,10 @@ def near_components(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"), "sets",
     )
     buckets = shared_buckets(sets)
-    tried = write_down(star_pairs(buckets), "tried")
-    links = write_down(verified(docs, tried), "links")
-    for limit in (BEST, None):
-        components = write_down(connected_components(links), "components")
-        pairs = write_down(likely_pairs(buckets, components, sets), "likely").join(tried, ["a", "b"], "left_anti")
-        if limit:
-            ends = pairs.select("*", F.explode(F.array("a", "b")).alias("end"))
-            best = F.row_number().over(W.partitionBy("end").orderBy(F.desc("equal"), "a", "b"))
-            pairs = ends.withColumn("r", best).filter(F.col("r") <= limit).select("a", "b").distinct()
-        pairs = write_down(pairs.select("a", "b"), "tried")
-        if pairs.isEmpty():
-            break
-        links = write_down(links.unionByName(verified(docs, pairs)), "links")
-        tried = tried.unionByName(pairs)
-        components = write_down(connected_components(links), "components")
+    links = write_down(verified(docs, star_pairs(buckets)), "links")
+    blocks = write_down(open_blocks(buckets, connected_components(links), sets), "blocks")
+    links = write_down(links.unionByName(block_links(docs, blocks)), "links")
+    components = connected_components(links)
     named = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = write_down(named.select("set_id", "members", F.coalesce("component", "rep").alias("component_id")), "named")
     named = join_groups(filled.select("doc_id", "n_shingles", "set_id"), named, "set_id", "members", signed.count())
