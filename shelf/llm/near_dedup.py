@@ -122,18 +122,27 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
 
 def open_blocks(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
     """(key, i, j, own, rep, component): what is left to compare. Buckets whose sets lie in different components are
-    split into blocks, and each two blocks i <= j meet in a task of their own, so no task holds a whole bucket. A set
-    stays in the task if another there, of a different component and of a fitting size, agrees with it in at least
-    LEAST_EQUAL coordinates. Buckets with the same members count once."""
+    split into blocks, those of the largest component apart from the rest, and each two blocks i <= j meet in a task of
+    their own, but never two of the largest component. So no task holds a whole bucket, and a large component only meets
+    the few sets outside it. A set stays in the task if another there, of a different component and of a fitting size,
+    agrees with it in at least LEAST_EQUAL coordinates. Buckets with the same members count once."""
     placed = buckets.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    kinds = placed.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.min("rep").alias("first"),
-        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sign"),
-    ).filter("low <> high")
-    kinds = kinds.groupBy("m", "first", "sign").agg(F.min("key").alias("key")).select("key", "m")
+    parts = placed.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.min("rep").alias("first"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sign")
+    )
+    kinds = parts.groupBy("key").agg(
+        F.sum("n").alias("m"), F.min("first").alias("first"), F.sum("sign").alias("sign"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")
+    ).filter("parts > 1")
+    kinds = kinds.groupBy("m", "first", "sign").agg(F.min("key").alias("key"), F.min("main").alias("main"))
+    kinds = kinds.select(
+        "key", "m", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"),
+        F.ceil((F.col("m") - F.col("main.n")) / BLOCK).cast("int").alias("rests"),
+    )
     rows = join_groups(placed.select("key", "rep", "component"), write_down(kinds, "kinds"), "key", "m", buckets.count())
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    major, h = F.col("component") == F.col("main"), F.xxhash64("rep")
+    own = F.when(major, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("rests"))).cast("int")
+    others = F.sequence(F.when(major, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rests") - 1)
+    rows = rows.select("key", "rep", "component", own.alias("own"), F.explode(others).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
     rows = rows.join(sets.select("rep", "n_shingles", "sketch"), "rep")
 
@@ -226,8 +235,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text's set are its distinct shingles of five
     words, or all its words as one shingle if they are fewer. Documents with equal sets are one class. Classes that
     share a band of their sketches are candidates: first each with one partner, then all that are still in different
-    components and agree in enough coordinates; every link is confirmed on full sets. Components are those of the links of at least 0.75. A pair at exactly 0.75 is missed with a chance of 5 in a
-    million, a more similar one less often.
+    components and agree in enough coordinates; every link is confirmed on full sets. Components are those of the
+    links of at least 0.75. A pair at exactly 0.75 is missed with a chance of 5 in a million, a more similar one less.
 
     Null, empty and blank texts have no shingles and stay alone, and so do rows without doc_id (null component).
     Rows that repeat a doc_id are one document for links; keep such ids unique. Other columns are not read.
