@@ -90,26 +90,43 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int, budget
     """The best alignment of the whole item with a part of ``text`` on diagonals ``low`` to ``high`` (text place
     minus item place): edits, start and end in the text. None beyond ``budget`` edits."""
     n, width = len(text), high - low + 1
+    padded = np.full(len(item) + width, 256, np.int16)  # no byte matches outside the text
+    a, b = max(0, low), min(n, low + len(item) + width - 1)
+    padded[a - low : max(a, b) - low] = text[a : max(a, b)]
+    differs = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(item)] != item[:, None].astype(np.int16)
     steps = np.arange(width)
     start = steps + low
     cost = np.where((start < 0) | (start > n), _FAR, 0)
+    inner = low >= 0 and high + len(item) <= n
+    drop, lost = np.full(width, _FAR), np.zeros(width, np.int64)
     for i in range(len(item)):
-        at = i + low + steps
-        inside = (at >= 0) & (at < n)
-        swap = cost + np.where(inside, text[np.clip(at, 0, n - 1)] != item[i], _FAR)
-        drop = np.append(cost[1:] + 1, _FAR)  # the item's byte is missing in the text
-        best, origin = np.where(drop < swap, drop, swap), np.where(drop < swap, np.append(start[1:], 0), start)
-        slack = best - steps  # further bytes of the text cost one each
+        swap = cost + differs[i]
+        drop[:-1] = cost[1:] + 1  # the item's byte is missing in the text
+        lost[:-1] = start[1:]
+        fewer = drop < swap
+        slack = np.where(fewer, drop, swap) - steps  # further bytes of the text cost one each
         reach = np.minimum.accumulate(slack)
         source = np.maximum.accumulate(np.where(slack == reach, steps, 0))
-        cost, start = reach + steps, origin[source]
-        cost[(at + 1 < 0) | (at + 1 > n)] = _FAR
+        cost, start = reach + steps, np.where(fewer, lost, start)[source]
+        if not inner:
+            end = i + 1 + low + steps
+            cost[(end < 0) | (end > n)] = _FAR
+        if cost.min() > budget:
+            return None
     k = int(np.argmin(cost))
-    if cost[k] > budget:
-        return None
     return int(cost[k]), int(start[k]), len(item) + low + k
 
 
+def _enough(diagonal: np.ndarray, place: np.ndarray, budget: int, need: int) -> bool:
+    """Whether some budget + 1 neighbouring diagonals share ``need`` q-grams of different places of the item."""
+    if len(np.unique(place)) < need:
+        return False
+    order = np.argsort(diagonal, kind="stable")
+    d, p = diagonal[order], place[order]
+    to = np.searchsorted(d, d + budget, "right")
+    return any(len(np.unique(p[i : to[i]])) >= need for i in np.flatnonzero(to - np.arange(len(d)) >= need).tolist())
+
+
 def leaks_in_chunk(chunk: tb.Chunk, index: ItemIndex) -> dict[int, list[tuple[int, int, int, int]]]:
     """For each text of a chunk with leaks: (item number, start, end, edits), places in the text's own bytes."""
     data, bounds, where = plain(chunk.data, chunk.bounds)
@@ -134,7 +151,10 @@ def leaks_in_chunk(chunk: tb.Chunk, index: ItemIndex) -> dict[int, list[tuple[in
     step = index.budget[item] + 1
     band = diagonal // step + _OFFSET
     key = (text.astype(np.int64) * len(index.ids) + item) * (1 << 32) + band
-    cells, count = np.unique(key, return_counts=True)
+    order = np.argsort(key, kind="stable")
+    key, diagonal, place = key[order], diagonal[order], index.place[rank][order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    cells, count = key[head], np.diff(np.append(head, len(key)))
     both = count.copy()
     joined = np.flatnonzero(np.diff(cells) == 1)
     both[joined] += count[joined + 1]
@@ -147,6 +167,9 @@ def leaks_in_chunk(chunk: tb.Chunk, index: ItemIndex) -> dict[int, list[tuple[in
         own, wanted = data[bounds[t] : bounds[t + 1]], index.text(i)
         if tried.get((t, i), -(1 << 40)) > d:  # inside the last match
             continue
+        near = slice(head[c], head[c] + both[c])
+        if not _enough(diagonal[near], place[near], k, int(index.need[i])):
+            continue
         a = max(0, d - k)
         region = own[a : d + 2 * (k + 1) + len(wanted) + k]
         exact = region.tobytes().find(wanted.tobytes())
