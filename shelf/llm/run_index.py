@@ -109,10 +109,10 @@ class RunIndex:
             shifted[:-length] = rank[length:]
             key = rank.astype(np.uint64) * np.uint64(n + 1) + shifted.astype(np.uint64)
             length *= 2
-        before = text[order - 1]  # the transform
+        before = text[order - 1].astype(np.int16)  # the transform; nothing stands before the first place
+        before[order == 0] = 256
         head = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.run_start, self.run_byte, self.n = head, before[head], n
-        head = np.union1d(head, np.flatnonzero(order == 0))
         place, previous = order[head], order[np.maximum(head, 1) - 1]
         shared = np.zeros(len(head), np.int64)
         for step, r in reversed(ranks):
