@@ -105,9 +105,9 @@ class RunIndex:
             ranks.append((length, rank))
             if rank[order[-1]] == n or length >= n:
                 break
-            shifted = np.zeros(n, np.int64)
+            shifted = np.full(n, n + 1)  # past the end sorts last, as an end mark does
             shifted[:-length] = rank[length:]
-            key = rank.astype(np.uint64) * np.uint64(n + 1) + shifted.astype(np.uint64)
+            key = rank.astype(np.uint64) * np.uint64(n + 2) + shifted.astype(np.uint64)
             length *= 2
         before = text[order - 1].astype(np.int16)  # the transform; nothing stands before the first place
         before[order == 0] = 256
