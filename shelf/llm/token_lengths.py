@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from shelf.session import write_down
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's own tokenizer splits a text before it merges bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -53,7 +55,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     every document is cut to it), docs_share (share of documents at or below it). Sums run within blocks of
     ``BLOCK`` lengths first, so that only one row per block meets in one task. Empty for an empty histogram.
     """
-    h = histogram.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
+    h = write_down(histogram, "histogram").withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     above = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     everything = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
