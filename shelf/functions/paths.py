@@ -22,6 +22,11 @@ def as_text(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
+def as_root(value: Column | str) -> Column:
+    """A root folder without the slashes at its end; ``/`` itself becomes the empty text."""
+    return F.lit(value.rstrip("/")) if isinstance(value, str) else F.regexp_replace(value, "/+$", "")
+
+
 def dirname(path: Column | str) -> Column:
     return F.regexp_extract(as_column(path), r"^(.*)/[^/]*$", 1)
 
@@ -50,7 +55,7 @@ def _is_output_or_hidden(segment: Column, output_folders) -> Column:
 
 def relative_to(path: Column | str, root: Column | str) -> Column:
     """Path below ``root``; a path elsewhere stays as it is."""
-    path, root = as_column(path), as_text(root)
+    path, root = as_column(path), as_root(root)
     return F.when(
         path.startswith(F.concat(root, F.lit("/"))),
         F.substring(path, F.length(root) + 2, F.length(path)),
@@ -72,9 +77,14 @@ def skipped_folder(folder: Column | str, output_folders=OUTPUT_FOLDERS) -> Colum
     return _is_output_or_hidden(as_column(folder), output_folders)
 
 
+_STORE = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)?"
+
+
 def in_scope(path: Column | str, root: Column | str) -> Column:
-    """True when the path, with ``.`` and ``..`` resolved, lies below ``root``."""
-    segments = F.filter(F.split(as_column(path), "/"), lambda s: (s != "") & (s != "."))
+    """True when the path, with ``.`` and ``..`` resolved, lies below ``root``. Scheme and authority of a path in
+    another store (``s3a://bucket``) belong to it; slashes at the end of ``root`` do not matter."""
+    path = as_column(path)
+    segments = F.filter(F.split(F.regexp_replace(path, _STORE, ""), "/"), lambda s: (s != "") & (s != "."))
     # an empty array literal of strings starts the walk; `..` drops the last part kept so far
     kept = F.aggregate(
         segments,
@@ -83,8 +93,8 @@ def in_scope(path: Column | str, root: Column | str) -> Column:
             s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.concat(F.lit("/"), F.array_join(kept, "/")).startswith(
-        F.concat(as_text(root), F.lit("/"))
+    return F.concat(F.regexp_extract(path, _STORE, 0), F.lit("/"), F.array_join(kept, "/")).startswith(
+        F.concat(as_root(root), F.lit("/"))
     )
 
 
@@ -113,11 +123,11 @@ def plain_digits(text: Column | str) -> Column:
 
 
 def path_from_uri(uri: Column | str) -> Column:
-    """Plain path from the encoded URI that the image reader reports."""
-    plain = F.regexp_replace(as_column(uri), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
-    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+    """Path from the encoded URI that the image reader reports; only the scheme of local files is left out."""
+    return F.url_decode(F.replace(path_from_scheme(uri), F.lit("+"), F.lit("%2B")))
 
 
 def path_from_scheme(path: Column | str) -> Column:
-    """Plain path from the decoded ``scheme:/path`` that the file reader reports."""
-    return F.regexp_replace(as_column(path), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    """Path from the decoded ``scheme:/path`` that the file reader reports. Files of other stores keep scheme and
+    authority, so that equal paths in two buckets stay apart."""
+    return F.regexp_replace(as_column(path), r"^[fF][iI][lL][eE]:(//[^/]*)?(?=/)", "")

@@ -112,7 +112,7 @@ def _levels(events: DataFrame, by: list[str], order: str, effect: Effect) -> lis
     levels = []
     while True:
         rows = (
-            rows.groupBy(*by, F.floor(F.col("at") / BLOCK_IDS).alias("block"))
+            rows.groupBy(*by, F.expr(f"(at - pmod(at, {BLOCK_IDS})) div {BLOCK_IDS}").alias("block"))
             .agg(F.sort_array(F.collect_list(F.struct("at", "effect"))).alias("members"))
             .withColumn("effect", F.aggregate("members", effect.identity, lambda f, m: effect.then(f, m["effect"])))
             .withColumnRenamed("block", "at")
@@ -136,7 +136,8 @@ def combined(events: DataFrame, by: list[str], effect: Effect, order: str = "id"
 
 
 def running(events: DataFrame, by: list[str], start: Column, effect: Effect, order: str = "id") -> DataFrame:
-    """(``by``…, ``order``, before, after) for every event: totals upwards, then starts downwards."""
+    """(``by``…, ``order``, before, after) for every event: totals upwards, then starts downwards. Events with equal
+    ``order`` each have a row; they follow each other in the order of their effects."""
     levels = _levels(events, by, order, effect)
     starts = levels[-1].select(*by, "at", start.alias("start"))
     for depth in range(len(levels) - 1, -1, -1):
@@ -150,9 +151,8 @@ def running(events: DataFrame, by: list[str], start: Column, effect: Effect, ord
                 F.array(F.struct(m["at"].alias("at"), last.alias("before"), effect.on(m["effect"], last).alias("after"))),
             )
 
-        walked = blocks.select(
-            *by, F.explode(F.slice(F.aggregate("members", F.array(step), advance), 2, BLOCK_IDS)).alias("s")
-        )
+        walked = blocks.select(*by, F.aggregate("members", F.array(step), advance).alias("w"))
+        walked = walked.select(*by, F.explode(F.slice("w", F.lit(2), F.size("w") - 1)).alias("s"))
         if depth == 0:
             return walked.select(*by, F.col("s.at").alias(order), "s.before", "s.after")
         starts = walked.select(*by, "s.at", F.col("s.before").alias("start"))

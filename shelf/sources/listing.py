@@ -35,7 +35,7 @@ def index_scan(listing: DataFrame, root: Column | str, output_folders=P.OUTPUT_F
         .withColumn("extension", F.lower(P.extension("filename")))
         .filter(F.col("extension").isin(*P.INDEX_TYPES))
         .filter(~P.skipped_folder("folder_name", output_folders))
-        .filter(folder != P.as_text(root))
+        .filter(folder != P.as_root(root))
     )
 
 
@@ -52,7 +52,7 @@ def image_scan(
     )
     if recursive:
         return found.filter(~P.pruned("full_path", root, output_folders))
-    return found.filter(P.dirname("full_path") == P.as_text(root))
+    return found.filter(P.dirname("full_path") == P.as_root(root))
 
 
 def rename_listing(listing: DataFrame, folder: Column | str, subfolders: bool) -> DataFrame:
@@ -62,7 +62,7 @@ def rename_listing(listing: DataFrame, folder: Column | str, subfolders: bool) -
         P.in_scope("full_path", folder) & F.lower(P.extension(name)).isin(*P.RENAME_TYPES)
     )
     if not subfolders:
-        found = found.filter(P.dirname("full_path") == P.as_text(folder))
+        found = found.filter(P.dirname("full_path") == P.as_root(folder))
     found = found.withColumn("natural", natural_key(name))
     return row_numbers(found, [], ["natural", "full_path"], "position")
 

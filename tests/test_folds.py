@@ -57,3 +57,10 @@ def test_pointers(spark):
     assert got == {i: True for i in range(60)} | {100: False, 101: False}
     nodes = spark.createDataFrame([(i, i + 2 if i < 40 else None) for i in range(42)], "id bigint, next bigint")
     assert sorted(r.id for r in reachable(nodes, 3).collect()) == list(range(3, 42, 2))
+
+
+def test_repeated_ids_keep_every_row(spark):
+    df = spark.createDataFrame([(7, "p", "crop_too_tight", 0)] * 300 + [(2**53 + 1, "p", "reset", 0)], "id bigint, profile string, kind string, spread int")
+    rows = folds.running(df, ["profile"], F.lit(1.0), folds.margin_effect()).collect()
+    assert len(rows) == 301 and sorted(r.after for r in rows if r.id == 7)[-1] == 8.0
+    assert [(r.before, r.after) for r in rows if r.id == 2**53 + 1] == [(8.0, 1.0)]
