@@ -204,7 +204,9 @@ def commit_plan(plan: DataFrame, listing: DataFrame, keep_both: bool = False) ->
 
     Rows without a usable new name are skipped, and so is a row whose source is gone. A name is
     free when no file has it, or when the file that had it was renamed by an earlier row; the first
-    such row gets it. Others are skipped, or with ``keep_both`` get the next free numbered name.
+    such row gets it. Others are skipped, or with ``keep_both`` get the next free numbered name: then
+    every row leaves its old name. Numbered names avoid all names there before the commit and those
+    that its rows asked for and got.
     """
     usable = plan.filter("err is null and not same and new_path is not null")
     there = listing.select("full_path").distinct()
@@ -219,13 +221,16 @@ def commit_plan(plan: DataFrame, listing: DataFrame, keep_both: bool = False) ->
     asked = write_down(asked.join(first, "new_path", "left").withColumn(
         "_could", F.col("_could") & (F.col("position") == F.col("_first"))
     ), "asked")
-    nodes = asked.select(
-        F.col("position").alias("id"),
-        F.when(F.col("_could") & F.col("_held"), F.col("_leaves")).alias("next"),
-        F.when(~F.col("_could"), False).when(F.col("_held").isNull(), True).alias("value"),
-    )
-    settled = asked.join(resolve(nodes).select(F.col("id").alias("position"), F.col("value").alias("_free")), "position")
-    settled = write_down(settled, "settled")
+    if keep_both:
+        settled = asked.withColumn("_free", F.col("_could"))
+    else:
+        nodes = asked.select(
+            F.col("position").alias("id"),
+            F.when(F.col("_could") & F.col("_held"), F.col("_leaves")).alias("next"),
+            F.when(~F.col("_could"), False).when(F.col("_held").isNull(), True).alias("value"),
+        )
+        settled = asked.join(resolve(nodes).select(F.col("id").alias("position"), F.col("value").alias("_free")), "position")
+        settled = write_down(settled, "settled")
     done = settled.filter("_free").select("position", "full_path", F.col("new_path").alias("destination"))
     late = settled.filter("not _free").select("position", "full_path", "new_path")
     if keep_both:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelf.functions.templates import Rename
+from shelf.functions.templates import Rename, TemplateError, format_counter, parse_template, target_extension
 from shelf.plans.rename import commit_plan, rename_plan
 
 NOON = datetime.datetime(2026, 10, 2)
@@ -65,3 +65,54 @@ def test_commit_frees_names_in_order(spark):
     assert got == {1: "/f/z", 2: "/f/a", 3: "/f/b", 4: None, 5: "/f/y", 6: None}
     both = {r.position: r.destination for r in commit_plan(plan, listing, keep_both=True).collect()}
     assert both[4] == "/f/e (1)" and both[6] == "/f/z (1)"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_commit_keep_both_in_order(spark, seed):
+    """Chains and swaps: names are given one row after the other, each row leaving its old name."""
+    rng = random.Random(seed)
+    names = [f"/f/{c}" for c in "abcdefghijkl"]
+    there = rng.sample(names, 8)
+    movers = rng.sample(there, 7)
+    rows = [(k + 1, p, rng.choice([n for n in names if n != p])) for k, p in enumerate(movers)]
+    now, want = set(there), {}
+    for k, old, new in rows:
+        slot = 0
+        while (f"{new} ({slot})" if slot else new) in now:
+            slot += 1
+        want[k] = f"{new} ({slot})" if slot else new
+        now = now - {old} | {want[k]}
+    plan = spark.createDataFrame([(*r, None, False) for r in rows], "position int, full_path string, new_path string, err string, same boolean")
+    listing = spark.createDataFrame([(p,) for p in there], "full_path string")
+    assert {r.position: r.destination for r in commit_plan(plan, listing, keep_both=True).collect()} == want
+
+
+def test_commit_keep_both_frees_the_name_of_a_row_that_lost(spark):
+    rows = [(1, "/f/x", "/f/y"), (2, "/f/z", "/f/x")]
+    plan = spark.createDataFrame([(*r, None, False) for r in rows], "position int, full_path string, new_path string, err string, same boolean")
+    listing = spark.createDataFrame([("/f/x",), ("/f/y",), ("/f/z",)], "full_path string")
+    got = {r.position: r.destination for r in commit_plan(plan, listing, keep_both=True).collect()}
+    assert got == {1: "/f/y (1)", 2: "/f/x"}
+
+
+def test_templates():
+    parts = {
+        "xx-{n:03}": [("typed", ""), ("text", "-"), ("n", "03")], "axx": [("text", "axx")], "{XX}a": [("typed", ""), ("text", "a")],
+        "{exif_date}xx": [("exif_date", "%Y-%m-%d"), ("text", "xx")], "{exif_date:%Y.}xx": [("exif_date", "%Y."), ("typed", "")],
+        "{{orig}} {no}": [("text", "{"), ("orig", ""), ("text", "} {no}")], "": [("typed", "")],
+    }
+    for text, wanted in parts.items():
+        assert parse_template(text).parts == wanted
+    assert [target_extension(c) for c in (None, " ", "png", ".PnG ")] == [None, None, ".png", ".PnG"]
+    for wrong in (".", "..a", "a b", "é", "123456789"):
+        with pytest.raises(TemplateError):
+            target_extension(wrong)
+
+
+def test_counter_formats(spark):
+    wide = {"": "1234", "06d": "001234", "120": "1234".rjust(120), "8,": "   1,234"}
+    got = spark.range(1234, 1235).select(*[format_counter(F.col("id"), f).alias(f or "none") for f in wide]).first()
+    assert list(got) == list(wide.values())
+    for wrong in ("08,", "e", "-3", "x"):
+        with pytest.raises(TemplateError):
+            format_counter(F.col("id"), wrong)

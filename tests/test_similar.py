@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelf.operators import similar as S
 from shelf.operators.graph import connected_components
-from shelf.plans.review import next_group_number, parse_selection
+from shelf.plans.review import next_group_number, select_groups, selected_ranges
 
 MASK = (1 << 64) - 1
 
@@ -105,9 +105,12 @@ def test_components_of_a_chain(spark):
 
 
 def test_selection(spark):
-    assert parse_selection("1,3-5 2", 9) == [1, 2, 3, 4, 5] and parse_selection("A", 3) == [1, 2, 3]
-    for wrong in ("0", "5-3", "1,x", "10", " , "):
+    assert selected_ranges("1,3-5 2", 9) == [(1, 5)] and selected_ranges("9 3-5,4-7", 9) == [(3, 7), (9, 9)]
+    groups = spark.range(1, 10).withColumnRenamed("id", "group_no")
+    for text, wanted in (("1,3-5 2", [1, 2, 3, 4, 5]), ("A", list(range(1, 10))), (" all ", list(range(1, 10))), ("9, 3", [3, 9])):
+        assert sorted(r.group_no for r in select_groups(groups, text).collect()) == wanted
+    for wrong in ("0", "5-3", "1,x", "10", " , ", "3-", "-3", "1-2-3", "a,"):
         with pytest.raises(ValueError):
-            parse_selection(wrong, 9)
+            selected_ranges(wrong, 9)
     listing = spark.createDataFrame([("/r/group_02/a",), ("/r/group_11/b",), ("/r/group_x/b",), ("/r/a/group_99/b",)], "full_path string")
     assert listing.limit(1).select(next_group_number(listing, "/r")).first()[0] == 12
