@@ -1,12 +1,4 @@
 """Every registered query with its SQL counterpart."""
 
-import importlib
-
-from shelf.fixtures import ORACLES, QUERIES
-
-for _module in ("files", "names", "similar", "logs", "crop", "raster", "locate", "streams"):
-    try:
-        importlib.import_module(f"shelf.catalog.{_module}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"shelf.catalog.{_module}":
-            raise
+from shelf.catalog import crop, files, locate, logs, names, raster, similar, streams  # noqa: F401
+from shelf.fixtures import ORACLES, QUERIES  # noqa: F401

@@ -45,10 +45,10 @@ def _plans(t: Tables, offsets=True):
 
 
 def _agreeing(examples):
-    """Examples of the square photos agree closely; those of one other size stay weak."""
+    """All examples; those of square photos agree closely, so their prior is strong and the others stay weak."""
     square = F.col("img_w") == F.col("img_h")
     fixed = {"l": 0.12, "t": 0.15, "r": 0.9, "b": 0.88}
-    return examples.filter(square | (F.col("img_w") == 899)).withColumns(
+    return examples.withColumns(
         {f"box_{s}": F.when(square, F.lit(v)).otherwise(F.col(f"box_{s}")) for s, v in fixed.items()}
     )
 
@@ -70,7 +70,7 @@ OFFSETS = """offs as (select least(0.10, greatest(-0.06, median((det_l - box_l)
 
 PLAN = """agree as (select * replace (case when img_w = img_h then 0.12 else box_l end as box_l, case when img_w = img_h then 0.15 else box_t end as box_t,
   case when img_w = img_h then 0.9 else box_r end as box_r, case when img_w = img_h then 0.88 else box_b end as box_b)
-  from examples_v where img_w = img_h or img_w = 899),
+  from examples_v),
 """ + PRIOR.format(examples="agree") + ",\n" + OFFSETS + """,
 i as (select *, least(w, h) as side, det_conf is not null as found, coalesce(det_conf, 0) as c,
   det_l * w as ql, det_t * h as qt, det_r * w as qr, det_b * h as qb,

@@ -124,20 +124,25 @@ def _quads(t: Tables):
 
 
 SLANT = [(0.1, 0.2), (0.9, 0.1), (0.85, 0.9), (0.15, 0.8)]
-CROSSED = " + ".join(
-    f"case when ({a[1]} * h > py) <> ({b[1]} * h > py) and px < {a[0]} * w + (py - {a[1]} * h) * ({b[0]} * w - {a[0]} * w) / ({b[1]} * h - {a[1]} * h) then 1 else 0 end"
+CROSSED = ", ".join(
+    f"case when ({a[1]} * h::double > py) <> ({b[1]} * h::double > py) then {a[0]} * w::double + (py - {a[1]} * h::double)"
+    f" * ({b[0]} * w::double - {a[0]} * w::double) / ({b[1]} * h::double - {a[1]} * h::double) end"
     for a, b in zip(SLANT, SLANT[1:] + SLANT[:1])
 )
 
 
 @query(
     "I1_quad_iou",
-    with_views("images_v", ctes=f"""pt as (select *, (cx + 0.5::double) / 0.01::double as px, (cy + 0.5::double) / 0.01::double as py from images_v, lateral (select unnest(range(0, greatest(1, (w // 100)))) as cx), lateral (select unnest(range(0, greatest(1, (h // 100)))) as cy) where det_conf is not null),
-hit as (select image_id, px >= det_l * w and px < det_r * w and py >= det_t * h and py < det_b * h as a, ({CROSSED.replace('0.', '0.')}) % 2 = 1 as b from pt)""",
-        body="select image_id as case_id, round(count(*) filter (a and b) / count(*) filter (a or b), 9) as iou from hit group by image_id"),
+    with_views("images_v", ctes=f"""line as (select *, greatest(1, w // 4) as cols, (cy + 0.5::double) * 4 as py
+  from images_v, lateral (select unnest(range(0, greatest(1, h // 4))) as cy) where det_conf is not null),
+cut as (select image_id, cols, py >= det_t * h and py < det_b * h as inside, det_l * w as l, det_r * w as r, list_filter([{CROSSED}], lambda x: x is not null) as x from line),
+cell as (select image_id, case when inside then least(cols, greatest(0, ceil(l / 4 - 0.5))) else 0 end as al, case when inside then least(cols, greatest(0, ceil(r / 4 - 0.5))) else 0 end as ar,
+  coalesce(least(cols, greatest(0, ceil(list_min(x) / 4 - 0.5))), 0) as bl, coalesce(least(cols, greatest(0, ceil(list_max(x) / 4 - 0.5))), 0) as br from cut),
+area as (select image_id, sum(greatest(0, least(ar, br) - greatest(al, bl))) as common, sum(ar - al) + sum(br - bl) as parts from cell group by image_id)""",
+        body="select image_id as case_id, round(common / (parts - common), 9) as iou from area"),
 )
 def i1(t):
-    return metrics.quad_iou(_quads(t), 0.01).withColumn("iou", F.round("iou", 9))
+    return metrics.quad_iou(_quads(t)).withColumn("iou", F.round("iou", 9))
 
 
 def _cases(t: Tables):
@@ -188,18 +193,17 @@ def i3(t):
 
 @query(
     "A8_import_boxes",
-    with_views("images_v", "files_v", ctes="""box as (select distinct filename as name, (length(filename) * 10)::int as l from files_v where filename like 'scan%'),
+    with_views("images_v", "files_v", ctes="""box as (select distinct filename as name, (length(filename) * 10)::int as l from files_v ),
 img as (select filename as name, min(full_path) as full_path from files_v where filename not like '%.pdf' group by filename)""",
         body="""select name, 'receipt' as type, full_path, l * 2.0::double as l, 40 * 1.5::double as t, 400 * 2.0::double as r, 500 * 1.5::double as b from box join img using (name)
 union all select name, 'receipt', null, null, null, null, null from box where name not in (select name from img)"""),
 )
 def a8(t):
     files = t.files()
-    # one box file per folder, as a table of its JSON objects
-    raw = files.filter("filename like 'scan%'").groupBy("folder_name").agg(
-        F.map_from_entries(F.collect_set(F.struct(
-            F.col("filename").alias("k"), F.array((F.length("filename") * 10).cast("int"), F.lit(40), F.lit(400), F.lit(500)).alias("v")
-        ))).alias("boxes")
-    ).select(F.array(F.lit(899), F.lit(1600)).alias("image_size"), F.lit("receipt").alias("type"), "boxes")
+    # one box file per listed file, as a table of its JSON objects
+    raw = files.select(
+        F.array(F.lit(899), F.lit(1600)).alias("image_size"), F.lit("receipt").alias("type"),
+        F.create_map("filename", F.array((F.length("filename") * 10).cast("int"), F.lit(40), F.lit(400), F.lit(500))).alias("boxes"),
+    )
     images = files.filter("filename not like '%.pdf'").select("full_path", F.lit(1798).alias("w"), F.lit(2400).alias("h")).distinct()
     return boxes.import_boxes(boxes.box_rows(raw).distinct(), images).select("name", "type", "full_path", "l", "t", "r", "b")

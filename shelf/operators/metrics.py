@@ -12,33 +12,41 @@ from shelf.session import spread
 GOOD, FAIR, RIGHT = 0.93, 0.85, 0.90
 
 
-def _inside(quad: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule: the number of sides to the right of the point is odd."""
-    crossings = F.lit(0)
+def _cuts(quad: Column, y: Column, scale: float, cols: Column) -> Column:
+    """Where the sides of ``quad`` cross the line ``y``, as the first cell whose centre lies at or beyond the
+    crossing, from left to right. Inside the quad, by the even-odd rule, are the cells from the first to before the
+    second, and from the third to before the fourth."""
+    crossings = []
     for i in range(4):
         a, b = quad[i], quad[(i + 1) % 4]
-        spans = (a["y"] > y) != (b["y"] > y)
         at = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.when(b["y"] == a["y"], 1.0).otherwise(b["y"] - a["y"])
-        crossings = crossings + F.when(spans & (x < at), 1).otherwise(0)
-    return crossings % 2 == 1
+        cell = F.least(cols, F.greatest(F.lit(0), F.ceil(at * scale - 0.5).cast("int")))
+        crossings.append(F.when((a["y"] > y) != (b["y"] > y), cell))
+    return F.array_sort(F.array_compact(F.array(*crossings)))
+
+
+def _runs(cuts: Column) -> list[tuple[Column, Column]]:
+    """The (at most two) runs of cells inside, empty ones from 0 to 0."""
+    end = [F.coalesce(F.get(cuts, F.lit(i)), F.lit(0)) for i in range(4)]
+    return [(end[0], end[1]), (end[2], end[3])]
 
 
 def quad_iou(pairs: DataFrame, scale: float = 0.25, key: str = "case_id") -> DataFrame:
     """(``key``, iou) of two quads ``a`` and ``b`` in photos of w x h, counted on a grid of cell
-    centres at ``scale``; 0 when both are empty."""
+    centres at ``scale``; 0 when both are empty. A photo becomes one row per line of the grid; cells in a line are
+    counted from where the sides cross it."""
     cols, rows = (F.greatest(F.lit(1), (F.col(c) * scale).cast("int")) for c in ("w", "h"))
-    points = (
-        spread(pairs, key).select(key, "a", "b", rows.alias("rows"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("cx"))
-        .select(key, "a", "b", "cx", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("cy"))
-        .withColumn("px", (F.col("cx") + 0.5) / scale)
+    lines = (
+        spread(pairs, key).select(key, "a", "b", cols.alias("cols"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("cy"))
         .withColumn("py", (F.col("cy") + 0.5) / scale)
+        .select(key, *[_cuts(F.col(q), F.col("py"), scale, F.col("cols")).alias(q) for q in "ab"])
     )
-    hit = points.select(
-        key, *[F.coalesce(_inside(F.col(q), F.col("px"), F.col("py")), F.lit(False)).alias(q) for q in "ab"]
-    )
-    either = F.count_if(F.col("a") | F.col("b"))
-    return hit.groupBy(key).agg(
-        F.when(either > 0, F.count_if(F.col("a") & F.col("b")) / either).otherwise(0.0).alias("iou")
+    a, b = _runs(F.col("a")), _runs(F.col("b"))
+    shared = [F.greatest(F.lit(0), F.least(x[1], y[1]) - F.greatest(x[0], y[0])) for x in a for y in b]
+    both = F.sum(sum(shared[1:], shared[0]))
+    each = F.sum(sum((high - low for low, high in [*a[1:], *b]), a[0][1] - a[0][0]))
+    return lines.groupBy(key).agg(both.alias("_both"), each.alias("_each")).select(
+        key, F.when(F.col("_each") > 0, F.col("_both") / (F.col("_each") - F.col("_both"))).otherwise(0.0).alias("iou")
     )
 
 
