@@ -30,6 +30,9 @@ WARNING_LABELS = {
 }
 
 SIDES = "ltrb"
+# Photo sizes whose priors (under 200 bytes each) are broadcast, and parts of a size beyond that.
+PRIOR_ROWS = 100_000
+PRIOR_PARTS = 16
 
 
 # -- taught examples -------------------------------------------------------------------------
@@ -142,6 +145,16 @@ def save_example(drawn: DataFrame) -> DataFrame:
 # -- the plan --------------------------------------------------------------------------------
 
 
+def _with_prior(images: DataFrame, prior: DataFrame) -> DataFrame:
+    """``images`` with the prior of their size. A few sizes hold most photos: up to PRIOR_ROWS sizes are broadcast,
+    beyond that the photos of a size are split and each part meets a copy of the size's prior."""
+    if prior.count() <= PRIOR_ROWS:
+        return images.join(F.broadcast(prior), ["w", "h"], "left")
+    part = F.pmod(F.xxhash64(*images.columns), F.lit(PRIOR_PARTS))
+    copies = prior.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PRIOR_PARTS - 1)).cast("array<bigint>")))
+    return images.withColumn("_part", part).join(copies, ["w", "h", "_part"], "left").drop("_part")
+
+
 def plan_crops(
     images: DataFrame,
     priors: DataFrame,
@@ -161,9 +174,9 @@ def plan_crops(
     text = F.lit(None).cast("string")
     pred = F.col("pred_box")
     model_box = G.box(*[F.rint(pred[s] * (w if s in "lr" else h)).cast("int") for s in SIDES])
-    prior = priors.select("w", "h", F.struct("box", "strong", "type").alias("_prior"))
+    prior = write_down(priors.select("w", "h", F.struct("box", "strong", "type").alias("_prior")), "priors")
     staged = (
-        images.join(prior, ["w", "h"], "left")
+        _with_prior(images, prior)
         .withColumn("_conf", F.coalesce("det_conf", F.lit(0.0)))
         .withColumn("_bounds", G.quad_bounds(F.col("quad"), w, h))
         .withColumn("_model_box", F.when(F.col("pred_conf").isNotNull(), model_box))

@@ -10,6 +10,7 @@ from shelf.session import write_down
 GROUP_ROWS = 1_000_000
 # A numbering of the whole table has a single group; beyond this it pays to sort in parallel.
 TABLE_ROWS = 50_000
+HOT_GROUPS = 10_000
 
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
@@ -43,11 +44,16 @@ def row_numbers(
     placed = global_position(df, [F.col(c) for c in by] + order, "_position")
     if not by:
         return placed.withColumnRenamed("_position", name)
-    first = placed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(
-        F.min("_position").alias("_first")
+    first = write_down(
+        placed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min("_position").alias("_first"), F.count("*").alias("_rows")),
+        "groups",
     )
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    joined = placed.join(first, same, "inner")
+    # at most HOT_GROUPS groups are that large: they are sent to their rows, which stay where they are
+    hot_rows = max(group_rows, (first.agg(F.sum("_rows")).first()[0] or 0) // HOT_GROUPS)
+    hot = F.broadcast(first.filter(F.col("_rows") > hot_rows))
+    rest = placed.join(hot, same, "left_anti").join(first.filter(F.col("_rows") <= hot_rows), same)
+    joined = placed.join(hot, same).unionByName(rest).drop("_rows")
     return joined.withColumn(name, F.col("_position") - F.col("_first") + 1).drop(
         "_position", "_first", *[f"_by_{c}" for c in by]
     )

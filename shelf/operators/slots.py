@@ -19,7 +19,7 @@ _NUMBERED = r"(?s)^(.*) \((0|[1-9]\d{0,17})\)$"
 
 
 def _slots_of(listing: DataFrame) -> DataFrame:
-    """Every slot an existing path occupies: its own plain name, and a numbered one if it reads so."""
+    """Every slot an existing path occupies: its own plain name, and a numbered one if it reads so. Slots may repeat."""
     name = P.basename("full_path")
     base, ext = P.stem(name), P.extension(name)
     plain = F.struct(base.alias("_stem"), F.lit(0).cast("long").alias("slot"))
@@ -35,7 +35,6 @@ def _slots_of(listing: DataFrame) -> DataFrame:
         )
         .select("_dir", "_s._stem", "_ext", "_s.slot")
         .filter((F.col("slot") == 0) & (F.col("_stem") != "") | (F.col("slot") > 0))
-        .distinct()
     )
 
 
@@ -88,7 +87,7 @@ def free_destinations(
     # read several times below: ranked once, then written down
     keyed = write_down(row_numbers(keyed, _KEY, order, "_k"), "arrivals")
     groups = keyed.select(*_KEY).distinct()
-    taken = _slots_of(listing).join(groups, _KEY, "left_semi")
+    taken = _slots_of(listing).join(groups, _KEY, "left_semi").distinct()
     numbered_groups = _entangled(groups) if first_slot == 0 else None
     if numbered_groups is not None:
         taken = _settle(keyed, taken, numbered_groups, order)
@@ -140,7 +139,7 @@ def _settle(keyed: DataFrame, taken: DataFrame, literal: DataFrame, order: list[
         ["_dir", "_literal", "_ext"], "left_anti",
     )
     keeps = free.select(*_KEY, "_literal", "_n")
-    before = None
+    before, n_before = None, 0
     while True:
         lost = only.join(keeps, [*_KEY, "_literal"], "left_anti")
         now = write_down(
@@ -151,10 +150,11 @@ def _settle(keyed: DataFrame, taken: DataFrame, literal: DataFrame, order: list[
             .distinct(),
             "taken",
         )
-        state = now.agg(F.count("*"), F.sum(F.xxhash64(*now.columns) % 1_000_003)).first()
-        if state == before:
+        n = now.count()
+        # sets of equal size are equal when nothing of one is missing in the other
+        if before is not None and n == n_before and now.subtract(before).isEmpty():
             return now
-        before = state
+        before, n_before = now, n
         slots = _assign(timed, now, 0).select(*_KEY, "_k", F.col("slot").alias("_used"))
         keeps = free.join(slots, _KEY + ["_k"], "left").filter(
             F.coalesce("_used", F.lit(-1)) < F.col("_n")

@@ -9,23 +9,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelf.functions import paths as P
+from shelf.sources.listing import read_below
 
 _PIXELS = "full_path string, w int, h int, gw int, gh int, r array<float>, g array<float>, b array<float>"
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Readable images below ``root``: full_path, width, height, nChannels, data (blue, green, red).
+    """Images below ``root``: full_path, width, height, nChannels, data (blue, green, red), status.
 
     JPEG, PNG, BMP, GIF and TIFF are decoded in the JVM; WebP is not, and a rotation noted in EXIF is
-    not applied. Files that cannot be read are left out.
+    not applied. A file named like an image that cannot be read has status ``error`` and no data; grids and hashes
+    leave such rows out.
     """
-    files = (
-        spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
-    )
-    return files.select(
+    files = read_below(spark, root, "image", F.col("image.origin"))
+    images = files.select(
         P.path_from_uri("image.origin").alias("full_path"),
         "image.width", "image.height", "image.nChannels", "image.data",
+        F.when(F.col("image.height") > 0, "ok").otherwise("error").alias("status"),
     )
+    return images.filter((F.col("status") == "ok") | F.lower(P.extension(P.basename("full_path"))).isin(*P.IMAGE_TYPES))
 
 
 def _colors(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -71,7 +73,7 @@ def to_grids(images: DataFrame, long_side: int = 480, smallest: int = 16, cell:
                 out.append((path, w, h, gw * cell, gh * cell, *(a[:, :, c].ravel() for c in range(3))))
             yield pd.DataFrame(out, columns=["full_path", "w", "h", "gw", "gh", "r", "g", "b"])
 
-    return images.select("full_path", "width", "height", "nChannels", "data").mapInPandas(convert, _PIXELS)
+    return images.filter("height > 0").select("full_path", "width", "height", "nChannels", "data").mapInPandas(convert, _PIXELS)
 
 
 def to_cells(grids: DataFrame, by: str = "full_path") -> DataFrame:
@@ -107,6 +109,6 @@ def perceptual_hashes(images: DataFrame) -> DataFrame:
                 out.append((path, _bits(low > np.median(low)), _bits(small[:, 1:] > small[:, :-1])))
             yield pd.DataFrame(out, columns=["full_path", "phash", "dhash"])
 
-    return images.select("full_path", "width", "height", "nChannels", "data").mapInPandas(
+    return images.filter("height > 0").select("full_path", "width", "height", "nChannels", "data").mapInPandas(
         convert, "full_path string, phash bigint, dhash bigint"
     )

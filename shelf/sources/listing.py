@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelf.functions import paths as P
@@ -9,15 +11,48 @@ from shelf.functions.names import human_size, natural_key
 from shelf.operators.numbering import first_per, row_numbers
 
 
-def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root``: full_path, mtime, length. File bytes are never read.
+# Folders that Spark's file sources leave out unless a path or glob names them.
+_UNDERSCORE = r"^_(?!metadata|common_metadata)[^=]*$"
 
-    The reader skips names that start with ``.`` or ``_``; use a listing table when those matter.
-    """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    )
-    return files.select(
+
+def underscore_globs(spark: SparkSession, root: str) -> Iterator[tuple[int, str]]:
+    """(level, glob) for each level below ``root`` that has folders starting with ``_``: how many folders lie between,
+    and a glob of them. Only the file system's names are asked for, as a file source does itself."""
+    folder, level = root.rstrip("/") or "", 0
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    while files.globStatus(path(f"{folder}/[^.]*")):
+        if files.globStatus(path(f"{folder}/_*/")):
+            yield level, f"{folder}/_*/"
+        folder, level = f"{folder}/[^.]*", level + 1
+
+
+def read_below(spark: SparkSession, root: str, source: str, path: Column) -> DataFrame:
+    """Every file below ``root`` that ``source`` reads, each once; ``path`` is the column with its path.
+
+    A file source skips folders that start with ``_``, but not those that a glob names. So there is one more read for
+    each level with such folders, which keeps the files whose last skipped folder is on that level. Files whose own
+    name starts with ``_`` cannot be had from Spark's file sources; take them from a listing table."""
+
+    def load(at: str) -> DataFrame:
+        return spark.read.format(source).option("recursiveFileLookup", "true").load(at)
+
+    at_root = spark._jvm.org.apache.hadoop.fs.Path(root)
+    depth = at_root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at_root).depth()
+    names = F.split(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    found = load(root)
+    for level, glob in underscore_globs(spark, root):
+        own = depth + 1 + level
+        later = F.slice(names, own + 2, F.greatest(F.lit(0), F.size(names) - own - 1))
+        here = F.get(names, F.lit(own)).rlike(_UNDERSCORE) & ~F.exists(later, lambda name: name.rlike(_UNDERSCORE))
+        found = found.unionByName(load(glob).filter(here))
+    return found
+
+
+def read_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Files below ``root``: full_path, mtime, length. File bytes are never read. Names that start with ``.``,
+    what is in such folders, and files that start with ``_`` are left out; a listing table may hold them."""
+    return read_below(spark, root, "binaryFile", F.col("path")).select(
         P.path_from_scheme("path").alias("full_path"),
         F.col("modificationTime").alias("mtime"),
         "length",

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,23 @@ def test_listing_of_a_folder(spark, album):
     assert [r.folder_name for r in listing.index_scan(found, album).collect()] == ["sub dir"]
 
 
+def test_folders_with_underscores(spark, tmp_path, write_png):
+    names = [
+        "a.png", "_d/y.png", "a/_e/z.png", "_m/b/_n/c.png", "_p=1/q.png", "_p=1/_r/_s=2/t.png", "_d/_p=3/u.png", "_metadata_1/v.png", "b_/w.png",
+    ]
+    for i, name in enumerate([*names, ".h/_w.png", ".h.png"]):
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        write_png(tmp_path / name, photo(16, 16, (2, 2, 9, 9), i))
+    (tmp_path / "_d/broken.JPG").write_bytes(b"no image")
+    (tmp_path / "_m/note.txt").write_text("x")
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        found = [os.path.relpath(r.full_path, tmp_path) for r in listing.read_listing(spark, root).collect()]
+        assert sorted(found) == sorted([*names, "_d/broken.JPG", "_m/note.txt"])
+    read = {os.path.relpath(r.full_path, tmp_path): r.status for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert read == {**dict.fromkeys(names, "ok"), "_d/broken.JPG": "error"}
+    assert images.perceptual_hashes(images.read_images(spark, str(tmp_path))).count() == len(names)
+
+
 def test_hashes_of_similar_photos(spark, album):
     rows = {os.path.basename(r.full_path): r for r in images.perceptual_hashes(images.read_images(spark, album)).collect()}
     assert set(rows) == set(BOXES) | {"one copy.png"}
@@ -94,6 +112,30 @@ def test_import_boxes(spark, folder):
     assert tuple(boxes.import_counts(found).first()) == (1, 1)
 
 
+def test_quad_iou_counts_cells(spark):
+    rng = np.random.default_rng(4)
+    cases = []
+    for k in range(60):
+        w, h = (int(x) for x in rng.integers(3, 90, 2))
+        a, b = ([tuple(map(float, p)) for p in rng.integers(-20, 110, (4, 2)) / 2] for _ in range(2))
+        cases.append((k, w, h, a, a if k % 7 == 0 else b))
+    kind = "case_id int, w int, h int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>"
+    got = {r.case_id: r.iou for r in metrics.quad_iou(spark.createDataFrame(cases, kind)).collect()}
+
+    def inside(quad, x, y):
+        odd = False
+        for (ax, ay), (bx, by) in zip(quad, quad[1:] + quad[:1]):
+            if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                odd = not odd
+        return odd
+
+    for k, w, h, a, b in cases:
+        cells = [((cx + 0.5) * 4, (cy + 0.5) * 4) for cx in range(max(1, w // 4)) for cy in range(max(1, h // 4))]
+        hits = [(inside(a, *c), inside(b, *c)) for c in cells]
+        either = sum(x or y for x, y in hits)
+        assert got[k] == pytest.approx(sum(x and y for x, y in hits) / either if either else 0.0), k
+
+
 def test_quad_iou(spark):
     square = lambda x: [{"x": x, "y": 0.0}, {"x": x + 40, "y": 0.0}, {"x": x + 40, "y": 40.0}, {"x": x, "y": 40.0}]
     pairs = spark.createDataFrame([(1, 100, 40, square(0.0), square(20.0))], "case_id int, w int, h int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
