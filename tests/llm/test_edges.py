@@ -179,6 +179,19 @@ def test_pages(spark):
     assert page_templates.extract_main_text(df.filter("false")).collect() == []
 
 
+def test_slots_of_articles(spark):
+    notice = "<div class='zq'>Read our magazine</div>"
+    rows = [(k, f"http://n.example/{k}", f"<body><article><h1>Title {k}</h1>{notice}<p>Text {k} of it.</p><p>Read it all.</p></article></body>") for k in range(6)]
+    teaser = "<div class='zr'><article><h3>Teaser {}</h3></article></div>"
+    rows += [(10 + k, f"http://t.example/{k}", f"<body><div id=content><h1>Title {k}</h1><p>{'A long body ' * (k + 1)}</p></div>{teaser.format(k)}</body>") for k in range(4)]
+    rows += [(40 + k, f"http://p.example/{k}", f"<body><article class='promo'><p>Buy {k}</p></article><article class='comment-open'><p>Story {k}</p></article></body>") for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in page_templates.extract_main_text(df).collect()}
+    assert [found[k] for k in range(6)] == [f"Title {k}\nText {k} of it." for k in range(6)]
+    assert [found[10 + k] for k in range(4)] == [f"Title {k}\n{('A long body ' * (k + 1)).strip()}" for k in range(4)]
+    assert [found[40 + k] for k in range(3)] == [f"Story {k}" for k in range(3)]
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")
