@@ -192,6 +192,16 @@ def test_slots_of_articles(spark):
     assert [found[40 + k] for k in range(3)] == [f"Story {k}" for k in range(3)]
 
 
+def test_texts_of_templates(spark):
+    lead = "lead " * 60
+    rows = [(20 + k, f"http://l.example/{k}", f"<body><div><p>{lead}{k}</p></div></body>") for k in range(4)]
+    rows += [(30 + k, f"http://c.example/{k}", "<body><div><p>One page</p><p>many times</p></div></body>") for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in page_templates.extract_main_text(df).collect()}
+    assert [found[20 + k] for k in range(4)] == [f"{lead}{k}" for k in range(4)]
+    assert [found[30 + k] for k in range(5)] == ["One page\nmany times"] * 5
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")
