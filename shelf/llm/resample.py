@@ -15,6 +15,10 @@ SEED = 7
 BINS = 1024
 BUCKETS = 1 << 18
 MAX_LABELLED = 100_000
+#: Standard errors (signed root of the likelihood ratio) by which more toxic documents than others must hold an n-gram.
+TOXIC_ERRORS = 4.5
+#: What a toxic document loses in log weight: it comes after all others.
+TOXIC_LOSS = 1e9
 _KIND = np.full(256, 1, np.uint8)  # words; every byte of a longer character is a word byte
 _KIND[:128] = 2  # signs
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
@@ -36,68 +40,117 @@ def ngrams(chunk: tb.Chunk, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
 
 
 def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, target, fit) of at most ``limit`` labelled documents, those with the smallest hashes. Target:
-    quality 1; a document labelled twice is a target only if every label says so. Rows without doc_id or
-    quality are left out. ``fit`` (four fifths) marks those that the model learns from; the others set the cut."""
+    """(doc_id, target, toxic, good, fit) of at most ``limit`` labelled documents, those with the smallest hashes. Target:
+    quality 1 and not toxic; a document labelled twice is a target only if every label says so, and toxic if one
+    does. Rows without doc_id, or with neither quality nor toxic, are left out. ``fit`` (four fifths) marks those that the
+    models learn from; the others set the cuts."""
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
     each = (
-        labels.filter("doc_id is not null and quality is not null")
+        labels.withColumn("toxic", toxic.cast("int"))
+        .filter("doc_id is not null and (quality is not null or toxic is not null)")
         .groupBy("doc_id")
-        .agg((F.min("quality") == 1).alias("target"))
+        .agg((F.min("quality") == 1).alias("good"), (F.max("toxic") == 1).alias("toxic"))
+        .withColumn("target", F.col("good") & ~F.coalesce("toxic", F.lit(False)))
     )
     return each.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(limit).select(
-        "doc_id", "target", (F.pmod(F.col("_h"), F.lit(5)) != 0).alias("fit")
+        "doc_id", "target", "toxic", "good", (F.pmod(F.col("_h"), F.lit(5)) != 0).alias("fit")
     )
 
 
+_COUNTS = ("raw", "target", "toxic", "clean", "toxic_docs", "clean_docs")
+
+
 def count_ngrams(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, target): n-gram counts of all texts and of those with ``target`` true. One row per task and
-    bucket leaves a task."""
+    """(bucket, raw, target, toxic, clean, toxic_docs, clean_docs): n-gram counts of all texts, of those with
+    ``target`` true, of those with ``toxic`` true and false, and in how many of the last two it is. One row per
+    task and bucket leaves a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        totals = {c: np.zeros(buckets, np.int64) for c in _COUNTS}
         for batch in batches:
-            chosen = batch.column("target").fill_null(False).to_numpy(zero_copy_only=False)
+            marks = batch.column("toxic")
+            chosen = {
+                "target": batch.column("target").fill_null(False).to_numpy(zero_copy_only=False),
+                "toxic": marks.fill_null(False).to_numpy(zero_copy_only=False),
+                "clean": ~marks.fill_null(True).to_numpy(zero_copy_only=False),
+            }
             for chunk in tb.chunks(batch.column("text")):
                 b, text = ngrams(chunk, buckets)
-                raw += np.bincount(b, minlength=buckets)
-                target += np.bincount(b[chosen[chunk.first : chunk.last][text]], minlength=buckets)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
-
-    rows = docs.select("text", "target").mapInArrow(count, "bucket long, raw long, target long")
-    return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-
-
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target share / raw share) of every bucket, both smoothed towards the raw shares. At most ``buckets``
-    rows reach the driver. Zeros if there is no target text."""
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in counts.toLocalIterator():
-        raw[r[0]], target[r[0]] = r[1], r[2]
+                totals["raw"] += np.bincount(b, minlength=buckets)
+                for kind, rows in chosen.items():
+                    there = rows[chunk.first : chunk.last][text]
+                    if not there.any():
+                        continue
+                    totals[kind] += np.bincount(b[there], minlength=buckets)
+                    if kind != "target":
+                        once = np.unique(text[there].astype(np.int64) * buckets + b[there]) % buckets
+                        totals[f"{kind}_docs"] += np.bincount(once, minlength=buckets)
+        some = np.flatnonzero(totals["raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(totals[c][some]) for c in _COUNTS)], ["bucket", *_COUNTS])
+
+    rows = docs.select("text", "target", "toxic").mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def bucket_counts(counts: DataFrame, buckets: int = BUCKETS) -> dict[str, np.ndarray]:
+    """Counts as arrays over all buckets. At most ``buckets`` rows reach the driver."""
+    found = {c: np.zeros(buckets) for c in _COUNTS}
+    for r in counts.select("bucket", *_COUNTS).toLocalIterator():
+        for c, n in zip(_COUNTS, r[1:]):
+            found[c][r[0]] = n
+    return found
+
+
+def log_ratios(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """log(target share / raw share) of every bucket, both smoothed towards the raw shares. Zeros if there is no
+    target text."""
+    raw, target = counts["raw"], counts["target"]
     if not target.sum():
-        return np.zeros(buckets, np.float32)
+        return np.zeros(len(raw), np.float32)
     q = (raw + 1) / (raw + 1).sum()
-    p = target + q * buckets  # one pseudo-count per bucket on average
+    p = target + q * len(raw)  # one pseudo-count per bucket on average
     return (np.log(p / p.sum()) - np.log(q)).astype(np.float32)
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``docs`` without text, with n_grams and log_weight: the sum of the log ratios of the text's n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def toxic_ratios(counts: dict[str, np.ndarray], n_toxic: int, n_clean: int) -> np.ndarray:
+    """log(share in toxic texts / share in others) of every n-gram that surely is in more of the toxic documents; all
+    other n-grams are one kind with one ratio, so that a long text needs as dense evidence as a short one. Zeros
+    if there are no such n-grams."""
+    a, c = counts["toxic_docs"], counts["clean_docs"]
+
+    def xlogx(x) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-12))
+
+    cells = xlogx(a) + xlogx(c) + xlogx(n_toxic - a) + xlogx(n_clean - c)
+    sides = xlogx(a + c) + xlogx(n_toxic + n_clean - a - c) + xlogx(n_toxic) + xlogx(n_clean)
+    sure = (2 * (cells - sides + xlogx(n_toxic + n_clean)) > TOXIC_ERRORS**2) & (a * n_clean > c * n_toxic)
+    toxic, clean = ((counts[k] + 0.5) / (counts[k].sum() + 1) for k in ("toxic", "clean"))
+    if not sure.any() or not n_toxic or not n_clean:
+        return np.zeros(len(a), np.float32)
+    # where the sure n-grams are all there is, the rest decides nothing
+    rest = np.log(max(1 - toxic[sure].sum(), 1e-9) / max(1 - clean[sure].sum(), 1e-9))
+    return np.where(sure, np.maximum(np.log(toxic / clean), 0), min(rest, 0)).astype(np.float32)
+
+
+def log_weights(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray) -> DataFrame:
+    """``docs`` without text, with n_grams, log_weight and toxic_score: the sums of the two log ratios of the text's
+    n-grams."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, toxic))
     keep = [c for c in docs.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, evidence = shared.value
         for batch in batches:
-            n, s = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n, s, t = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for chunk in tb.chunks(batch.column("text")):
                 b, text = ngrams(chunk, len(table))
                 n[chunk.first : chunk.last] = np.bincount(text, minlength=len(chunk))
                 s[chunk.first : chunk.last] = np.bincount(text, table[b], minlength=len(chunk))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n), pa.array(s)], [*keep, "n_grams", "log_weight"])
+                t[chunk.first : chunk.last] = np.bincount(text, evidence[b], minlength=len(chunk))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n), pa.array(s), pa.array(t)], [*keep, "n_grams", "log_weight", "toxic_score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(score, f"{schema}, n_grams long, log_weight double")
+    return docs.mapInArrow(score, f"{schema}, n_grams long, log_weight double, toxic_score double")
 
 
 def gumbel_keys(scored: DataFrame, seed: int = SEED) -> DataFrame:
@@ -159,22 +212,40 @@ def calibrated_cut(keyed: DataFrame, limit: int = MAX_LABELLED) -> float | None:
     return float(keys[int(np.argmax(gain))])
 
 
+def toxic_limit(scored: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_LABELLED) -> float:
+    """The toxic score above which a document is toxic: what best separates held-out toxic rows (``toxic``) from
+    others, at least the log odds against toxic among labelled documents, where it is as likely as not."""
+    rows = scored.filter("toxic is not null").select((-F.col("toxic_score")).alias("key"), (~F.col("toxic")).alias("target"))
+    cut = calibrated_cut(rows, limit)
+    odds = float(np.log(max(n_clean, 1) / max(n_toxic, 1)))
+    return max(0.0, odds, -cut if cut is not None else 0.0)
+
+
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, n_grams, log_weight, key, kept) of every document.
 
     The raw model counts the n-grams of every whole text, the target model those of a bounded sample of
-    documents labelled as good. The log weight is the log ratio of the two models; Gumbel noise is added and
-    the k largest keys stay. Without ``k`` it is the number of documents at or above the key that best
-    separates held-out labelled rows; without labels of both kinds everything stays.
+    documents labelled as good and not toxic. The log weight is the log ratio of the two models; Gumbel noise is
+    added and the k largest keys stay. A second pair of models, of texts labelled toxic and not, finds toxic
+    documents; these lose TOXIC_LOSS, so they only stay where ``k`` leaves room for them. Without ``k`` it is
+    the number of documents, toxic ones aside, at or above the key that best separates held-out rows of good and
+    bad quality; without labels of both kinds all others stay.
 
     Null and empty texts weigh 0. Repeated rows draw the same noise. Other columns of ``docs`` are not read.
     """
-    sample = F.broadcast(labelled_sample(labels, max_labelled).select("doc_id", F.col("target").alias("_t"), "fit"))
+    sample = write_down(labelled_sample(labels, max_labelled), "labelled")
+    sizes = sample.filter("fit").agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    sample = F.broadcast(sample.select("doc_id", F.col("target").alias("_t"), F.col("toxic").alias("_x"), "good", "fit"))
     marked = docs.select("doc_id", "text").join(sample, "doc_id", "left")
-    ratios = log_ratios(count_ngrams(marked.select("text", (F.col("_t") & F.col("fit")).alias("target"))))
-    scored = log_weights(marked.withColumn("target", F.when(~F.col("fit"), F.col("_t"))).drop("_t", "fit"), ratios)
-    keyed = write_down(gumbel_keys(scored, seed), "resampled")
+    counts = bucket_counts(count_ngrams(marked.select("text", (F.col("_t") & F.col("fit")).alias("target"), F.when(F.col("fit"), F.col("_x")).alias("toxic"))))
+    # the cut of quality is set by good rows that are not toxic and by bad ones; toxic rows have a cut of their own
+    held = marked.withColumn("target", F.when(~F.col("fit") & (F.col("_t") | ~F.col("good")), F.col("_t")))
+    held = held.withColumn("toxic", F.when(~F.col("fit"), F.col("_x"))).drop("_t", "_x", "good", "fit")
+    keyed = write_down(gumbel_keys(log_weights(held, log_ratios(counts), toxic_ratios(counts, *sizes)), seed), "resampled")
+    toxic = F.col("toxic_score") > toxic_limit(keyed, *sizes, max_labelled)
     if k is None:
         cut = calibrated_cut(keyed, max_labelled)
-        k = keyed.count() if cut is None else keyed.filter(F.col("key") >= cut).count()
-    return top_k(keyed, k).drop("target")
+        k = keyed.filter(~toxic & (F.lit(True) if cut is None else F.col("key") >= cut)).count()
+    loss = F.when(toxic, TOXIC_LOSS).otherwise(0.0)
+    keyed = keyed.withColumn("key", F.col("key") - loss).withColumn("log_weight", F.col("log_weight") - loss)
+    return top_k(keyed.drop("toxic", "toxic_score"), k).drop("target")

@@ -127,6 +127,16 @@ def test_resample(docs, empty, labels):
     assert resample.resampled(empty, labels).collect() == []
 
 
+def test_toxic_documents_go(spark):
+    rows = [(k, long_text(k, 80 + k % 40) + (" nasty vile foul" if k % 5 == 0 else "")) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in resample.resampled(df, marks).collect()}
+    assert not any(kept[k] for k in range(0, 300, 5)) and sum(kept.values()) >= 0.97 * 240
+    first = {r["doc_id"] for r in resample.resampled(df, marks, k=240).filter("kept").collect()}
+    assert first == {k for k in range(300) if k % 5}
+
+
 def test_ties_go_to_small_ids(spark):
     keyed = spark.createDataFrame([(k, float(k // 4)) for k in range(40)], "doc_id long, key double")
     kept = sorted(r["doc_id"] for r in resample.top_k(keyed, 6).filter("kept").collect())
