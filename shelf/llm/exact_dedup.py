@@ -33,6 +33,7 @@ def with_bits(hashed: DataFrame, n_rows: int, max_words: int = MAX_WORDS) -> Dat
 
 def bloom_words(hashed: DataFrame, n_rows: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
     """First pass: ``hashed`` with its places, and the filter (word, seen) of the bits set by more than one row.
+    The build shuffles one (word, bits) pair of practically every distinct row.
 
     The filter grows with the rows up to ``max_words`` words, which bounds its size; beyond that more rows pass
     it, and the result stays the same."""
