@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelf.llm import decontamination, exact_dedup, language_mix, license_scan, mixing, near_dedup, page_templates, resample, run_index, token_lengths
+from shelf.llm import (
+    decontamination, exact_dedup, language_mix, lexical_search, license_scan, mixing, near_dedup, page_templates, resample, run_index, shard_index, token_lengths, vector_codes,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +64,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "source", mixing.n_words(F.col("text")).alias("tokens"), "block", "place")
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_index.remove_shared_windows(_table(spark, folder, "documents")).drop("removed")
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress_vectors(_table(spark, folder, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1,
     "op2_bloom_exact_dedup": op2,
@@ -73,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_run_index_dedup": op8,
     "op9_template_licenses": op9,
     "op10_temperature_mixing": op10,
+    "op11_bit_sliced_search": op11,
+    "op12_shard_index_dedup": op12,
+    "op13_dual_tree_codes": op13,
 }
 
 _OP2 = """
@@ -113,4 +130,64 @@ select {columns}, block, place from running where block <= whole or (rest > 0 an
 """
 
 
-ORACLES = {"op2_bloom_exact_dedup": _OP2, "op10_temperature_mixing": mix_sql()}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP11 = rf"""
+with dterms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) as term from documents),
+iterms as (
+  select item_id, term, count(*) as q from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) as term from benchmark) group by all),
+sizes as (select doc_id, count(*) as n from dterms group by 1),
+whole as (select count(*) as docs, sum(n)::bigint as l from sizes),
+norms as (select doc_id, 25 + (75 * n * docs) // l as m from sizes, whole),
+tfs as (select doc_id, term, count(*) as tf from dterms where term in (select term from iterms) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from tfs, whole group by term),
+scores as (
+  select item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from iterms join weights using (term) join tfs using (term) join norms using (doc_id) group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scores where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""
+
+_OP12 = r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from t)),
+f as (select win, min(doc_id) as first from g group by 1),
+h as (select distinct doc_id, i + k as p from g join f using (win), range(0, 13) r(k) where first < doc_id),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from t),
+marked as (select words.*, h.p is not null as gone from words left join h using (doc_id, p)),
+kept as (select doc_id, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by p) filter (where not gone) as kept from marked group by 1)
+select t.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join kept using (doc_id)
+"""
+
+
+def codes_sql(width: int = 64, rounds: int = 6) -> str:
+    """DuckDB text of the vector codes for vectors of ``width`` components: every round is a step of its own."""
+    size = width // 8
+    off = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, size + 1))
+    mean = ", ".join(f"cast((sum(x[{i}]) - ((sum(x[{i}]) % count(*)) + count(*)) % count(*)) // count(*) as bigint)" for i in range(1, size + 1))
+
+    def step(r: int) -> str:
+        return f""",
+a{r} as materialized (select vec_id, p, any_value(x) as x, min(d * 16 + e) % 16 as e, min(d * 16 + e) // 16 as d
+  from (select vec_id, p, x, e, {off} as d from parts join b{r} using (p)) group by vec_id, p)"""
+
+    text = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * x::double) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select vec_id, p, v[p * {size} + 1:p * {size} + {size}] as x from kept, range(0, 8) t(p)),
+b0 as (select p, e, x as c from parts join (select vec_id, row_number() over (order by vec_id) - 1 as e from kept) using (vec_id) where e < 16)"""
+    for r in range(rounds):
+        text += step(r) + f""",
+b{r + 1} as materialized (select b.p, b.e, coalesce(m.c, b.c) as c from b{r} b left join (select p, e, [{mean}] as c from a{r} group by p, e) m on b.p = m.p and b.e = m.e)"""
+    return text + step(rounds) + f""",
+coded as (select vec_id, string_agg(lpad(printf('%x', e), 2, '0'), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by vec_id),
+books as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from b{rounds})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded join kept using (vec_id), books
+"""
+
+
+ORACLES = {
+    "op2_bloom_exact_dedup": _OP2, "op10_temperature_mixing": mix_sql(), "op11_bit_sliced_search": _OP11, "op12_shard_index_dedup": _OP12, "op13_dual_tree_codes": codes_sql(),
+}
