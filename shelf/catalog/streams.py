@@ -9,7 +9,7 @@ from shelf.catalog.files import EXT, ROOT
 from shelf.catalog.logs import WALK
 from shelf.fixtures import Tables, query, with_views
 from shelf.session import shared_dir
-from shelf.sources import images
+from shelf.sources import images, orientation
 from shelf.streaming.folds import follow_feedback, read_state
 from shelf.streaming.index import follow_index, read_index
 
@@ -71,6 +71,42 @@ def g0(t):
     return cells.select(F.col("full_path").cast("bigint").alias("image_id"), "y", "x", "r", "b")
 
 
+def _turned_bytes(t: Tables):
+    """Each vector as a 16 x 4 grey image whose file says, in either byte order, how it is to be turned; every 13th file is none."""
+    levels = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128 + 400 * v.cast("double"))).cast("int"))
+    text = F.array_join(F.transform(levels, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    value = F.lpad(F.hex(F.pmod("vec_id", F.lit(8)) + 1), 2, "0")
+    # start, a comment segment, then the header: byte order, first directory, two entries, of which the second is the orientation
+    little = F.concat(F.lit("49492A0008000000" "0200" "0F01020001000000580000001201030001000000"), value, F.lit("000000" "00000000"))
+    big = F.concat(F.lit("4D4D002A00000008" "0002" "010F00020000000158000000011200030000000100"), value, F.lit("0000" "00000000"))
+    header = F.concat(F.lit("FFD8" "FFFE00044142" "FFE1002E" "457869660000"), F.when(F.col("vec_id") % 2 == 0, little).otherwise(big), F.lit("FFDA"))
+    content = F.when(F.col("vec_id") % 13 == 0, F.encode(F.lit("no image"), "utf-8")).otherwise(F.unhex(header))
+    rows = t.table("embeddings").select(
+        F.col("vec_id").cast("string").alias("full_path"), F.lit(16).alias("width"), F.lit(4).alias("height"), F.lit(1).alias("nChannels"), F.unhex(text).alias("data"),
+        orientation.content_orientation(content).alias("orientation"),
+    )
+    broken = F.col("orientation").isNull()
+    return rows.withColumns({"status": F.when(broken, "error").otherwise("ok"), "height": F.when(broken, -1).otherwise(F.col("height"))})
+
+
+@query(
+    "A7_upright_grid",
+    """with p as (select vec_id, pos // 16 as y, pos % 16 as x, trunc(greatest(0, least(255, 128 + 400 * v::double)))::double as r, vec_id % 8 + 1 as o
+  from (select vec_id, unnest(embedding) as v, unnest(range(0, 64)) as pos from embeddings) where vec_id % 13 <> 0)
+select vec_id as image_id, 'ok' as status, case when o >= 5 then 4 else 16 end as w, case when o >= 5 then 16 else 4 end as h,
+  case o when 1 then y when 2 then y when 3 then 3 - y when 4 then 3 - y when 5 then x when 6 then x when 7 then 15 - x else 15 - x end as y,
+  case o when 1 then x when 2 then 15 - x when 3 then 15 - x when 4 then x when 5 then y when 6 then 3 - y when 7 then 3 - y else y end as x, r from p
+union all select vec_id, 'error', null, null, null, null, null from embeddings where vec_id % 13 = 0""",
+)
+def a7(t):
+    photos = _turned_bytes(t)
+    grids = images.to_grids(photos, 16)
+    cells = images.to_cells(grids).join(grids.select("full_path", "w", "h"), "full_path")
+    broken = photos.filter("status = 'error'").select("full_path", "status", *[F.lit(None).cast(k).alias(c) for c, k in (("w", "int"), ("h", "int"), ("y", "int"), ("x", "int"), ("r", "double"))])
+    every = cells.select("full_path", F.lit("ok").alias("status"), "w", "h", "y", "x", "r").unionByName(broken)
+    return every.select(F.col("full_path").cast("bigint").alias("image_id"), "status", "w", "h", "y", "x", "r")
+
+
 @query("D1_perceptual_hashes")
 def d1(t):
     return images.perceptual_hashes(_bytes(t))

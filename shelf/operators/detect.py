@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelf.functions.geometry import confidence_score
 from shelf.operators import edges, raster
+from shelf.operators.fine import judged_rectangles
 from shelf.operators.regions import KEY, fill_holes, frame_quad, largest_region, min_area_rectangles
 from shelf.session import spread, write_down
 
@@ -52,13 +53,19 @@ def clean_regions(masks: DataFrame, sizes: DataFrame) -> DataFrame:
     return write_down(largest_region(filled.join(alive, list(KEY), "left_semi")), "regions")
 
 
-def score_regions(regions: DataFrame, arrays: DataFrame) -> DataFrame:
-    """One row per region: its rectangle, snapped to edges, with confidence and evidence."""
+def score_regions(regions: DataFrame, arrays: DataFrame, fine: DataFrame | None = None) -> DataFrame:
+    """One row per region: its rectangle, snapped to edges, with confidence and evidence; in cells of ``fine`` where finer
+    grids are given."""
+    if fine is not None:
+        return _scored(write_down(judged_rectangles(min_area_rectangles(regions), fine), "judged"))
     rects = spread(min_area_rectangles(regions).drop("gw", "gh"), "image_id").join(arrays, "image_id")
     snapped = write_down(edges.snap_sides(rects), "snapped")
     judged = write_down(edges.side_contrasts(snapped), "contrasts")
     judged = edges.inner_edge(judged).drop("r", "g", "b", "lum")
-    judged = write_down(judged, "inner")
+    return _scored(write_down(judged, "inner"))
+
+
+def _scored(judged: DataFrame) -> DataFrame:
     frac = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("gw") * F.col("gh"))
     score = confidence_score(F.col("fill"), F.least(F.col("frac"), F.lit(1.0)), F.col("contrasts"), F.col("purity"))
     return judged.withColumn("frac", frac).withColumn("conf", score * F.when(F.col("inner"), 0.5).otherwise(1.0))
@@ -88,29 +95,32 @@ def paper_masks(blurred: DataFrame, regions: DataFrame) -> DataFrame:
     return blurred.join(paper, "image_id").withColumn("gap", gap).select("image_id", "y", "x", F.inline(rows))
 
 
-def detect_documents(cells: DataFrame, tolerance: float = 28) -> DataFrame:
+def detect_documents(cells: DataFrame, tolerance: float = 28, fine: DataFrame | None = None) -> DataFrame:
     """One row per image of a grid table (image_id, y, x, r, g, b): quad in grid cells, conf, method,
     angle in degrees, frac, warnings, bg, gw, gh; quad is null when nothing was found.
 
+    Regions are found on these cells. With ``fine``, one row per image (image_id, gw, gh, r, g, b as flat arrays) of finer
+    grids, sides are snapped and judged there, and quad, gw and gh are in its cells. An image without a fine grid has no box.
+
     All masks of all images are evaluated together, the paper-colour pass only for images whose best
-    region so far is not sure. Boxes are as fine as the grid.
+    region so far is not sure. Boxes are as fine as the grid that judges them.
     """
     sizes = raster.grid_sizes(cells)
     big = write_down(sizes.filter(F.least("gw", "gh") >= SMALLEST_SIDE), "sizes")
     # a side below 16 cells is too small to look at
     cells = cells.join(big.select("image_id"), "image_id", "left_semi")
     blurred = write_down(raster.blur(cells, ["r", "g", "b"], 3), "blurred")
-    arrays = write_down(image_arrays(cells), "arrays")
+    arrays = write_down(image_arrays(cells), "arrays") if fine is None else None
     lines = write_down(raster.edge_lines(blurred).join(big, "image_id"), "lines")
     outlined = fill_holes(lines).select("image_id", "mask", "rank", "y", "x", "on")
     masks = raster.candidate_masks(blurred, tolerance).unionByName(outlined)
     regions = clean_regions(masks, big)
-    scored = write_down(score_regions(regions, arrays), "scored")
+    scored = write_down(score_regions(regions, arrays, fine), "scored")
     first = write_down(_best(scored), "first")
     unsure = first.filter(F.col("conf") < SURE).select("image_id", "mask", "rank")
     seen = regions.join(unsure, list(KEY), "left_semi")
     paper = paper_masks(blurred.join(unsure.select("image_id"), "image_id", "left_semi"), seen)
-    again = score_regions(clean_regions(paper, big), arrays)
+    again = score_regions(clean_regions(paper, big), arrays, fine)
     best = _best(first.unionByName(again))
     degrees = F.degrees("ang")
 
@@ -130,6 +140,8 @@ def detect_documents(cells: DataFrame, tolerance: float = 28) -> DataFrame:
         flag(F.abs(degrees) > 3.0, "tilted"),
     ))
     bg = F.array(*[F.col(f"bg_{c}").cast("int") for c in "rgb"])
+    if fine is not None:
+        sizes = sizes.drop("gw", "gh").join(fine.select("image_id", "gw", "gh"), "image_id", "left")
     return (
         sizes.join(best.drop("gw", "gh"), "image_id", "left")
         .join(raster.border_colors(blurred), "image_id", "left")

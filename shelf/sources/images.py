@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,25 +12,78 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelf.functions import paths as P
-from shelf.sources.listing import read_below
+from shelf.session import shared_dir, spread, write_down
+from shelf.sources.listing import read_below, read_listing
+from shelf.sources.orientation import file_orientation, upright
+from shelf.sources.walk import file_bytes, reachable, write_bytes
 
 _PIXELS = "full_path string, w int, h int, gw int, gh int, r array<float>, g array<float>, b array<float>"
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Images below ``root``: full_path, width, height, nChannels, data (blue, green, red), status.
+def _named_apart(path: str) -> str:
+    """A file name that Spark's file sources read, of the same type."""
+    return f"f{hashlib.sha256(path.encode()).hexdigest()}{os.path.splitext(path)[1]}"
 
-    JPEG, PNG, BMP, GIF and TIFF are decoded in the JVM; WebP is not, and a rotation noted in EXIF is
-    not applied. A file named like an image that cannot be read has status ``error`` and no data; grids and hashes
-    leave such rows out.
-    """
-    files = read_below(spark, root, "image", F.col("image.origin"))
-    images = files.select(
-        P.path_from_uri("image.origin").alias("full_path"),
-        "image.width", "image.height", "image.nChannels", "image.data",
+
+def _decoded(files: DataFrame) -> DataFrame:
+    return files.select(
+        P.path_from_uri("image.origin").alias("full_path"), "image.width", "image.height", "image.nChannels", "image.data",
         F.when(F.col("image.height") > 0, "ok").otherwise("error").alias("status"),
     )
-    return images.filter((F.col("status") == "ok") | F.lower(P.extension(P.basename("full_path"))).isin(*P.IMAGE_TYPES))
+
+
+def _underscored(spark: SparkSession, root: str) -> DataFrame | None:
+    """Images whose own name starts with ``_``, which Spark's image source leaves out: tasks copy them under other names
+    into the shared folder, where it reads them."""
+    name = P.basename("full_path")
+    files = read_listing(spark, root).filter(name.startswith("_") & F.lower(P.extension(name)).isin(*P.IMAGE_TYPES)).select("full_path")
+    folder = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            status = []
+            for path in batch["full_path"]:
+                if not (reachable(path) and reachable(folder)):
+                    status.append("error")
+                    continue
+                try:
+                    write_bytes(f"{folder}/{_named_apart(path)}", file_bytes(path))
+                    status.append("ok")
+                except OSError:
+                    status.append("error")
+            yield pd.DataFrame({"full_path": batch["full_path"], "copied": status, "name": batch["full_path"].map(_named_apart)})
+
+    copies = write_down(spread(files).mapInPandas(copy, "full_path string, copied string, name string"), "copies")
+    if copies.isEmpty():
+        return None
+    lost = copies.filter("copied = 'error'").select(
+        "full_path", *[F.lit(-1).alias(c) for c in ("width", "height", "nChannels")], F.lit(b"").alias("data"), F.lit("error").alias("status")
+    )
+    if copies.filter("copied = 'ok'").isEmpty():
+        return lost
+    read = _decoded(spark.read.format("image").load(folder)).withColumn("name", P.basename("full_path")).drop("full_path")
+    return read.join(copies.select("full_path", "name"), "name").select(lost.columns).unionByName(lost)
+
+
+def read_images(spark: SparkSession, root: str) -> DataFrame:
+    """Images below ``root``: full_path, width, height, nChannels, data (blue, green, red), status, orientation.
+
+    JPEG, PNG, BMP, GIF and TIFF are decoded in the JVM; WebP is not. A file named like an image that cannot be read has
+    status ``error`` and no data; grids and hashes leave such rows out. ``orientation`` is what the file's header notes, null
+    where it cannot be looked at; width, height and data are as stored, grids and hashes are of the upright photo.
+    """
+    images = _decoded(read_below(spark, root, "image", F.col("image.origin")))
+    more = _underscored(spark, root)
+    if more is not None:
+        images = images.unionByName(more)
+    named = images.filter((F.col("status") == "ok") | F.lower(P.extension(P.basename("full_path"))).isin(*P.IMAGE_TYPES))
+    return named.withColumn("orientation", file_orientation("full_path"))
+
+
+def _with_turn(images: DataFrame) -> DataFrame:
+    """The columns that pixels are made of; images of tables without ``orientation`` are upright."""
+    turn = F.coalesce("orientation", F.lit(1)) if "orientation" in images.columns else F.lit(1)
+    return images.filter("height > 0").select("full_path", "width", "height", "nChannels", "data", turn.alias("turn"))
 
 
 def _colors(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -61,19 +117,21 @@ def grid_size(width: int, height: int, long_side: int, smallest: int = 16, grow:
 
 
 def to_grids(images: DataFrame, long_side: int = 480, smallest: int = 16, cell: int = 1, grow: bool = False) -> DataFrame:
-    """One row per image with flat arrays r, g, b of a grid with at most ``long_side`` cells a side,
-    each cell made of ``cell`` x ``cell`` averaged values. Bytes are only touched here."""
+    """One row per image with w, h and flat arrays r, g, b of a grid with at most ``long_side`` cells a side, all of the
+    upright photo; each cell is made of ``cell`` x ``cell`` averaged values. Bytes are only touched here."""
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, w, h, channels, data in batch.itertuples(index=False):
+            for path, w, h, channels, data, turn in batch.itertuples(index=False):
+                photo = upright(_colors(h, w, channels, data), turn)
+                h, w = photo.shape[:2]
                 gw, gh = grid_size(w, h, long_side, smallest, grow)
-                a = _averaged(_colors(h, w, channels, data), gh * cell, gw * cell).astype(np.float32)
+                a = _averaged(photo, gh * cell, gw * cell).astype(np.float32)
                 out.append((path, w, h, gw * cell, gh * cell, *(a[:, :, c].ravel() for c in range(3))))
             yield pd.DataFrame(out, columns=["full_path", "w", "h", "gw", "gh", "r", "g", "b"])
 
-    return images.filter("height > 0").select("full_path", "width", "height", "nChannels", "data").mapInPandas(convert, _PIXELS)
+    return _with_turn(images).mapInPandas(convert, _PIXELS)
 
 
 def to_cells(grids: DataFrame, by: str = "full_path") -> DataFrame:
@@ -102,13 +160,11 @@ def perceptual_hashes(images: DataFrame) -> DataFrame:
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, w, h, channels, data in batch.itertuples(index=False):
-                grey = _colors(h, w, channels, data) @ np.array([0.299, 0.587, 0.114])
+            for path, w, h, channels, data, turn in batch.itertuples(index=False):
+                grey = upright(_colors(h, w, channels, data), turn) @ np.array([0.299, 0.587, 0.114])
                 low = cosines @ _averaged(grey, 32, 32) @ cosines.T
                 small = _averaged(grey, 8, 9)
                 out.append((path, _bits(low > np.median(low)), _bits(small[:, 1:] > small[:, :-1])))
             yield pd.DataFrame(out, columns=["full_path", "phash", "dhash"])
 
-    return images.filter("height > 0").select("full_path", "width", "height", "nChannels", "data").mapInPandas(
-        convert, "full_path string, phash bigint, dhash bigint"
-    )
+    return _with_turn(images).mapInPandas(convert, "full_path string, phash bigint, dhash bigint")

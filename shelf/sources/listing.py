@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelf.functions import paths as P
 from shelf.functions.names import human_size, natural_key
 from shelf.operators.numbering import first_per, row_numbers
+from shelf.sources.walk import reachable, walk
 
 
 # Folders that Spark's file sources leave out unless a path or glob names them.
@@ -32,7 +33,7 @@ def read_below(spark: SparkSession, root: str, source: str, path: Column) -> Dat
 
     A file source skips folders that start with ``_``, but not those that a glob names. So there is one more read for
     each level with such folders, which keeps the files whose last skipped folder is on that level. Files whose own
-    name starts with ``_`` cannot be had from Spark's file sources; take them from a listing table."""
+    name starts with ``_`` cannot be had from Spark's file sources; see :func:`read_listing`."""
 
     def load(at: str) -> DataFrame:
         return spark.read.format(source).option("recursiveFileLookup", "true").load(at)
@@ -49,14 +50,33 @@ def read_below(spark: SparkSession, root: str, source: str, path: Column) -> Dat
     return found
 
 
+def underscore_files(spark: SparkSession, root: str) -> DataFrame:
+    """(full_path, mtime, length) of the files below ``root`` whose own name starts with ``_``, for stores that only the JVM
+    reaches: one glob per level, whose matches pass through the driver."""
+    folder, rows = root.rstrip("/"), []
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    while files.globStatus(path(f"{folder}/[^.]*")):
+        found = files.globStatus(path(f"{folder}/_*"))
+        rows += [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in found if f.isFile()]
+        folder = f"{folder}/[^.]*"
+    listed = spark.createDataFrame(rows, "path string, ms bigint, length bigint")
+    return listed.select(P.path_from_scheme("path").alias("full_path"), F.timestamp_millis("ms").alias("mtime"), "length")
+
+
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root``: full_path, mtime, length. File bytes are never read. Names that start with ``.``,
-    what is in such folders, and files that start with ``_`` are left out; a listing table may hold them."""
+    """Files below ``root``: full_path, mtime, length. File bytes are never read. Names that start with ``.`` and what is
+    in such folders are left out; names that start with ``_`` are files and folders like any other.
+
+    Folders are listed by tasks, level by level. For a store that only the JVM reaches, Spark's file source lists them, and
+    the files it skips come from globs. A file that cannot be looked at has neither mtime nor length."""
+    if reachable(root):
+        return walk(spark, root).withColumn("full_path", P.path_from_scheme("full_path"))
     return read_below(spark, root, "binaryFile", F.col("path")).select(
         P.path_from_scheme("path").alias("full_path"),
         F.col("modificationTime").alias("mtime"),
         "length",
-    )
+    ).unionByName(underscore_files(spark, root))
 
 
 def index_scan(listing: DataFrame, root: Column | str, output_folders=P.OUTPUT_FOLDERS) -> DataFrame:

@@ -10,18 +10,19 @@ from pyspark.sql.streaming import StreamingQuery
 from shelf.functions import paths as P
 from shelf.operators.numbering import first_per
 from shelf.sources.listing import index_scan
+from shelf.sources.walk import FolderFiles, reachable
 
 
-def watch_files(spark: SparkSession, root: str, max_files: int = 100_000) -> DataFrame:
-    """A stream of (full_path, mtime, length) of files that appear below ``root``."""
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = (
-        spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", max_files).load(root)
-    )
-    return files.select(
-        P.path_from_scheme("path").alias("full_path"), F.col("modificationTime").alias("mtime"), "length"
-    )
+def watch_files(spark: SparkSession, root: str, settle: float = 0.1) -> DataFrame:
+    """A stream of (full_path, mtime, length) of files that appear below ``root``, names with ``_`` among them.
+
+    Offsets are times, ``settle`` seconds behind the clock, which must exceed how far the clocks of writers and readers
+    differ. A file that changes comes again. Tasks list the folders, so the store must be one that they reach."""
+    if not reachable(root):
+        raise ValueError(f"tasks cannot list {root}; follow a stream of listings instead")
+    spark.dataSource.register(FolderFiles)
+    files = spark.readStream.format("folder_files").option("settle", settle).load(root)
+    return files.withColumn("full_path", P.path_from_scheme("full_path"))
 
 
 def follow_index(listing: DataFrame, index_path: str, root: str, checkpoint: str) -> StreamingQuery:

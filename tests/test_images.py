@@ -1,5 +1,7 @@
 import os
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -26,16 +28,14 @@ BOXES = {"one.png": (20, 15, 100, 75), "two.png": (30, 20, 110, 70), "three.png"
 
 
 @pytest.fixture(scope="module")
-def album(tmp_path_factory):
-    from conftest import png
-
+def album(tmp_path_factory, write_png):
     root = tmp_path_factory.mktemp("album")
     for i, (name, box) in enumerate(BOXES.items()):
-        png(root / name, photo(128, 96, box, i))
+        write_png(root / name, photo(128, 96, box, i))
     os.makedirs(root / "sub dir")
-    png(root / "sub dir" / "one copy.png", photo(64, 48, (10, 7, 50, 37), 9))
+    write_png(root / "sub dir" / "one copy.png", photo(64, 48, (10, 7, 50, 37), 9))
     os.makedirs(root / ".hidden")
-    png(root / ".hidden" / "x.png", photo(16, 16, (2, 2, 9, 9)))
+    write_png(root / ".hidden" / "x.png", photo(16, 16, (2, 2, 9, 9)))
     (root / "broken.jpg").write_bytes(b"no image")
     (root / "note.txt").write_text("x")
     return str(root)
@@ -51,21 +51,63 @@ def test_listing_of_a_folder(spark, album):
 
 def test_folders_with_underscores(spark, tmp_path, write_png):
     names = [
-        "a.png", "_d/y.png", "a/_e/z.png", "_m/b/_n/c.png", "_p=1/q.png", "_p=1/_r/_s=2/t.png", "_d/_p=3/u.png", "_metadata_1/v.png", "b_/w.png",
+        "_x.png", "_d/_x.png", "b_/_x 1.png", "a/_e/_.png", "a.png", "_d/y.png", "a/_e/z.png", "_m/b/_n/c.png", "_p=1/q.png", "_p=1/_r/_s=2/t.png", "_d/_p=3/u.png", "_metadata_1/v.png", "b_/w.png",
     ]
     for i, name in enumerate([*names, ".h/_w.png", ".h.png"]):
         os.makedirs((tmp_path / name).parent, exist_ok=True)
         write_png(tmp_path / name, photo(16, 16, (2, 2, 9, 9), i))
     (tmp_path / "_d/broken.JPG").write_bytes(b"no image")
-    (tmp_path / "_m/note.txt").write_text("x")
+    (tmp_path / "_broken.jpg").write_bytes(b"no image")
+    (tmp_path / "_m/_note.txt").write_text("x")
     for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
         found = [os.path.relpath(r.full_path, tmp_path) for r in listing.read_listing(spark, root).collect()]
-        assert sorted(found) == sorted([*names, "_d/broken.JPG", "_m/note.txt"])
+        assert sorted(found) == sorted([*names, "_d/broken.JPG", "_broken.jpg", "_m/_note.txt"])
     read = {os.path.relpath(r.full_path, tmp_path): r.status for r in images.read_images(spark, str(tmp_path)).collect()}
-    assert read == {**dict.fromkeys(names, "ok"), "_d/broken.JPG": "error"}
+    assert read == {**dict.fromkeys(names, "ok"), "_d/broken.JPG": "error", "_broken.jpg": "error"}
     assert images.perceptual_hashes(images.read_images(spark, str(tmp_path))).count() == len(names)
 
 
+def with_orientation(raw, value, order):
+    """A PNG file with a chunk that notes how it is to be turned."""
+    tag = struct.pack(order + "HHIH", 0x0112, 3, 1, value) + b"\0\0"
+    body = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IH", 8, 1) + tag + bytes(4)
+    chunk = struct.pack(">I", len(body)) + b"eXIf" + body + struct.pack(">I", zlib.crc32(b"eXIf" + body))
+    return raw[:33] + chunk + raw[33:]
+
+
+def test_upright_photos(spark, tmp_path, write_png):
+    write_png(tmp_path / "plain.png", photo(24, 16, (2, 3, 9, 14), 1))
+    raw = (tmp_path / "plain.png").read_bytes()
+    for value in range(1, 9):
+        (tmp_path / f"{'_' * (value % 2)}{value}.png").write_bytes(with_orientation(raw, value, "<>"[value % 2]))
+    read = images.read_images(spark, str(tmp_path))
+    noted = {os.path.basename(r.full_path): r.orientation for r in read.collect()}
+    assert noted == {"plain.png": 1, **{f"{'_' * (v % 2)}{v}.png": v for v in range(1, 9)}}
+    grids = {os.path.basename(r.full_path).strip("_"): r for r in images.to_grids(read, 64).collect()}
+    stored = np.array(grids["plain.png"].r).reshape(16, 24)
+    want = {1: stored, 2: np.fliplr(stored), 3: np.rot90(stored, 2), 4: np.flipud(stored), 5: stored.T, 6: np.rot90(stored, -1), 7: np.rot90(stored, 2).T, 8: np.rot90(stored)}
+    for value, a in want.items():
+        g = grids[f"{value}.png"]
+        assert (g.h, g.w) == a.shape == (g.gh, g.gw) and (np.array(g.r).reshape(a.shape) == a).all(), value
+    hashes = {os.path.basename(r.full_path).strip("_"): r.phash for r in images.perceptual_hashes(read).collect()}
+    assert hashes["1.png"] == hashes["plain.png"] != hashes["6.png"]
+
+
+def test_headers():
+    from shelf.sources.orientation import orientation_of
+
+    def of(raw):
+        return orientation_of(lambda at, n: raw[at : at + n])
+
+    entry = struct.pack(">HHIH", 0x0112, 3, 1, 6) + b"\0\0"
+    tiff = b"MM\0*" + struct.pack(">IH", 8, 1) + entry + bytes(4)
+    exif = b"\xff\xe1" + struct.pack(">H", 8 + len(tiff)) + b"Exif\0\0" + tiff
+    assert of(tiff) == 6 and of(b"\xff\xd8\xff\xe0\0\x04ab\xff" + exif) == 6 and of(b"\xff\xd8\xff\xda" + exif) == 1
+    assert of(b"\xff\xd8" + exif[:20]) == of(b"\xff\xd8") == of(b"\xff\xd8\xff\xe1\0\0" * 3) == 1
+    assert of(b"RIFF\0\0\0\0WEBPVP8 " + struct.pack("<I", 3) + b"abc\0" + b"EXIF" + struct.pack("<I", len(tiff)) + tiff) == 6
+    assert of(b"") is None and of(b"no image") is None and of(b"GIF89a") == 1 and of(tiff.replace(b"\0\x06", b"\0\x09")) == 1
+
+
 def test_hashes_of_similar_photos(spark, album):
     rows = {os.path.basename(r.full_path): r for r in images.perceptual_hashes(images.read_images(spark, album)).collect()}
     assert set(rows) == set(BOXES) | {"one copy.png"}
@@ -91,6 +133,42 @@ def test_detection_finds_the_sheet(spark, album):
         assert inter / union > 0.85 and r.conf > 0.7, (r, inter / union)
 
 
+def test_fine_grid_is_like_columns(spark, album):
+    """On one grid, the arrays sampled in tasks give what the column expressions give."""
+    from shelf.operators import edges, fine
+
+    read = images.read_images(spark, album).filter("width = 128")
+    grids = images.to_grids(read, 96).withColumn("image_id", F.element_at(F.split("full_path", "/"), -1)).drop("full_path").withColumnRenamed("w", "pw")
+    arrays = detect.image_arrays(cells_of(spark, album, 96).drop("full_path"))
+    turns = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(a).alias("ang"), F.lit(d).alias("d")) for k, (a, d) in enumerate([(0.0, 0.0), (0.05, 2.0), (-0.1, -3.0), (0.3, 20.0), (0.0, -40.0)])]))
+    rects = arrays.select("image_id", "gw", turns.alias("t")).select(
+        "image_id", "gw", F.lit("m").alias("mask"), "t.rank", "t.ang", F.lit(0.9).alias("fill"), *[(F.lit(float(v)) + F.col("t.d")).alias(k) for k, v in (("x0", 14), ("x1", 77), ("y0", 11), ("y1", 57))]
+    )
+    got = {(r.image_id, r.rank): r for r in fine.judged_rectangles(rects, grids).collect()}
+    want = edges.inner_edge(edges.side_contrasts(edges.snap_sides(rects.drop("gw").join(arrays, "image_id")))).collect()
+    assert len(got) == len(want) == 20
+    for r in want:
+        g = got[r.image_id, r.rank]
+        assert [g[s] for s in fine.SIDES] == pytest.approx([r[s] for s in fine.SIDES]) and (g.touching, g.inner) == (r.touching, r.inner)
+        assert g.contrasts == pytest.approx(r.contrasts, abs=1e-3) and g.purity == pytest.approx(r.purity, abs=1e-4)
+
+
+def test_two_grids_find_finer_sides(spark, tmp_path, write_png):
+    box = (101, 67, 403, 290)
+    write_png(tmp_path / "big.png", photo(480, 360, box, 3))
+    read = images.read_images(spark, str(tmp_path))
+    cells = images.to_cells(images.to_grids(read, 60)).withColumnRenamed("full_path", "image_id")
+    fine_grid = images.to_grids(read, 480).withColumnRenamed("full_path", "image_id")
+
+    def off(found):
+        r = found.first()
+        s = 480 / r.gw
+        return max(abs(min(p["x"] for p in r.quad) * s - box[0]), abs(max(p["x"] for p in r.quad) * s - box[2]), abs(min(p["y"] for p in r.quad) * s - box[1]), abs(max(p["y"] for p in r.quad) * s - box[3]))
+
+    one, two = off(detect.detect_documents(cells)), off(detect.detect_documents(cells, fine=fine_grid))
+    assert two <= 1.0 < one
+
+
 def test_locator_learns_the_sheet(spark, album):
     read = images.read_images(spark, album).filter("width = 128")
     pixels = images.to_cells(images.to_grids(read, 32, 8, cell=2)).withColumn("image_id", F.element_at(F.split("full_path", "/"), -1))

@@ -1,9 +1,12 @@
 """Roots with and without slashes at their end, and paths of several stores."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from shelf.functions import paths as P
-from shelf.sources.listing import distinct_paths, image_scan, index_scan
+from shelf.sources.listing import distinct_paths, image_scan, index_scan, read_listing
+from shelf.sources.walk import FolderFiles
 
 
 def listing(spark, paths):
@@ -29,3 +32,22 @@ def test_two_buckets(spark):
     assert [r.full_path for r in image_scan(files, "s3a://two/").collect()] == ["s3a://two/p/x.jpg"]
     uri = spark.createDataFrame([("hdfs://n:1/p/a%20+b.png",), ("file:///p/a%20b.png",)], "u string").select(P.path_from_uri("u").alias("p"))
     assert sorted(r.p for r in uri.collect()) == ["/p/a b.png", "hdfs://n:1/p/a +b.png"]
+
+
+def test_many_folders(spark, tmp_path):
+    """Folders are rows: one job per level, whatever their number."""
+    names = [f"_{k % 7}/d{k % 90}/e{k}/_f.jpg" for k in range(2000)]
+    for name in names:
+        os.makedirs((tmp_path / name).parent)
+        (tmp_path / name).write_bytes(b"x")
+    os.symlink(tmp_path / "gone", tmp_path / "_0/dangling.jpg")
+    os.symlink(tmp_path / "_1", tmp_path / "_0/again")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walk", "walk")
+    found = {os.path.relpath(r.full_path, tmp_path): r.length for r in read_listing(spark, str(tmp_path)).collect()}
+    n = len(jobs.getJobIdsForGroup("walk"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {**dict.fromkeys(names, 1), "_0/dangling.jpg": None} and n < 40
+    spark.dataSource.register(FolderFiles)
+    direct = spark.read.format("folder_files").load(str(tmp_path))
+    assert {os.path.relpath(r.full_path, tmp_path) for r in direct.collect()} == set(names) and direct.rdd.getNumPartitions() >= 64

@@ -1,4 +1,5 @@
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -34,3 +35,27 @@ def test_feedback_from_a_stream(spark, data, folder):
     margin = {r.profile: r.value for r in folds.fold(answers, ["profile"], F.lit(1.0), folds.margin_effect()).collect()}
     threshold = {r.profile: r.value for r in folds.fold(answers, ["profile"], F.lit(10), folds.threshold_effect()).collect()}
     assert got == {p: (margin[p], threshold[p]) for p in margin}
+
+
+def test_files_that_appear(spark, tmp_path, write_png):
+    from shelf.streaming.index import watch_files
+
+    root, pixels = tmp_path / "photos", [[(1, 2, 3)] * 4] * 4
+    for name in ("_a/_x.jpg", "b/_y.png", "_z.png"):
+        os.makedirs((root / name).parent, exist_ok=True)
+        write_png(root / name, pixels)
+
+    def run():
+        time.sleep(0.3)
+        follow_index(watch_files(spark, str(root)), str(tmp_path / "index"), str(root), str(tmp_path / "progress")).awaitTermination()
+        return {os.path.relpath(r.full_path, root): r.batch for r in read_index(spark, str(tmp_path / "index")).collect()}
+
+    first = run()
+    assert set(first) == {"_a/_x.jpg", "b/_y.png"}  # the root's own files are not indexed
+    os.makedirs(root / "c/.hidden")
+    write_png(root / "c/_new.png", pixels)
+    write_png(root / "c/.hidden/_h.png", pixels)
+    os.utime(root / "c/_new.png", (1, 1))  # moved in with an old date
+    second = run()
+    assert set(second) == {*first, "c/_new.png"} and second["c/_new.png"] > max(first.values())
+    assert run() == second
