@@ -8,13 +8,14 @@ words, held in a wavelet matrix. The texts then stream through their shard's ind
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelf.llm import textbytes as tb
 from shelf.llm.skew import join_groups
@@ -26,8 +27,12 @@ MOST_WINDOWS = 64
 #: A marker that more regions have is crowded: its regions are cut into single windows.
 CROWDED = 4096
 SHARD_WORDS = 1 << 19
+#: Words of an average region: half the places of a marker in a window, and the rest of a window.
+REGION_WORDS = (WINDOW - MARK + 2) // 2 + WINDOW - 1
 FILTER_BITS = 16
 MOST_BITS = 1 << 28
+#: Distinct regions that a task holds back to combine equal ones.
+COMBINED = 1 << 19
 SLICE_BITS = 1 << 19
 _WORD = (~tb.WHITE).astype(np.uint8)
 _NO_ID = np.iinfo(np.int64).max
@@ -113,6 +118,13 @@ def _markers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(r.marker), pa.array(ids[chunk.first + r.text])], ["marker", "doc_id"])
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished steps are deleted once the driver's objects are collected; have that done now, as the next
+    step needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _slot(marker: np.ndarray, n_bits: int) -> np.ndarray:
     return (tb.mixed(marker.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(n_bits - 1)).astype(np.int64)
 
@@ -158,32 +170,68 @@ def _pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
-def _regions(repeated: object, crowded: object) -> object:
-    """Arrow task: the regions that pass the filter. A region's text comes with its first occurrence in a chunk only."""
+def _passing(chunk: tb.Chunk, repeated: np.ndarray, crowded: np.ndarray) -> tuple[Regions, np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's regions that pass the filter, those of crowded markers cut up; their byte ranges and content hashes."""
+    r = Regions(chunk)
+    r.only(in_filter(repeated, r.marker))
+    r.cut(in_filter(crowded, r.marker))
+    start, end = r.bounds()
+    return r, start, end, tb.range_hash(r.hash, start, end).view(np.int64)
+
+
+def _occurrences(repeated: object, crowded: object) -> object:
+    """Arrow task: where the regions that pass the filter stand, without their texts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = np.asarray(batch.column("doc_id"), np.int64), np.asarray(batch.column("row"), np.int64)
             for chunk in tb.chunks(batch.column("text")):
-                r = Regions(chunk)
-                r.only(in_filter(repeated.value, r.marker))
-                r.cut(in_filter(crowded.value, r.marker))
-                start, end = r.bounds()
-                content = tb.range_hash(r.hash, start, end).view(np.int64)
-                order = np.lexsort((content, r.marker))
-                new = np.ones(len(order), bool)
-                new[1:] = (content[order][1:] != content[order][:-1]) | (r.marker[order][1:] != r.marker[order][:-1])
-                told = np.zeros(len(order), bool)
-                told[order[new]] = True
-                texts = _pieces(r.data, start[told], end[told]).take(pa.array(np.where(told, np.cumsum(told) - 1, 0), mask=~told))
+                r, _, _, content = _passing(chunk, repeated.value, crowded.value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.marker), pa.array(content), pa.array(ids[chunk.first + r.text]), pa.array(rows[chunk.first + r.text]), pa.array(r.place, pa.int64()), pa.array(r.windows, pa.int32()), texts.cast(pa.binary())],
-                    ["marker", "content", "doc_id", "row", "place", "windows", "words"],
+                    [pa.array(r.marker), pa.array(content), pa.array(ids[chunk.first + r.text]), pa.array(rows[chunk.first + r.text]), pa.array(r.place, pa.int32())],
+                    ["marker", "content", "doc_id", "row", "place"],
                 )
 
     return emit
 
 
+def _texts(repeated: object, crowded: object) -> object:
+    """Arrow task: the distinct regions that pass the filter, each with its words, its smallest and largest doc_id and its
+    number of occurrences. Equal regions of a task are one row, up to COMBINED rows at a time."""
+    names = ["marker", "content", "words", "first_doc", "last_doc", "n"]
+
+    def combined(parts: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(parts).combine_chunks()
+        key = np.stack([whole["marker"].to_numpy(), whole["content"].to_numpy()])
+        order = np.lexsort(key)
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key[:, order]) != 0).any(0)
+        at = np.flatnonzero(new)
+        sums = [f.reduceat(whole[c].to_numpy()[order], at) for f, c in ((np.minimum, "first_doc"), (np.maximum, "last_doc"), (np.add, "n"))]
+        one = whole.select(names[:3]).take(pa.array(order[at]))
+        return pa.table([*one.columns, *(pa.array(x) for x in sums)], names=names)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            ids = np.asarray(batch.column("doc_id"), np.int64)
+            for chunk in tb.chunks(batch.column("text")):
+                r, start, end, content = _passing(chunk, repeated.value, crowded.value)
+                if not len(content):
+                    continue
+                doc = pa.array(ids[chunk.first + r.text])
+                held.append(combined([pa.table([pa.array(r.marker), pa.array(content), _pieces(r.data, start, end), doc, doc, pa.array(np.ones(len(content), np.int64))], names=names)]))
+                if sum(t.num_rows for t in held) > COMBINED:
+                    held = [combined(held)]
+                    if held[0].num_rows > COMBINED // 2:
+                        yield from held[0].to_batches(max_chunksize=10_000)
+                        held = []
+        if held:
+            yield from combined(held).to_batches(max_chunksize=10_000)
+
+    return emit
+
+
 class WaveletMatrix:
     """Symbols 0 to 2**levels - 1 as one packed bit vector per level, with counts before every 64 bits."""
 
@@ -209,31 +257,39 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Full-text index over texts of word numbers from 1 on; 0 ends every text. ``owner`` is each sorted suffix's text."""
+    """Full-text index over texts of word numbers from 1 on; 0 ends every text. ``owner`` is each sorted suffix's text.
 
-    def __init__(self, symbols: np.ndarray):
+    ``low`` and ``high`` bound, for every sorted suffix, the suffixes that share its first ``depth`` words: how a match of
+    more words is cut at its end."""
+
+    def __init__(self, symbols: np.ndarray, depth: int = WINDOW - 1):
         ends = np.flatnonzero(symbols == 0)
         n, text = len(symbols), np.cumsum(symbols == 0) - (symbols == 0)
         rank = symbols + len(ends)
         rank[ends] = np.arange(len(ends))  # ends differ, so no comparison runs on into the next text
-        step = 1
+        step, left, shared = 1, depth, np.zeros(n, np.int64)
         while True:
+            if left & step:  # the words that ``depth`` still lacks, in stretches of powers of two
+                at = np.minimum(np.arange(n) + depth - left, n - 1)
+                shared = _paired(shared, rank[at])
+                left -= step
+            if step >= n or (left <= 0 and rank.max() == n - 1):
+                break
             tail = np.zeros(n, np.int64)
             tail[: n - step] = rank[step:] + 1
-            key = rank * (int(rank.max()) + 2) + tail
-            order = np.argsort(key, kind="stable")
-            new = np.ones(n, bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            if new.all() or step >= n:
-                break
+            rank = _paired(rank, tail)
             step *= 2
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
         self.owner = text[order]
         self.matrix = WaveletMatrix(symbols[order - 1])
         counts = np.bincount(symbols)
-        every = np.arange(len(counts))
-        self.shift = np.cumsum(counts) - counts - self.matrix.below(every, np.zeros(len(counts), np.int64))
+        self.shift = np.cumsum(counts) - counts - self.matrix.below(np.arange(len(counts)), np.zeros(len(counts), np.int64))
+        new = np.ones(n + 1, bool)
+        new[1:-1] = shared[order][1:] != shared[order][:-1]
+        edges = np.flatnonzero(new)
+        group = np.cumsum(new[:-1]) - 1
+        self.low, self.high = edges[group], edges[group + 1]
 
     def extended(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: suffix ranges of the matches with ``symbol`` before them."""
@@ -241,41 +297,59 @@ class FMIndex:
         return both[: len(low)], both[len(low) :]
 
 
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dense ranks of the pairs (a, b)."""
+    key = a * (int(b.max(initial=0)) + 1) + b
+    order = np.argsort(key)
+    new = np.zeros(len(key), np.int64)
+    new[1:] = key[order][1:] != key[order][:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
 def long_matches(symbols: np.ndarray, threshold: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, FMIndex]:
     """Matching statistics of every text against the index of all of them, as far as ``threshold``.
 
-    For every place with a whole window: the place, and the suffix range [low, high) of the windows equal to it. A search ends
-    early, with its own text alone, where no other match is left."""
-    index = FMIndex(symbols)
-    zero = np.cumsum(symbols == 0)
-    at = np.arange(len(symbols) - threshold)
-    at = at[(zero[at + threshold - 1] == zero[at]) & (symbols[at] != 0)]
+    All texts stream through the index from their ends: the last words are searched backwards, then every word to the left is
+    one more step, before which the match is cut to ``threshold`` - 1 words. Returns the places whose match reaches the
+    threshold and is not the place's own alone, and the suffix range [low, high) of each."""
+    index = FMIndex(symbols, threshold - 1)
+    ends = np.flatnonzero(symbols == 0)
+    sizes = np.diff(ends, prepend=-1) - 1
+    at = ends[sizes >= threshold]
+    first = at - sizes[sizes >= threshold]
     low, high = np.zeros(len(at), np.int64), np.full(len(at), len(symbols), np.int64)
-    alive = np.arange(len(at))
-    for back in range(threshold):
-        low[alive], high[alive] = index.extended(symbols[at[alive] + threshold - 1 - back], low[alive], high[alive])
-        alive = alive[high[alive] - low[alive] > 1]
-    done = np.zeros(len(at), bool)
-    done[alive] = True
-    return at[done], low[done], high[done], index
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    length = 0
+    while len(at):
+        at = at - 1
+        low, high = index.extended(symbols[at], low, high)
+        length += 1
+        if length < threshold:
+            continue
+        several = high - low > 1
+        found.append((at[several], low[several], high[several]))
+        on = at > first
+        at, first, row = at[on], first[on], low[on]
+        low, high = index.low[row], index.high[row]
+    return *(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (list(zip(*found)) or [()] * 3)), index
 
 
 def _earliest(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: index its texts, stream them through, and say for every window which document has it first."""
-    words, n_words, own = rows["words"].tolist(), [], rows["first_doc"].to_numpy()
-    flat: list[bytes] = []
-    for w in words:
-        parts = w.split(b" ")
-        flat += parts
-        n_words.append(len(parts))
-    numbers = pa.array(flat, pa.large_binary()).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-    sizes = np.array(n_words)
+    same = rows.groupby(["marker", "content"], sort=False)
+    rows = same.agg(words=("words", "first"), first_doc=("first_doc", "min"), last_doc=("last_doc", "max"), n=("n", "sum")).reset_index()
+    own = rows["first_doc"].to_numpy()
+    split = [w.split(b" ") for w in rows["words"]]
+    sizes = np.array([len(w) for w in split])
+    words = pa.array([x for w in split for x in w], pa.large_binary())
     head = np.cumsum(sizes + 1) - sizes - 1
-    symbols = np.zeros(len(flat) + len(words), np.int64)
+    symbols = np.zeros(len(words) + len(split), np.int64)
     inside = np.ones(len(symbols), bool)
     inside[head + sizes] = False
-    symbols[inside] = numbers
-    text = np.repeat(np.arange(len(words)), sizes + 1)
+    symbols[inside] = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    text = np.repeat(np.arange(len(split)), sizes + 1)
     least = own[text].copy()
     at, low, high, index = long_matches(symbols)
     if len(at):
@@ -283,22 +357,15 @@ def _earliest(rows: pd.DataFrame) -> pd.DataFrame:
         docs = np.append(own[index.owner], _NO_ID)
         least[at] = np.minimum.reduceat(docs, np.stack([starts, high[nth]], 1).ravel())[::2][which]
     keep = np.arange(len(symbols)) - head[text] <= sizes[text] - WINDOW
-    n_windows = np.maximum(0, sizes - WINDOW + 1)
-    lists = np.split(least[keep], np.cumsum(n_windows)[:-1])
-    out = pd.DataFrame({"marker": rows["marker"].to_numpy(), "content": rows["content"].to_numpy(), "n": rows["n"].to_numpy(), "least": lists})
+    lists = np.split(least[keep], np.cumsum(sizes - WINDOW + 1)[:-1])
+    out = rows[["marker", "content", "n"]].assign(least=lists)
     return out[[bool((x < last).any()) for x, last in zip(lists, rows["last_doc"])]]
 
 
-def earliest_windows(found: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Written (marker, content, n, least): for every distinct region of ``found`` that some document must cut, the smallest
-    doc_id that has each of its windows."""
-    same = ["marker", "content"]
-    counts = found.groupBy(*same).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
-    texts = found.filter("words is not null").select(*same, "words").distinct()
-    distinct = write_down(counts.join(texts, same), "region-texts")
-    total = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(1, total // (6 * shard_words))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("marker"), F.lit(shards)))
+def earliest_windows(texts: DataFrame, shards: int) -> DataFrame:
+    """Written (marker, content, n, least): for every distinct region that some document must cut, the smallest doc_id that
+    has each of its windows. Regions of one marker are in one shard."""
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("marker"), F.lit(shards)))
     return write_down(spread(dealt, "shard").groupBy("shard").applyInPandas(_earliest, "marker long, content long, n long, least array<long>"), "earliest")
 
 
@@ -317,7 +384,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(row))[: len(first)] - 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[row[first]]), batch.column("row").take(pa.array(row[first])), pa.array(at[first]), pa.array(at[last] + WINDOW)], ["doc_id", "row", "start", "end"]
+            [pa.array(ids[row[first]]), batch.column("row").take(pa.array(row[first])), pa.array(at[first], pa.int32()), pa.array(at[last] + WINDOW, pa.int32())], ["doc_id", "row", "start", "end"]
         )
 
 
@@ -363,11 +430,16 @@ def remove_shared_windows(docs: DataFrame, crowded: int = CROWDED, shard_words:
     per_marker = ordered.select("doc_id", "text").mapInArrow(_markers, "marker long, doc_id long").groupBy("marker").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
     repeated = write_down(per_marker.filter("a < b").select("marker", "n"), "markers")
     many = repeated.filter(F.col("n") > crowded)
-    sent = [spark.sparkContext.broadcast(marker_filter(x, x.count(), most_bits)) for x in (repeated, many)]
-    found = write_down(ordered.mapInArrow(_regions(*sent), "marker long, content long, doc_id long, row long, place long, windows int, words binary"), "found")
-    earliest = earliest_windows(found, shard_words)
-    hits = join_groups(found.select("marker", "content", "doc_id", "row", "place"), earliest, ["marker", "content"], "n", found.count())
-    spans = hits.select("doc_id", "row", "place", "least").mapInArrow(_spans, "doc_id long, row long, start long, end long")
+    size = repeated.agg(F.count("*").alias("markers"), F.count_if(F.col("n") > crowded).alias("many"), F.sum("n").alias("regions")).first()
+    sent = [spark.sparkContext.broadcast(marker_filter(x, n, most_bits)) for x, n in ((repeated, size["markers"]), (many, size["many"]))]
+    let_go(spark)
+    found = write_down(ordered.mapInArrow(_occurrences(*sent), "marker long, content long, doc_id long, row long, place int"), "found")
+    distinct = ordered.select("doc_id", "text").mapInArrow(_texts(*sent), "marker long, content long, words binary, first_doc long, last_doc long, n long")
+    earliest = earliest_windows(distinct, max(1, (size["regions"] or 0) * REGION_WORDS // shard_words))
+    let_go(spark)
+    hits = join_groups(found, earliest, ["marker", "content"], "n", size["regions"] or 0)
+    spans = hits.select("doc_id", "row", "place", "least").mapInArrow(_spans, "doc_id long, row long, start int, end int")
     spans = write_down(spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "order"), "spans")
+    let_go(spark)
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>"
     return texts.join(spans, ["order", "row"], "left").select("doc_id", "text", "spans").mapInArrow(_kept, result)
