@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelf.llm import textbytes as tb
 from shelf.session import write_down
@@ -17,6 +17,12 @@ BUCKETS = 1 << 18
 MAX_LABELLED = 100_000
 #: Standard errors (signed root of the likelihood ratio) by which more toxic documents than others must hold an n-gram.
 TOXIC_ERRORS = 4.5
+#: Times as often, at least, a toxic document must hold an n-gram as another: with many labels, small differences are sure too.
+TOXIC_TIMES = 10.0
+#: Share of the raw model in the target model: an n-gram that no target text holds costs at most its logarithm.
+RAW_SHARE = 0.5
+#: A text weighs as if it had so many n-grams, whatever its length.
+NOMINAL = 1024
 #: What a toxic document loses in log weight: it comes after all others.
 TOXIC_LOSS = 1e9
 _KIND = np.full(256, 1, np.uint8)  # words; every byte of a longer character is a word byte
@@ -102,19 +108,19 @@ def bucket_counts(counts: DataFrame, buckets: int = BUCKETS) -> dict[str, np.nda
 
 
 def log_ratios(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """log(target share / raw share) of every bucket, both smoothed towards the raw shares. Zeros if there is no
-    target text."""
+    """log(target share / raw share) of every bucket. The target model is mixed with the raw one, so that n-grams which few
+    labelled texts happen to hold do not decide. Zeros if there is no target text."""
     raw, target = counts["raw"], counts["target"]
     if not target.sum():
         return np.zeros(len(raw), np.float32)
     q = (raw + 1) / (raw + 1).sum()
-    p = target + q * len(raw)  # one pseudo-count per bucket on average
-    return (np.log(p / p.sum()) - np.log(q)).astype(np.float32)
+    p = (1 - RAW_SHARE) * target / target.sum() + RAW_SHARE * q
+    return (np.log(p) - np.log(q)).astype(np.float32)
 
 
 def toxic_ratios(counts: dict[str, np.ndarray], n_toxic: int, n_clean: int) -> np.ndarray:
-    """log(share in toxic texts / share in others) of every n-gram that surely is in more of the toxic documents; all
-    other n-grams are one kind with one ratio, so that a long text needs as dense evidence as a short one. Zeros
+    """log(share in toxic texts / share in others) of every n-gram that surely, and TOXIC_TIMES as often, is in toxic
+    documents; all other n-grams are one kind with one ratio, so that a long text needs as dense evidence as a short one. Zeros
     if there are no such n-grams."""
     a, c = counts["toxic_docs"], counts["clean_docs"]
 
@@ -123,7 +129,7 @@ def toxic_ratios(counts: dict[str, np.ndarray], n_toxic: int, n_clean: int) -> n
 
     cells = xlogx(a) + xlogx(c) + xlogx(n_toxic - a) + xlogx(n_clean - c)
     sides = xlogx(a + c) + xlogx(n_toxic + n_clean - a - c) + xlogx(n_toxic) + xlogx(n_clean)
-    sure = (2 * (cells - sides + xlogx(n_toxic + n_clean)) > TOXIC_ERRORS**2) & (a * n_clean > c * n_toxic)
+    sure = (2 * (cells - sides + xlogx(n_toxic + n_clean)) > TOXIC_ERRORS**2) & ((a + 0.5) * (n_clean + 1) > TOXIC_TIMES * (c + 0.5) * (n_toxic + 1))
     toxic, clean = ((counts[k] + 0.5) / (counts[k].sum() + 1) for k in ("toxic", "clean"))
     if not sure.any() or not n_toxic or not n_clean:
         return np.zeros(len(a), np.float32)
@@ -133,8 +139,8 @@ def toxic_ratios(counts: dict[str, np.ndarray], n_toxic: int, n_clean: int) -> n
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray) -> DataFrame:
-    """``docs`` without text, with n_grams, log_weight and toxic_score: the sums of the two log ratios of the text's
-    n-grams."""
+    """``docs`` without text, with n_grams, log_weight and toxic_score: NOMINAL times the mean log ratio of the text's
+    n-grams, and the sum of their toxic log ratios."""
     shared = docs.sparkSession.sparkContext.broadcast((ratios, toxic))
     keep = [c for c in docs.columns if c != "text"]
 
@@ -145,7 +151,8 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray) -> DataF
             for chunk in tb.chunks(batch.column("text")):
                 b, text = ngrams(chunk, len(table))
                 n[chunk.first : chunk.last] = np.bincount(text, minlength=len(chunk))
-                s[chunk.first : chunk.last] = np.bincount(text, table[b], minlength=len(chunk))
+                mine = slice(chunk.first, chunk.last)
+                s[mine] = NOMINAL * np.bincount(text, table[b], minlength=len(chunk)) / np.maximum(n[mine], 1)
                 t[chunk.first : chunk.last] = np.bincount(text, evidence[b], minlength=len(chunk))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n), pa.array(s), pa.array(t)], [*keep, "n_grams", "log_weight", "toxic_score"])
 
@@ -196,11 +203,11 @@ def top_k(keyed: DataFrame, k: int) -> DataFrame:
     )
 
 
-def calibrated_cut(keyed: DataFrame, limit: int = MAX_LABELLED) -> float | None:
+def calibrated_cut(keyed: DataFrame) -> float | None:
     """The lowest key that best separates targets from the other labelled rows (largest sum of the share of
-    targets at or above it and of others below it). None where one kind is missing. ``keyed`` holds at most
-    ``limit`` rows with a target, which reach the driver."""
-    rows = keyed.filter("target is not null").select("key", "target").limit(limit).toPandas()
+    targets at or above it and of others below it). None where one kind is missing. Labelled documents, of which the
+    sample has a stated number, reach the driver, one row for each doc_id."""
+    rows = keyed.filter("target is not null").groupBy("doc_id").agg(F.min("key").alias("key"), F.min("target").alias("target")).toPandas()
     keys, target = rows["key"].to_numpy(), rows["target"].to_numpy().astype(bool)
     if target.all() or not target.any():
         return None
@@ -212,27 +219,29 @@ def calibrated_cut(keyed: DataFrame, limit: int = MAX_LABELLED) -> float | None:
     return float(keys[int(np.argmax(gain))])
 
 
-def toxic_limit(scored: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_LABELLED) -> float:
+def toxic_limit(scored: DataFrame, n_toxic: int, n_clean: int) -> float:
     """The toxic score above which a document is toxic: what best separates held-out toxic rows (``toxic``) from
     others, at least the log odds against toxic among labelled documents, where it is as likely as not."""
-    rows = scored.filter("toxic is not null").select((-F.col("toxic_score")).alias("key"), (~F.col("toxic")).alias("target"))
-    cut = calibrated_cut(rows, limit)
+    rows = scored.filter("toxic is not null").select("doc_id", (-F.col("toxic_score")).alias("key"), (~F.col("toxic")).alias("target"))
+    cut = calibrated_cut(rows)
     odds = float(np.log(max(n_clean, 1) / max(n_toxic, 1)))
     return max(0.0, odds, -cut if cut is not None else 0.0)
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, n_grams, log_weight, key, kept) of every document.
+class Models:
+    """What is learned from the labels and all texts: the two tables of log ratios, and the cuts."""
 
-    The raw model counts the n-grams of every whole text, the target model those of a bounded sample of
-    documents labelled as good and not toxic. The log weight is the log ratio of the two models; Gumbel noise is
-    added and the k largest keys stay. A second pair of models, of texts labelled toxic and not, finds toxic
-    documents; these lose TOXIC_LOSS, so they only stay where ``k`` leaves room for them. Without ``k`` it is
-    the number of documents, toxic ones aside, at or above the key that best separates held-out rows of good and
-    bad quality; without labels of both kinds all others stay.
+    def __init__(self, ratios: np.ndarray, toxic: np.ndarray, toxic_cut: float = 0.0, cut: float | None = None):
+        self.ratios, self.toxic, self.toxic_cut, self.cut = ratios, toxic, toxic_cut, cut
 
-    Null and empty texts weigh 0. Repeated rows draw the same noise. Other columns of ``docs`` are not read.
-    """
+    def keeps(self) -> Column:
+        """Over ``key`` and ``toxic_score``: not toxic, and at or above the cut where there is one."""
+        passes = F.lit(True) if self.cut is None else F.col("key") >= self.cut
+        return (F.col("toxic_score") <= self.toxic_cut) & passes
+
+
+def _scored(docs: DataFrame, labels: DataFrame, seed: int, max_labelled: int) -> tuple[DataFrame, Models]:
+    """Written (doc_id, target, toxic, n_grams, log_weight, toxic_score, key) of every document, and the models."""
     sample = write_down(labelled_sample(labels, max_labelled), "labelled")
     sizes = sample.filter("fit").agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     sample = F.broadcast(sample.select("doc_id", F.col("target").alias("_t"), F.col("toxic").alias("_x"), "good", "fit"))
@@ -241,11 +250,38 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     # the cut of quality is set by good rows that are not toxic and by bad ones; toxic rows have a cut of their own
     held = marked.withColumn("target", F.when(~F.col("fit") & (F.col("_t") | ~F.col("good")), F.col("_t")))
     held = held.withColumn("toxic", F.when(~F.col("fit"), F.col("_x"))).drop("_t", "_x", "good", "fit")
-    keyed = write_down(gumbel_keys(log_weights(held, log_ratios(counts), toxic_ratios(counts, *sizes)), seed), "resampled")
-    toxic = F.col("toxic_score") > toxic_limit(keyed, *sizes, max_labelled)
+    models = Models(log_ratios(counts), toxic_ratios(counts, *sizes))
+    keyed = write_down(gumbel_keys(log_weights(held, models.ratios, models.toxic), seed), "resampled")
+    models.toxic_cut, models.cut = toxic_limit(keyed, *sizes), calibrated_cut(keyed)
+    return keyed, models
+
+
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, n_grams, log_weight, key, kept) of every document.
+
+    The raw model counts the n-grams of every whole text, the target model those of a bounded sample of
+    documents labelled as good and not toxic. The log weight is the mean log ratio of the two models over the text, as if it
+    had NOMINAL n-grams, so length does not decide; Gumbel noise is added and the k largest keys stay. A second pair of
+    models, of texts labelled toxic and not, finds toxic documents; these lose TOXIC_LOSS, so they only stay where ``k``
+    leaves room for them. Without ``k`` it is the number of documents, toxic ones aside, at or above the key that best
+    separates held-out rows of good and bad quality; without labels of both kinds all others stay.
+
+    Null and empty texts weigh 0; very long texts count whole. Repeated rows draw the same noise. Other columns of
+    ``docs`` are not read.
+    """
+    keyed, models = _scored(docs, labels, seed, max_labelled)
     if k is None:
-        cut = calibrated_cut(keyed, max_labelled)
-        k = keyed.filter(~toxic & (F.lit(True) if cut is None else F.col("key") >= cut)).count()
-    loss = F.when(toxic, TOXIC_LOSS).otherwise(0.0)
+        k = keyed.filter(models.keeps()).count()
+    loss = F.when(F.col("toxic_score") > models.toxic_cut, TOXIC_LOSS).otherwise(0.0)
     keyed = keyed.withColumn("key", F.col("key") - loss).withColumn("log_weight", F.col("log_weight") - loss)
     return top_k(keyed.drop("toxic", "toxic_score"), k).drop("target")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, seed: int = SEED, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that :func:`resampled` keeps, with all their columns, whatever their names. Texts are scored once
+    more with the cuts at hand and leave or stay where they are, so none shuffles."""
+    _, models = _scored(docs, labels, seed, max_labelled)
+    names = docs.columns
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
+    kept = gumbel_keys(log_weights(packed, models.ratios, models.toxic), seed).filter(models.keeps())
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)])
