@@ -11,8 +11,7 @@ from shelf.session import write_down
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling; documents that it rejects go."""
-    scored = resample.resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without(docs, write_down(scored.filter("not kept").select("doc_id"), "rejected"), "doc_id")
+    return resample.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
