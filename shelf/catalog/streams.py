@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelf.catalog.files import EXT, ROOT
 from shelf.catalog.logs import WALK
 from shelf.fixtures import Tables, query, with_views
+from shelf.plans.auto_crop import auto_crop
 from shelf.session import shared_dir
 from shelf.sources import images, orientation
 from shelf.streaming.folds import follow_feedback, read_state
@@ -107,6 +108,45 @@ def a7(t):
     return every.select(F.col("full_path").cast("bigint").alias("image_id"), "status", "w", "h", "y", "x", "r")
 
 
+def _photo_bytes(t: Tables):
+    """Each vector as a 32 x 24 grey photo with a sheet whose place, paper and table follow from it, as the image reader gives
+    it; some lie on their side, some have too few bytes or could not be read, some show no sheet. el to eb: where it is."""
+    v = F.col("vec_id")
+    bare = v % 17 == 2
+    l, t_, r, b = 5 + v % 4, 4 + v % 3, 27 - v % 3, 20 - v % 2
+    paper = F.when(bare, F.lit(60)).otherwise(190 + v % 40)
+    table = F.when(bare, F.lit(60)).otherwise(40 + F.coalesce("label", F.lit(0)) * 3)
+    dark, light = (F.lpad(F.hex(x.cast("int")), 2, "0") for x in (table, paper))
+    rows = t.table("embeddings").select("vec_id", *[x.cast("int").alias(k) for k, x in (("l", l), ("t", t_), ("r", r), ("b", b))], dark.alias("dark"), light.alias("light"))
+    text = F.expr("repeat(repeat(dark, 32), t) || repeat(repeat(dark, l) || repeat(light, r - l) || repeat(dark, 32 - r), b - t) || repeat(repeat(dark, 32), 24 - b)")
+    lying, short, lost = v % 5 == 1, v % 13 == 0, v % 23 == 4
+    turned = {"el": (24 - F.col("b"), "l"), "et": (F.col("l"), "t"), "er": (24 - F.col("t"), "r"), "eb": (F.col("r"), "b")}
+    return rows.select(
+        F.concat(F.lit("/lake/in/d"), (v % 40).cast("string"), F.lit("/p"), v.cast("string"), F.lit(".jpg")).alias("full_path"),
+        F.lit(32).alias("width"), F.when(lost, F.lit(-1)).otherwise(F.lit(24)).alias("height"), F.lit(1).alias("nChannels"),
+        F.unhex(F.when(short, F.substring(text, 1, 100)).otherwise(text)).alias("data"), F.when(lying, F.lit(6)).otherwise(F.lit(1)).alias("orientation"),
+        *[F.when(lying, on_side).otherwise(F.col(c)).alias(k) for k, (on_side, c) in turned.items()],
+    )
+
+
+@query(
+    "F10_auto_crop",
+    """select '/lake/in/d' || (vec_id % 40) || '/p' || vec_id || '.jpg' as full_path, case when broken then 'error' when vec_id % 17 = 2 then 'skipped' else 'pending' end as status,
+  broken as failed_to_decode, case when broken then null when vec_id % 5 = 1 then 24 else 32 end as w, case when broken then null when vec_id % 5 = 1 then 32 else 24 end as h,
+  not broken and vec_id % 17 <> 2 as at_sheet, case when not broken and vec_id % 17 <> 2 then '/lake/auto_cropped/in/d' || (vec_id % 40) || '/p' || vec_id || '.jpg' end as destination
+from (select vec_id, vec_id % 13 = 0 or vec_id % 23 = 4 as broken from embeddings)""",
+)
+def f10(t):
+    """Sides are as sharp as smoothing leaves them: within three cells of the sheet counts as at it."""
+    photos = _photo_bytes(t)
+    found = auto_crop(photos, photos.select("full_path"), "/lake", "/lake/auto_cropped", "run")
+    near = [F.abs(F.col(f"box.{s}") - F.col(f"e{s}")) <= 3 for s in "ltrb"]
+    return found.join(photos.select("full_path", "el", "et", "er", "eb"), "full_path").select(
+        "full_path", "status", ((F.col("status") == "error") & (F.col("stage") == "decode")).alias("failed_to_decode"), "w", "h",
+        F.coalesce((F.col("status") == "pending") & near[0] & near[1] & near[2] & near[3], F.lit(False)).alias("at_sheet"), "destination",
+    )
+
+
 @query("D1_perceptual_hashes")
 def d1(t):
     return images.perceptual_hashes(_bytes(t))

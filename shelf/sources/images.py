@@ -134,6 +134,38 @@ def to_grids(images: DataFrame, long_side: int = 480, smallest: int = 16, cell:
     return _with_turn(images).mapInPandas(convert, _PIXELS)
 
 
+_TWO = f"{_PIXELS}, fine_gw int, fine_gh int, fine_r array<float>, fine_g array<float>, fine_b array<float>, reason string"
+
+
+def two_grids(images: DataFrame, long_side: int = 480, fine_side: int = 1600) -> DataFrame:
+    """One row per image, also of those that cannot be decoded: the grid of ``to_grids`` (gw, gh, r, g, b), a finer one
+    (fine_gw, …), and ``reason``, null where there are grids. Bytes are decoded once for both; write the table down
+    and read the columns that are needed."""
+    width, height, channels, data, turn = (F.col(c) for c in ("width", "height", "nChannels", "data", "orientation")) if "orientation" in images.columns else (*(F.col(c) for c in ("width", "height", "nChannels", "data")), F.lit(1))
+
+    def grid(photo: np.ndarray, side: int) -> tuple:
+        gw, gh = grid_size(photo.shape[1], photo.shape[0], side)
+        a = _averaged(photo, gh, gw).astype(np.float32)
+        return gw, gh, *(a[:, :, c].ravel() for c in range(3))
+
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["full_path", "w", "h", "gw", "gh", "r", "g", "b", "fine_gw", "fine_gh", "fine_r", "fine_g", "fine_b", "reason"]
+        for batch in batches:
+            out = []
+            for path, w, h, n, data, turn in batch.itertuples(index=False):
+                try:
+                    if not h > 0 or data is None:
+                        raise ValueError("the file cannot be read as an image")
+                    photo = upright(_colors(int(h), int(w), int(n), data), turn)
+                    out.append((path, photo.shape[1], photo.shape[0], *grid(photo, long_side), *grid(photo, fine_side), None))
+                except Exception as e:  # one photo's fault is that photo's row
+                    out.append((path, *[None] * 12, str(e)[:200]))
+            yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("w", "h", "gw", "gh", "fine_gw", "fine_gh")})
+
+    rows = images.select("full_path", width.alias("w"), height.alias("h"), channels.alias("n"), data.alias("data"), F.coalesce(turn, F.lit(1)).alias("turn"))
+    return rows.mapInPandas(convert, _TWO)
+
+
 def to_cells(grids: DataFrame, by: str = "full_path") -> DataFrame:
     """Long table (``by``, y, x, r, g, b) of grids."""
     cells = grids.select(by, "gw", F.posexplode(F.arrays_zip("r", "g", "b")).alias("at", "c"))
