@@ -12,6 +12,7 @@ HEADLINE = (
     "A1_index_scan", "A3_insert_if_absent", "B2_month_moves", "B3_free_destination", "B5_page_manifest",
     "C4_template", "C9_invoice_numbers", "D3_similar_pairs", "D6_nearest_duplicate", "E2_parameter_changes",
     "E4_threshold_fold", "F2_taught_prior", "F7_crop_plan", "G1_window_sum", "G3_otsu", "L5_best_rectangle", "I1_quad_iou",
+    "A7_upright_grid", "A11_stored_index", "C12_single_invoices", "D1_perceptual_hashes", "E5_online_parameters", "G14_detections", "L1_cell_features",
 )
 
 

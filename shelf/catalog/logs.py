@@ -191,6 +191,16 @@ def e13_removed(t):
     return logs.review_decisions(t.log(), _decisions(t))["removed"]
 
 
+@query(
+    "E13_removed_existing_copies",
+    with_views("log_v", body="select distinct destination from log_v l join events e on e.event_id = l.id where op = 'crop' and value between 20 and 80 and event_id % 3 = 0 and destination in (select destination from log_v where id % 5 < 3)"),
+)
+def e13_existing(t):
+    """Only copies that a listing still has can be removed."""
+    listing = t.log().filter(F.col("id") % 5 < 3).select(F.col("destination").alias("full_path"))
+    return logs.review_decisions(t.log(), _decisions(t).filter(F.col("id") % 3 == 0), listing)["removed"]
+
+
 @query(
     "E14_state_snapshot",
     with_views("images_v", "examples_v", "log_v", body="""select (select count(*) from images_v) as images, (select count(*) from examples_v) as examples,

@@ -228,6 +228,25 @@ def c12(t):
     return R.single_plans(files, Rename(template="{orig}", find=r"img_(\d+)_", replace=r"photo \1-"), duplicates)
 
 
+@query(
+    "C12_single_invoices",
+    with_views("files_v", ctes="""f as (select full_path, mtime, regexp_extract(full_path, '^(.*)/[^/]*$', 1) as dir, regexp_replace(filename, '[.][^.]*$', '') as stem, regexp_extract(filename, '[.][^.]*$') as ext
+  from files_v qualify row_number() over (partition by full_path order by id) = 1),
+s as (select *, strftime(mtime, '%d.%m.%Y') as base, regexp_extract(stem, '^(.*)-([0-9]+)$', 1) as of, try_cast(regexp_extract(stem, '^(.*)-([0-9]+)$', 2) as bigint) as n from f),
+top as (select dir, of, max(n) as highest from s where n is not null group by all),
+num as (select s.*, case when s.of = base and n is not null then n else coalesce(highest, 0) + 1 end as k from s left join top on top.dir = s.dir and top.of = s.base),
+out_ as (select full_path, case when full_path like '%.txt' then null else dir || '/' || base || '-' || k || ext end as new_path, k from num)""",
+        body="""select full_path, case when new_path is null then null else new_path end as new_path, case when new_path is null then 'no EXIF date' end as err, coalesce(new_path = full_path, false) as same,
+coalesce(new_path <> full_path and new_path in (select full_path from f), false) as conflict, case when new_path is not null then k end as invoice_n from out_"""),
+)
+def c12_invoices(t):
+    """Invoices named by their capture date, which text files do not have."""
+    files = L.distinct_paths(t.files()).withColumn("taken_at", F.when(~F.col("full_path").endswith(".txt"), F.col("mtime")))
+    none = files.select("full_path", F.lit(None).cast("string").alias("other"), F.lit(None).cast("int").alias("distance")).filter("false")
+    found = R.single_plans(files, Rename(template="{exif_date:%d.%m.%Y}"), none, invoice=True)
+    return found.drop("dup_path", "dup_distance")
+
+
 @query(
     "C13_metadata_merge",
     with_views("meta_v", body="""select file_id, case when ok then 'Archive' else title end as title, case when ok then 'Brand#13' else author end as author, keywords,

@@ -1,5 +1,7 @@
 """Queries over image grids: the 64-component vectors read as small grey images."""
 
+from math import ceil, cos, sin
+
 from pyspark.sql import functions as F
 
 from shelf.fixtures import Tables, query, with_views
@@ -195,18 +197,100 @@ def _rectangles(t: Tables):
     return spread(detect.image_arrays(_tiles(t)), "image_id").withColumns({k: F.lit(v) for k, v in sides.items()} | {"ang": F.lit(0.05)})
 
 
-@query("G10_snapped_sides")
+TILE16 = """tile as (select image_id // 4 as image_id, y + case when image_id % 4 >= 2 then 8 else 0 end as y, x + (image_id % 2) * 8 as x, lum * 0.299::double + lum * 0.587::double + lum * 0.114::double as lum, lum as r from pixels_v),
+ids as (select distinct image_id from tile)"""
+
+
+def _nearest(axis: str) -> str:
+    """The cell that a point falls in; beyond the border the border's."""
+    return f"greatest(0, least(15, round_even({axis}, 0)))::int"
+
+
+def _turned(upright: bool, across: str, along: str, ang: float) -> tuple[str, str]:
+    fx, fy = (across, along) if upright else (along, across)
+    c, s = repr(cos(ang)), repr(sin(ang))
+    return f"(({fx}) * {c}::double - ({fy}) * {s}::double)", f"(({fx}) * {s}::double + ({fy}) * {c}::double)"
+
+
+def _quantile(values: str, q: float) -> str:
+    """Linear interpolation in a list."""
+    at = f"((len({values}) - 1) * {q}::double)"
+    low, high = (f"list_sort({values})[floor({at})::int + {k}]" for k in (1, 2))
+    return f"({low} + (coalesce({high}, {low}) - {low}) * ({at} - floor({at})))"
+
+
+def _snap_sql(ang: float = 0.05) -> str:
+    """DuckDB text of the four sides, each moved in turn to the edge that most lines agree on."""
+    text, before = TILE16 + ", s0 as (select image_id, 3.0::double as x0, 12.0::double as x1, 2.0::double as y0, 13.0::double as y1 from ids)", "s0"
+    for k, side in enumerate(edges.SIDES):
+        low, high = ("y0", "y1") if side[0] == "x" else ("x0", "x1")
+        px, py = _turned(side[0] == "x", f"{side} + o", f"{low} + t * ({high} - {low})", ang)
+        mean = "(" + " + ".join(f"p[greatest(1, least(13, i + ({d})))]" for d in (-2, -1, 0, 1, 2)) + ") / 5"
+        text += f""",
+l{k} as (select s.image_id, t, list(lum order by o) as p from {before} s, (select unnest(range(-6, 7)) as o) o, (select 0.15::double + 0.7::double * i / 24 as t from (select unnest(range(0, 25)) as i)) t, tile
+  where tile.image_id = s.image_id and tile.x = {_nearest(px)} and tile.y = {_nearest(py)} group by s.image_id, t),
+m{k} as (select image_id, t, list_transform(range(1, 14), lambda i: {mean}) as q from l{k}),
+d{k} as (select image_id, t, list_transform(range(1, 12), lambda i: abs(q[i + 2] - q[i])) as g from m{k}),
+b{k} as (select image_id, list((list_position(g, list_max(g)) - 6)::double) filter (list_max(g) > 6) as shifts from d{k} group by image_id),
+v{k} as (select image_id, shifts, {_quantile('shifts', 0.5)} as med from b{k}),
+a{k} as (select image_id, case when coalesce(len(shifts), 0) >= 12.5 and {_quantile('list_transform(shifts, lambda d: abs(d - med))', 0.75)} <= 2 then med else 0 end as move from v{k}),
+s{k + 1} as (select image_id, {', '.join(f'{x} + move as {x}' if x == side else x for x in edges.SIDES)} from {before} join a{k} using (image_id))"""
+        before = f"s{k + 1}"
+    return text
+
+
+def _strips_sql(ang: float = 0.05) -> str:
+    """DuckDB text of the strips inside and outside each side of the rectangle 3 to 12 by 2 to 13."""
+    rows = []
+    for k, (side, at, low, high, inward) in enumerate((("x0", 3, 2, 13, 1), ("x1", 12, 2, 13, -1), ("y0", 2, 3, 12, 1), ("y1", 13, 3, 12, -1))):
+        px, py = _turned(side[0] == "x", f"{at} + {inward} * 3 * sign * d", f"{low} + t * ({high} - {low})", ang)
+        mx, my = _turned(side[0] == "x", str(float(at)), str((low + high) / 2), ang)
+        rows.append(f"select {k} as side, sign, d, t, {px} as px, {py} as py, {mx} < 2.4 or {my} < 2.4 or {mx} > 13.6 or {my} > 13.6 as near from place")
+    return TILE16 + """,
+place as (select sign, d, i / 24 * 0.7::double + 0.15::double as t from (select unnest(range(0, 25)) as i), (values (1), (-1)) s(sign), (values (0.5::double), (1.0::double), (1.5::double)) d(d)),
+pt as (""" + "\nunion all ".join(rows) + f"""),
+look as (select image_id, side, sign, d, near, px < 0 or px > 15 or py < 0 or py > 15 as beyond, r, lum from pt, ids join tile using (image_id) where tile.x = {_nearest('px')} and tile.y = {_nearest('py')}),
+beyond as (select image_id, side, max(share) as share from (select image_id, side, sign, d, avg(beyond::int) as share from look group by all) group by all),
+level as (select image_id, side, sign, median(lum) as level from look group by all),
+mean as (select image_id, side, sign, avg(r) as m, any_value(near) as near from look join level using (image_id, side, sign) where lum >= level group by all),
+side as (select image_id, side, i.m as inner_, abs(i.m - o.m) as gap, i.near or share > 0.3 as on_edge from (select * from mean where sign = 1) i join (select * from mean where sign = -1) o using (image_id, side) join beyond using (image_id, side))"""
+
+
+def _inner_sql() -> str:
+    """DuckDB text of the long weak edges inside the rectangle 0 to 16 by 2 to 13, whose first three sides lie on the border."""
+    rows = []
+    for side, at, low, high, length, inward in (("x0", 0, 2, 13, 16, 1), ("x1", 16, 2, 13, 16, -1), ("y0", 2, 0, 16, 11, 1)):
+        along = f"({low} + (0.12::double + (0.88::double - 0.12::double) * i / 39) * {high - low})"
+        first, count = 0.04 * length, ceil((0.65 * length - 0.04 * length) / 2)
+        ends = []
+        for off in ("- 2.0", "+ 2.0"):
+            across = f"{at} + {inward} * ({first!r}::double + n * 2.0) + ({along} - {(low + high) / 2}) * tan(radians(-6.0 + 1.5 * k)) {off}"
+            x, y = (across, along) if side[0] == "x" else (along, across)
+            ends.append(f"{_nearest(x)} as x{len(ends)}, {_nearest(y)} as y{len(ends)}")
+        rows.append(f"select '{side}' as side, n, k, i, {', '.join(ends)} from (select unnest(range(0, {count})) as n), (select unnest(range(0, 9)) as k), (select unnest(range(0, 40)) as i)")
+    return TILE16 + ", pt as (" + "\nunion all ".join(rows) + """),
+cover as (select a.image_id, side, n, k, avg((abs(b.lum - a.lum) > 4 and abs(b.lum - a.lum) < 45)::int) as share from pt join tile a on a.x = x0 and a.y = y0 join tile b on b.image_id = a.image_id and b.x = x1 and b.y = y1 group by all)"""
+
+
+@query(
+    "G10_snapped_sides",
+    with_views("pixels_v", ctes=_snap_sql(), body="select image_id, " + ", ".join(f"round(case when s4.x1 - s4.x0 >= 4 and s4.y1 - s4.y0 >= 4 then s4.{x} else s0.{x} end, 6) as {x}" for x in edges.SIDES) + " from s4 join s0 using (image_id)"),
+)
 def g10(t):
     return edges.snap_sides(_rectangles(t)).select("image_id", *[F.round(s, 6).alias(s) for s in edges.SIDES])
 
 
-@query("G11_side_contrasts")
+@query(
+    "G11_side_contrasts",
+    with_views("pixels_v", ctes=_strips_sql(), body="""select image_id, count(*) filter (not on_edge)::int as sides, count(*) filter (on_edge) as touching,
+round(least(greatest(1 - (max(inner_) - min(inner_) - 12) / 30, 0), 1), 6) as purity from side group by image_id"""),
+)
 def g11(t):
     judged = edges.side_contrasts(_rectangles(t))
     return judged.select("image_id", F.size("contrasts").alias("sides"), "touching", F.round("purity", 6).alias("purity"))
 
 
-@query("G12_inner_edge")
+@query("G12_inner_edge", with_views("pixels_v", ctes=_inner_sql(), body="select image_id, max(share) > 0.88 as inner from cover group by image_id"))
 def g12(t):
     wide = _rectangles(t).withColumns({"x0": F.lit(0.0), "x1": F.lit(16.0), "ang": F.lit(0.0)})
     return edges.inner_edge(wide).select("image_id", "inner")

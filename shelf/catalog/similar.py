@@ -71,7 +71,22 @@ def d4(t):
     return placed.join(lowest, "component").select("vec_id", F.col("lowest").alias("component"))
 
 
-@query("D5_similar_groups")
+_FITS = "list_position(list_transform(acc.cl, lambda c: len(list_filter(c, lambda m: bit_count(xor(m, e.h)) > 20)) = 0), true)"
+GROUPS = f"""img as (select vec_id, list_sum(list_transform(b, lambda x, i: case when x then pow(2::double, i - 1)::uhugeint else 0::uhugeint end))::ubigint as h,
+  '/lake/p' || (vec_id % 7) || '/img_' || (vec_id % 50) || '_' || vec_id || '.jpg' as full_path from bits_v),
+hash as (select h, min(full_path) as first, count(*) as copies from img group by h),
+folded as (select list_reduce(list({{'h': h, 'cl': []::ubigint[][]}} order by first), lambda acc, e: {{'h': e.h, 'cl': case when {_FITS} is null then list_append(acc.cl, [e.h])
+  else list_transform(acc.cl, lambda c, i: case when i = {_FITS} then list_append(c, e.h) else c end) end}}, {{'h': 0::ubigint, 'cl': []::ubigint[][]}}) as acc from hash),
+member as (select unnest(m) as h, c from (select unnest(acc.cl) as m, generate_subscripts(acc.cl, 1) as c from folded)),
+big as (select c, min(first) as first from member join hash using (h) group by c having sum(copies) > 1),
+apart as (select a.c, max(bit_count(xor(a.h, b.h)))::int as spread from member a join member b using (c) group by a.c),
+groups as (select row_number() over (order by first) as group_no, c, spread from big join apart using (c)),
+grouped as (select group_no, full_path, spread from img join member using (h) join groups using (c)),
+moves as (select group_no, spread, full_path as source, '/lake/similar_review/group_' || case when k < 10 then '0' else '' end || k as dest_dir
+  from (select *, group_no + (select max(p_size) from part) as k from grouped))"""
+
+
+@query("D5_similar_groups", with_views("bits_v", ctes=GROUPS, body="select group_no, full_path, spread from grouped"))
 def d5(t):
     return S.similar_groups(_images(t), CLOSE).select("group_no", "full_path", "spread")
 
@@ -99,17 +114,17 @@ def _review_listing(t: Tables):
     return images.unionByName(done)
 
 
-@query("D7_review_moves")
+@query("D7_review_moves", with_views("bits_v", ctes=GROUPS, body="select group_no, source, dest_dir || '/' || regexp_extract(source, '[^/]*$') as destination from moves"))
 def d7(t):
     groups = S.similar_groups(_images(t), CLOSE)
     return R.review_moves(groups, _review_listing(t), "/lake/similar_review").select("group_no", "source", "destination")
 
 
-@query("D8_selected_groups")
+@query("D8_selected_groups", with_views("bits_v", ctes=GROUPS, body="select group_no, full_path, spread from grouped where group_no in (1, 3, 4, 5)"))
 def d8(t):
     return R.select_groups(S.similar_groups(_images(t), CLOSE), "1,3-5").select("group_no", "full_path", "spread")
 
 
-@query("D9_similarity_report")
+@query("D9_similarity_report", with_views("bits_v", ctes=GROUPS, body="select group_no, spread, dest_dir, count(*) as images, min(source) as first from moves group by all"))
 def d9(t):
     return R.similarity_report(_images(t), _review_listing(t), CLOSE, "/lake/similar_review")

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from shelf.catalog.files import EXT, ROOT
 from shelf.catalog.logs import WALK
 from shelf.fixtures import Tables, query, with_views
+from shelf.operators.stored_index import StoredIndex
 from shelf.plans.auto_crop import auto_crop
 from shelf.session import shared_dir
 from shelf.sources import images, orientation
+from shelf.sources.listing import index_scan
 from shelf.streaming.folds import follow_feedback, read_state
 from shelf.streaming.index import follow_index, read_index
+from shelf.streaming.online import follow_online, read_online
 
 
 def _run_folder(t: Tables) -> str:
@@ -45,6 +48,22 @@ def a11(t):
     return read_index(t.spark, os.path.join(at, "index")).select("full_path", "filename", "folder_name", "extension")
 
 
+@query(
+    "A11_stored_index",
+    with_views("files_v", body=f"""select distinct full_path, filename, folder_name, {EXT} as extension from files_v
+where {EXT} in ('.jpeg','.jpg','.png','.pdf') and folder_name not like '.%' and folder_name not in ('export_output','pdf','similar_review','auto_cropped')"""),
+)
+def a11_stored(t):
+    """Ten listings are inserted one after the other, the buckets are compacted after the sixth."""
+    index = StoredIndex(t.spark, os.path.join(_run_folder(t), "index"), 8)
+    files = index_scan(t.files().select("id", "full_path", "mtime", "length"), ROOT)
+    for k in range(10):
+        index.insert(files.filter(F.pmod(F.xxhash64("id"), F.lit(10)) == k).drop("id"))
+        if k == 5:
+            index.compact()
+    return index.known().select("full_path", "filename", "folder_name", "extension")
+
+
 @query("E5_streamed_parameters", with_views("feedback_v", ctes=WALK, body="select profile, m as margin, t as threshold from state"))
 def e5(t):
     at = _run_folder(t)
@@ -53,6 +72,21 @@ def e5(t):
     return read_state(t.spark, os.path.join(at, "state"), 0)
 
 
+@query("E5_online_parameters", with_views("feedback_v", ctes=WALK, body="select profile, m as margin, t as threshold from state"))
+def e5_online(t):
+    """The answers arrive in four files, each a batch of its own; the stream stops after two and starts again."""
+    at = _run_folder(t)
+    answers = t.feedback().select("id", "profile", "kind", "spread")
+    source, most = os.path.join(at, "answers"), answers.agg(F.max("id")).first()[0] or 0
+    for half in (0, 2):
+        for k in (half, half + 1):
+            part = answers.filter((F.col("id") * 4 > most * k) | F.lit(k == 0)).filter((F.col("id") * 4 <= most * (k + 1)))
+            part.coalesce(1).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        follow_online(stream, os.path.join(at, "parameters"), os.path.join(at, "online")).awaitTermination()
+    return read_online(t.spark, os.path.join(at, "parameters"))
+
+
 def _bytes(t: Tables):
     """Each vector as the bytes of an 8 x 8 grey image, in the columns of the image reader."""
     levels = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128 + 400 * v.cast("double"))).cast("int"))
@@ -147,6 +181,18 @@ def f10(t):
     )
 
 
-@query("D1_perceptual_hashes")
+@query(
+    "D1_perceptual_hashes",
+    """with p as (select vec_id, pos // 8 as y, pos % 8 as x, trunc(greatest(0, least(255, 128 + 400 * v::double))) as g
+  from (select vec_id, unnest(embedding) as v, unnest(range(0, 64)) as pos from embeddings)),
+c as (select u, y, sum(cos(pi() * (2 * (4 * y + k) + 1) * u / 64)) as c from range(0, 8) a(u), range(0, 8) b(y), range(0, 4) d(k) group by u, y),
+f as (select vec_id, a.u as u, b.u as v, sum(g * a.c * b.c) as low from p join c a on a.y = p.y join c b on b.y = p.x group by all),
+m as (select vec_id, median(low) as m from f group by vec_id),
+ph as (select vec_id, sum(case when low > m then (1::hugeint << (63 - (u * 8 + v))::int) else 0 end) as h from f join m using (vec_id) group by vec_id),
+w as (select vec_id, y, i, g from p join (select i, floor((i + 0.5) * 8 / 9)::int as x from range(0, 9) t(i)) using (x)),
+dh as (select a.vec_id, sum(case when b.g > a.g then (1::hugeint << (63 - (a.y * 8 + a.i))::int) else 0 end) as h from w a join w b on b.vec_id = a.vec_id and b.y = a.y and b.i = a.i + 1 group by a.vec_id)
+select vec_id::varchar as full_path, (ph.h - case when ph.h >= 9223372036854775808::hugeint then 18446744073709551616::hugeint else 0 end)::bigint as phash,
+  (dh.h - case when dh.h >= 9223372036854775808::hugeint then 18446744073709551616::hugeint else 0 end)::bigint as dhash from ph join dh using (vec_id)""",
+)
 def d1(t):
     return images.perceptual_hashes(_bytes(t))

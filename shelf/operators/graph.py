@@ -7,14 +7,27 @@ from pyspark.sql import DataFrame, functions as F
 from shelf.session import write_down
 
 
+#: Nodes with more than 1 / HUBS of all edge ends, 2 x HUBS of them at most, are hubs.
+HUBS = 10_000
+HUB_DEGREE = 1000
+
+
+def _with_least(edges: DataFrame, low: DataFrame, key: list[str], degree: int) -> DataFrame:
+    """``edges`` joined with ``low`` (one row per node: m, degree). A hub's edges stay in their tasks and meet its row, which
+    is broadcast; the rest is an ordinary join in which no node has very many edges."""
+    hubs = F.broadcast(low.filter(F.col("degree") > degree))
+    rest = edges.join(hubs.select(*key), key, "left_anti")
+    return edges.join(hubs, key).unionByName(rest.join(low.filter(F.col("degree") <= degree), key)).drop("degree")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by: tuple[str, ...] = ()) -> DataFrame:
     """(``by``…, node, component) for every node with an edge; the component is its smallest node.
 
     ``by`` columns keep many independent graphs apart in one run. Each round links the larger
     neighbours of a node to the smallest one (large star) and then the smaller ones (small star);
     the number of rounds grows with the logarithm of the graph, not with its diameter. The minimum
-    per node is a partial aggregate, so a node with very many edges does not gather them in one
-    task, and each round is written down before the next reads it.
+    per node is a partial aggregate and goes to a hub's edges by broadcast, so a node with very many
+    edges does not gather them in one task. Each round is written down before the next reads it.
     """
     by = list(by)
     key = by + ["u"]
@@ -26,16 +39,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by: tuple
     )
     while not _is_star_forest(e, by):
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*key).agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        degree = max(HUB_DEGREE, 2 * e.count() // HUBS)
+        low = both.groupBy(*key).agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("u", "m"))
         large = (
-            both.join(low, key)
+            _with_least(both, write_down(low, "least"), key, degree)
             .filter("v > u")
             .select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        low = large.groupBy(*key).agg(F.min("v").alias("m"))
+        large = write_down(large, "large")
+        low = write_down(large.groupBy(*key).agg(F.min("v").alias("m"), F.count("*").alias("degree")), "least")
         small = (
-            large.join(low, key)
+            _with_least(large, low, key, degree)
             .filter("v <> m")
             .select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
         )

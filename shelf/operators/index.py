@@ -58,3 +58,11 @@ def apply_moves(index: DataFrame, moves: DataFrame) -> DataFrame:
         .withColumn("full_path", F.coalesce("destination", "full_path"))
         .drop("destination")
     )
+
+
+def paths_there(listing: DataFrame, rows: DataFrame, column: str, flag: str) -> DataFrame:
+    """(``column``, ``flag`` = true) of the paths in ``rows[column]`` that ``listing`` has. The listing is cut to the wanted paths
+    before its repeats go, so only these move."""
+    wanted = rows.select(F.col(column).alias("full_path")).filter("full_path is not null").distinct()
+    found = listing.select("full_path").join(wanted, "full_path", "left_semi").distinct()
+    return found.select(F.col("full_path").alias(column), F.lit(True).alias(flag))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelf.functions.geometry import box, iou
 from shelf.operators import raster
 from shelf.operators.numbering import row_numbers
-from shelf.session import spread, write_down
+from shelf.session import write_down
 
 # Fixed values of the model.
 MIN_PHOTOS = 3
@@ -109,40 +111,52 @@ def cell_probabilities(model: RandomForestClassificationModel, cells: DataFrame)
     return scored.select("image_id", "y", "x", vector_to_array("probability")[1].alias("p"))
 
 
+#: Cells times column pairs of one stretch of left columns that are looked at together.
+PAIR_CELLS = 1 << 22
+
+
+def _best_rectangle(score: np.ndarray) -> tuple[int, int, int, int, float]:
+    """(l, t, r, b, gain) of a grid of scores [row, column]; see :func:`best_rectangles`."""
+    h, w = score.shape
+    totals = np.concatenate([np.zeros((h, 1)), np.cumsum(score, 1)], 1)
+    best: tuple[float, int, int, int, int] | None = None
+    step = max(1, PAIR_CELLS // (h * w))
+    for l0 in range(0, w, step):
+        left, right = np.triu_indices(w + 1, 1)
+        mine = (left >= l0) & (left < l0 + step)
+        left, right = left[mine], right[mine]
+        down = np.cumsum(totals[:, right] - totals[:, left], 0)
+        before = np.concatenate([np.zeros((1, len(left))), down[:-1]])
+        low = np.minimum.accumulate(before, 0)
+        gain = down - low
+        fresh = np.concatenate([np.ones((1, len(left)), bool), before[1:] < low[:-1]])  # the earliest of equal minima
+        top = np.maximum.accumulate(np.where(fresh, np.arange(h)[:, None], 0), 0)
+        most = gain.max()
+        if best is None or most > best[0]:
+            pair = int((gain == most).any(0).argmax())  # pairs are in order of left, then right
+            y = int((gain[:, pair] == most).argmax())
+            best = (float(most), int(left[pair]), int(right[pair]), y, int(top[y, pair]))
+    gain_, l, r, y, t = best
+    return l, t, r, y + 1, gain_
+
+
 def best_rectangles(scores: DataFrame, column: str = "score") -> DataFrame:
     """(image_id, l, t, r, b, gain): the rectangle with the largest sum of cells, r and b exclusive.
 
     Sums of a row between two columns come from its running totals; down the rows, the best stretch
     ends where the running total exceeds its earlier minimum most. Among equal sums the first left,
-    right and bottom win, and the earliest top.
+    right and bottom win, and the earliest top. A grid, which is bounded, is looked at in one task; cells shuffle once.
     """
-    rows = scores.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", F.col(column).alias("v")))).alias("line"))
-    totals = F.aggregate(
-        "line", F.array(F.lit(0.0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["v"]))
-    )
-    rows = rows.select("image_id", "y", totals.alias("totals"))
-    pairs = (
-        spread(rows, "image_id").select("image_id", "y", "totals", F.explode(F.sequence(F.lit(0), F.size("totals") - 2)).alias("l"))
-        .select("image_id", "y", "totals", "l", F.explode(F.sequence(F.col("l") + 1, F.size("totals") - 1)).alias("r"))
-        .select("image_id", "l", "r", "y", (F.get("totals", F.col("r")) - F.get("totals", F.col("l"))).alias("s"))
-    )
-    down = Window.partitionBy("image_id", "l", "r").orderBy("y")
-    running = pairs.withColumn("cs", F.sum("s").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    earlier = F.min(F.struct("cs", (F.col("y") + 1).alias("top"))).over(down.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.struct(F.lit(0.0).alias("cs"), F.lit(0).alias("top"))
-    running = running.withColumn("low", earlier).withColumn(
-        "low", F.when(F.col("low").isNull() | (F.col("low.cs") >= 0), start).otherwise(F.col("low"))
-    )
-    gain = F.col("cs") - F.col("low.cs")
-    best = running.groupBy("image_id").agg(
-        F.max(F.struct(
-            gain.alias("gain"), (-F.col("l")).alias("l"), (-F.col("r")).alias("r"), (-F.col("y")).alias("y"), F.col("low.top").alias("top")
-        )).alias("m")
-    )
-    return best.select(
-        "image_id", (-F.col("m.l")).alias("l"), F.col("m.top").alias("t"), (-F.col("m.r")).alias("r"),
-        (1 - F.col("m.y")).alias("b"), F.col("m.gain").alias("gain"),
-    )
+    kind = scores.schema["image_id"].dataType.simpleString()
+
+    def find(cells: pd.DataFrame) -> pd.DataFrame:
+        y, x = cells["y"].to_numpy(), cells["x"].to_numpy()
+        grid = np.zeros((y.max() + 1, x.max() + 1))
+        grid[y, x] = cells["v"].to_numpy()
+        return pd.DataFrame([(cells["image_id"].iloc[0], *_best_rectangle(grid))], columns=["image_id", "l", "t", "r", "b", "gain"])
+
+    cells = scores.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(column).cast("double").alias("v"))
+    return cells.groupBy("image_id").applyInPandas(find, f"image_id {kind}, l int, t int, r int, b int, gain double")
 
 
 def predictions(probabilities: DataFrame) -> DataFrame:

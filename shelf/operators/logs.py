@@ -100,11 +100,12 @@ def state_snapshot(images: DataFrame, examples: DataFrame, log: DataFrame) -> Da
     )
 
 
-def review_decisions(log: DataFrame, decisions: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
+def review_decisions(log: DataFrame, decisions: DataFrame, listing: DataFrame | None = None) -> dict[str, DataFrame]:
     """Apply decisions (id, approve) to the log.
 
     Refusals are handled before approvals, so an id in both ends approved. Every decision on a crop
-    leaves a feedback row; a refused crop loses its copy (``removed``: distinct destinations).
+    leaves a feedback row; a refused crop loses its copy (``removed``: distinct destinations, with a
+    ``listing`` only of copies that are still there).
     """
     per_id = decisions.groupBy("id").agg(
         F.max("approve").alias("_approve"),
@@ -123,6 +124,8 @@ def review_decisions(log: DataFrame, decisions: DataFrame, now: Column | None =
     )
     feedback = crops.select("id", F.explode(kinds).alias("kind"))
     removed = crops.filter("_refused > 0 and destination is not null").select("destination").distinct()
+    if listing is not None:
+        removed = removed.join(listing.select(F.col("full_path").alias("destination")), "destination", "left_semi")
     return {"log": reviewed, "feedback": feedback, "removed": removed}
 
 

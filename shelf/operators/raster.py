@@ -29,6 +29,11 @@ def _line_sums(df: DataFrame, by: list[str], along: str, columns: list[str], k:
     })
 
 
+def by_image(df: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """The cells of an image in one partition: all passes along its lines and columns then need no further shuffle."""
+    return df.repartition(*by)
+
+
 def window_sum(df: DataFrame, columns: list[str], k: int, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Sum over k x k cells with repeated borders, in two one-dimensional passes."""
     by = list(by)
@@ -58,7 +63,7 @@ def open_close(masks: DataFrame, side: int, by: tuple[str, ...] = ("image_id",))
     """Remove specks, then close gaps; window sizes follow the short side of the grid."""
     k_open = max(3, int(side * 0.015)) | 1
     k_close = max(5, int(side * 0.03)) | 1
-    opened = dilate(erode(masks, k_open, by), k_open, by)
+    opened = dilate(erode(by_image(masks, by), k_open, by), k_open, by)
     return erode(dilate(opened, k_close, by), k_close, by)
 
 
@@ -156,7 +161,7 @@ def candidate_masks(cells: DataFrame, tolerance: float = 28) -> DataFrame:
 
 def gradients(cells: DataFrame) -> DataFrame:
     """Add ``grad``: largest step of any colour to the left or upper neighbour, on twice blurred cells."""
-    smooth = blur(cells, ["r", "g", "b"], 3)
+    smooth = blur(by_image(cells), ["r", "g", "b"], 3)
 
     def step(along: str, across: str) -> Column:
         line = Window.partitionBy("image_id", across).orderBy(along)

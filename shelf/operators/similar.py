@@ -19,7 +19,7 @@ from shelf.session import spread, write_down
 
 # A band value shared by more hashes than this is looked up together with a second band.
 HOT_HASHES = 20_000
-# Components with more distinct hashes than this are split by joins instead of one task.
+# Components with more distinct hashes than this are split in blocks of as many instead of in one task.
 SPLIT_HASHES = 20_000
 
 
@@ -53,11 +53,62 @@ def choose_bands(n: int, threshold: int) -> int:
     the best number depends on how many hashes there are.
     """
 
-    def work(bands: int) -> float:
-        radius = threshold // bands
-        return sum(n * _ball(w, radius) * (1 + n / 2.0**w) for _, w in _cut(bands))
+    return min(range(3, 13), key=lambda bands: _band_work(n, threshold, bands))
 
-    return min(range(3, 13), key=work)
+
+def _band_work(n: int, threshold: int, bands: int) -> float:
+    radius = threshold // bands
+    return sum(n * _ball(w, radius) * (1 + n / 2.0**w) for _, w in _cut(bands))
+
+
+# x^6 + x + 1, the polynomial of the field with 64 elements.
+_FIELD = 0b1000011
+#: Largest threshold that masks are made for, and with it 2 ** 13 - 1 masks.
+MASK_THRESHOLD = 12
+
+
+def _times(a: int, b: int) -> int:
+    """Product in the field with 64 elements."""
+    out = 0
+    while b:
+        if b & 1:
+            out ^= a
+        a, b = a << 1, b >> 1
+        if a & 64:
+            a ^= _FIELD
+    return out
+
+
+def covering_masks(threshold: int) -> list[int]:
+    """2 ** (threshold + 1) - 1 masks of 64 bits such that two hashes which differ in at most ``threshold`` bits are equal
+    under one of them at least (a covering family after Pagh, 2016).
+
+    Bit i has a vector of threshold + 1 bits; mask v has the bits whose vector is not orthogonal to v. At most ``threshold``
+    vectors leave some v that is orthogonal to all. The vectors are 1, the bits of i and the bits of its cube in the field
+    with 64 elements, so the masks are words of a BCH code: each has 24 bits at least, and 32 where the threshold is at
+    most 6, so no mask is a weak key."""
+    vectors = [1 | i << 1 | _times(i, _times(i, i)) << 7 for i in range(64)]
+    used = (1 << (threshold + 1)) - 1
+    masks = []
+    for v in range(1, used + 1):
+        mask = 0
+        for i, vector in enumerate(vectors):
+            mask |= ((vector & used & v).bit_count() & 1) << i
+        masks.append(mask)
+    return masks
+
+
+def expected_candidates(n: int, threshold: int) -> float:
+    """Of ``n`` even hashes, how many meet a given one under the masks without resembling it."""
+    return sum(n / 2.0 ** mask.bit_count() for mask in covering_masks(threshold))
+
+
+def masks_pay(n: int, threshold: int) -> bool:
+    """Masks are less work than the best number of bands: rows to shuffle, on either side, plus expected candidates."""
+    if threshold > MASK_THRESHOLD:
+        return False
+    masks = (1 << (threshold + 1)) - 1
+    return 2 * masks + expected_candidates(n, threshold) < _band_work(n, threshold, choose_bands(n, threshold)) / max(1, n)
 
 
 def _around(value: Column, width: int, radius: int) -> Column:
@@ -74,16 +125,64 @@ def _band(h: Column, offset: int, width: int) -> Column:
 def similar_pairs(hashes: DataFrame, threshold: int, bands: int | None = None, hot: int | None = None) -> DataFrame:
     """(a, b, distance): all pairs of distinct hashes that differ in at most ``threshold`` bits.
 
-    ``hashes`` has one column ``h`` without repeats; a < b. Exact: when two hashes differ in t bits,
+    ``hashes`` has one column ``h`` without repeats; a < b. Both ways are exact: bands for few hashes, masks from where
+    they are less work (about a million hashes), unless a number of ``bands`` is given."""
+    hot = HOT_HASHES if hot is None else hot
+    n = hashes.count()
+    if bands is None and masks_pay(n, threshold):
+        return pairs_under_masks(hashes, threshold, hot)
+    return pairs_in_bands(hashes, threshold, bands or choose_bands(n, threshold), hot)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(b)
+
+
+def pairs_under_masks(hashes: DataFrame, threshold: int, hot: int = HOT_HASHES) -> DataFrame:
+    """The pairs of :func:`similar_pairs`: hashes meet where they are equal under one of the covering masks.
+
+    A pair comes out under the first mask that it is equal under, so it comes out once. Values under a mask that more than
+    ``hot`` hashes have are split by bands, in which one of the two is listed under all near values, as in
+    :func:`pairs_in_bands`: of a pair's differences some band has its share at most."""
+    hashes = spread(write_down(hashes.select("h"), "hashes"), "h")
+    signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(threshold)]
+    masks = F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
+    rows = hashes.select("h", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("h")))).alias("i", "v"))
+    crowded = write_down(rows.groupBy("i", "v").count().filter(F.col("count") > hot).select("i", "v"), "hot-masks")
+    cuts = _cut(max(3, min(12, choose_bands(hot, threshold))))
+    radius = threshold // len(cuts)
+
+    def under_bands(variants: bool) -> DataFrame:
+        keys = [
+            F.struct(F.lit(j).alias("j"), (_around(_band(F.col("h"), at, w), w, radius) if variants else F.array(_band(F.col("h"), at, w))).alias("values"))
+            for j, (at, w) in enumerate(cuts)
+        ]
+        warm = rows.join(crowded, ["i", "v"], "left_semi")
+        return warm.select("h", "i", "v", F.explode(F.array(*keys)).alias("k")).select("h", "i", "v", "k.j", F.explode("k.values").alias("w"))
+
+    cold = rows.join(crowded, ["i", "v"], "left_anti").select("h", "i", "v", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("w"))
+    probe, build = (cold, cold) if crowded.isEmpty() else (cold.unionByName(under_bands(True)), cold.unionByName(under_bands(False)))
+    x = _differ(F.col("a"), F.col("b"))
+    met = F.exists(F.slice(masks, F.lit(1), F.col("i")), lambda m: m.bitwiseAND(x) == 0)
+    for j, (at, w) in enumerate(cuts):
+        met = met | ((F.col("j") > j) & (F.bit_count(_band(x, at, w)) <= radius))
+    return (
+        probe.withColumnRenamed("h", "a").join(build.withColumnRenamed("h", "b"), ["i", "v", "j", "w"])
+        .filter((F.col("a") < F.col("b")) & (F.bit_count(x) <= threshold)).filter(~met)
+        .select("a", "b", F.bit_count(x).cast("int").alias("distance"))
+    )
+
+
+def pairs_in_bands(hashes: DataFrame, threshold: int, bands: int, hot: int = HOT_HASHES) -> DataFrame:
+    """The pairs of :func:`similar_pairs` by bands: when two hashes differ in t bits,
     one of m bands differs in at most t // m bits, so one side is listed under every band value
     within that radius and the two sides meet in an equi-join. A pair is kept only at the first band
     where it can meet, which makes each pair come out once without a distinct. Where very many
     hashes share a band value, the key is extended by a second band under the same argument.
     """
-    hot = HOT_HASHES if hot is None else hot
     hashes = spread(write_down(hashes.select("h"), "hashes"), "h")
     n = hashes.count()
-    cuts = _cut(bands or choose_bands(n, threshold))
+    cuts = _cut(bands)
     m = len(cuts)
     radius, radius2 = threshold // m, threshold // (m - 1)
     h = F.col("h")
@@ -153,11 +252,11 @@ def components(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
     ).withColumn("component", F.coalesce("component", "h"))
 
 
-def complete_link(hashes: DataFrame, pairs: DataFrame, threshold: int, largest: int | None = None) -> DataFrame:
+def complete_link(hashes: DataFrame, pairs: DataFrame, threshold: int, largest: int | None = None, block: int | None = None) -> DataFrame:
     """(h, cluster): members in path order join the first cluster all of whose members they resemble.
 
     ``hashes`` has h, first (path order) and component. Components of checked size are handled one
-    per group; larger ones go through :func:`_peel`, which gives the same clusters by joins.
+    per group; larger ones go through :func:`_in_blocks`, which gives the same clusters.
     ``cluster`` is the hash that opened it.
     """
     largest = SPLIT_HASHES if largest is None else largest
@@ -185,84 +284,60 @@ def complete_link(hashes: DataFrame, pairs: DataFrame, threshold: int, largest:
     result = lone.unionByName(split)
     big = sized.filter(F.col("size") > largest)
     if not big.isEmpty():
-        result = result.unionByName(_peel(big.select("h", "first"), pairs))
+        result = result.unionByName(_in_blocks(big.select("h", "first", "component"), pairs, threshold, block or largest))
     return result
 
 
-def _peel(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The clusters of :func:`complete_link` by rounds of joins over similar pairs.
+def _in_blocks(nodes: DataFrame, pairs: DataFrame, threshold: int, block: int) -> DataFrame:
+    """The clusters of :func:`complete_link` for large components (h, first, component), ``block`` hashes at a time.
+
+    Blocks follow path order. Before a block is decided, joins count for each of its hashes how many members of each earlier
+    cluster it resembles; where these are all members, the cluster is open to it. One task per component then goes through
+    the block in order. There are as many rounds as blocks, however the hashes hang together."""
+    numbered = row_numbers(nodes, ["component"], ["first"], "_n")
+    placed = write_down(numbered.withColumn("block", F.floor((F.col("_n") - 1) / block).cast("int")).drop("first"), "blocks")
+    rounds = placed.agg(F.max("block")).first()[0] + 1
+    at = placed.select("h", "block")
+    both = pairs.select(F.col("a").alias("h"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("h"), F.col("a").alias("o")))
+    earlier = both.join(at, "h").join(at.select(F.col("h").alias("o"), F.col("block").alias("_block")), "o").filter("_block < block")
+    earlier = write_down(earlier.select("h", "o", "block"), "links") if rounds > 1 else None
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_n")
+        h, rank = group["h"].to_numpy(np.int64), group["_n"].to_numpy(np.int64)
+        bits = h.view(np.uint64)
+        open_to = [np.asarray(x if x is not None else [], np.int64) for x in group["open_to"]]
+        # clusters of earlier blocks that are open to some hash here, in the order they were opened, then those opened here
+        names = np.unique(np.concatenate(open_to))
+        opened, cluster = list(names), np.zeros(len(h), np.int64)
+        for i in range(len(h)):
+            closed = np.zeros(len(opened) + 1, bool)
+            closed[: len(names)] = True
+            closed[np.searchsorted(names, open_to[i])] = False
+            closed[cluster[:i][np.bitwise_count(bits[:i] ^ bits[i]) > threshold]] = True
+            cluster[i] = int(np.argmin(closed))
+            if cluster[i] == len(opened):
+                opened.append(rank[i])
+        return pd.DataFrame({"component": group["component"], "h": h, "opened": np.array(opened, np.int64)[cluster]})
 
-    A node that precedes every open node within two steps opens a cluster: nothing undecided can
-    change who joins it. Its open neighbours then join in path order: one joins when it resembles
-    all earlier candidates still in question, and is refused when it differs from one that joined.
-    Refused nodes stay open for later clusters.
-    """
-    both = pairs.select(F.col("a").alias("h"), F.col("b").alias("o")).unionByName(
-        pairs.select(F.col("b").alias("h"), F.col("a").alias("o"))
-    )
-    names = nodes.select("h", "first")
-    links = write_down(
-        both.join(names, "h").join(names.select(F.col("h").alias("o"), F.col("first").alias("o_first")), "o")
-        .select("h", "first", "o", "o_first"),
-        "links",
-    )
-    open_ = write_down(names, "open")
     done = None
-    while not open_.isEmpty():
-        live = links.join(open_.select("h"), "h", "left_semi").join(
-            open_.select(F.col("h").alias("o")), "o", "left_semi"
-        )
-        live = write_down(live, "live")
-        near = open_.join(live.groupBy("h").agg(F.min("o_first").alias("low")), "h", "left").withColumn(
-            "low", F.least("first", F.coalesce("low", "first"))
-        )
-        near = write_down(near, "near")
-        around = live.join(near.select(F.col("h").alias("o"), F.col("low").alias("o_low")), "o")
-        seeds = (
-            near.join(around.groupBy("h").agg(F.min("o_low").alias("low2")), "h", "left")
-            .filter(F.col("first") <= F.least("low", F.coalesce("low2", "low")))
-            .select(F.col("h").alias("cluster"), "first")
-        )
-        seeds = write_down(seeds, "seeds")
-        asked = live.join(seeds.select(F.col("cluster").alias("h")), "h", "left_semi").select(
-            F.col("h").alias("cluster"), F.col("o").alias("h"), F.col("o_first").alias("first")
-        )
-        state = write_down(asked.withColumn("joined", F.lit(False)), "asked")
-        inner = live.join(asked.select("h", "cluster"), "h").join(
-            asked.select(F.col("h").alias("o"), F.col("cluster")), ["o", "cluster"]
-        ).filter("o_first < first").select("cluster", "h", "o")
-        inner = write_down(inner, "inner")
-        while not state.filter("not joined").isEmpty():
-            # earlier candidates in all, and those among them that resemble this one
-            counted = row_numbers(state, ["cluster"], ["first"], "_before")
-            like = inner.join(state.select(F.col("h").alias("o"), "cluster"), ["o", "cluster"]).groupBy("h").agg(
-                F.count("*").alias("_like")
-            )
-            state = write_down(
-                counted.join(like, "h", "left")
-                .withColumn("joined", F.col("_before") - 1 == F.coalesce("_like", F.lit(0)))
-                .select("cluster", "h", "first", "joined"),
-                "asked",
-            )
-            members = state.filter("joined")
-            total = members.groupBy("cluster").agg(F.count("*").alias("_members"))
-            pending = state.filter("not joined").join(total, "cluster", "left")
+    for k in range(rounds):
+        now = placed.filter(F.col("block") == k)
+        if done is None:
+            asked = now.withColumn("open_to", F.lit(None).cast("array<bigint>"))
+        else:
+            sizes = done.groupBy("component", "opened").agg(F.count("*").alias("size"))
             linked = (
-                live.join(members.select(F.col("h").alias("o"), "cluster"), "o")
-                .groupBy("h", "cluster").agg(F.count("*").alias("_linked"))
-            )
-            kept = pending.join(linked, ["h", "cluster"], "left").filter(
-                F.coalesce("_linked", F.lit(0)) == F.coalesce("_members", F.lit(0))
+                earlier.filter(F.col("block") == k).join(done.withColumnRenamed("h", "o"), "o")
+                .groupBy("h", "component", "opened").agg(F.count("*").alias("linked"))
+                .join(sizes, ["component", "opened"]).filter("linked = size")
             )
-            state = write_down(
-                members.unionByName(kept.select("cluster", "h", "first", "joined")), "asked"
-            )
-        decided = write_down(
-            state.select("h", "cluster").unionByName(seeds.select(F.col("cluster").alias("h"), "cluster")), "decided"
-        )
-        done = decided if done is None else done.unionByName(decided)
-        open_ = write_down(open_.join(decided, "h", "left_anti"), "open")
-    return done
+            asked = now.join(linked.groupBy("h").agg(F.sort_array(F.collect_list("opened")).alias("open_to")), "h", "left")
+        fresh = write_down(asked.groupBy("component").applyInPandas(decide, "component bigint, h bigint, opened bigint"), "decided")
+        done = fresh if done is None else done.unionByName(fresh)
+    # a cluster goes by the hash that opened it
+    openers = placed.select("component", F.col("_n").alias("opened"), F.col("h").alias("cluster"))
+    return done.join(openers, ["component", "opened"]).select("h", "cluster")
 
 
 def similar_groups(images: DataFrame, threshold: int, path: str = "full_path") -> DataFrame:

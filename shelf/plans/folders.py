@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelf.functions import paths as P
 from shelf.functions.names import natural_key
-from shelf.operators.index import insert_if_absent
+from shelf.operators.index import insert_if_absent, paths_there
 from shelf.operators.numbering import first_per, row_numbers
+from shelf.session import write_down
 from shelf.sources.listing import index_scan
 
 
@@ -124,9 +125,9 @@ def link_report(index: DataFrame, listing: DataFrame, link_dir: str) -> DataFram
         F.concat(P.dirname("full_path"), F.lit("/"), book_name("folder_name")).alias("pdf_path"),
         F.concat(F.lit(link_dir + "/"), book_name("folder_name")).alias("link_path"),
     )
-    paths = listing.select("full_path").distinct()
-    exists = paths.select(F.col("full_path").alias("pdf_path"), F.lit(True).alias("_book"))
-    linked = paths.select(F.col("full_path").alias("link_path"), F.lit(True).alias("_link"))
+    expected = write_down(expected, "books")
+    exists = paths_there(listing, expected, "pdf_path", "_book")
+    linked = paths_there(listing, expected, "link_path", "_link")
     return (
         expected.join(exists, "pdf_path", "left")
         .join(linked, "link_path", "left")

@@ -8,6 +8,7 @@ from shelf.functions import paths as P
 from shelf.functions.names import natural_key
 from shelf.functions.templates import Rename, renamed
 from shelf.operators.folds import Effect, running
+from shelf.operators.index import paths_there
 from shelf.operators.numbering import row_numbers
 from shelf.operators.pointers import reachable, resolve
 from shelf.operators.slots import free_destinations
@@ -50,7 +51,7 @@ def rename_plan(
     planned = write_down(planned, "planned")
     real = F.col("new_path").isNotNull() & (F.col("new_path") != F.col("full_path"))
     first = planned.filter(real).groupBy(F.col("new_path").alias("_wanted")).agg(F.min("position").alias("_first"))
-    there = listing.select(F.col("full_path").alias("_wanted"), F.lit(True).alias("_there")).distinct()
+    there = paths_there(listing, planned.filter(real), "new_path", "_there").withColumnRenamed("new_path", "_wanted")
     return (
         planned.withColumn("_wanted", _wanted())
         .join(first, "_wanted", "left")
@@ -135,38 +136,67 @@ def _written_numbers(counted: DataFrame) -> DataFrame:
     return counted.withColumn("_own", F.explode(F.array_distinct(parts)))
 
 
-def invoice_numbers(planned: DataFrame, listing: DataFrame) -> DataFrame:
-    """Invoices get ``-n`` after the planned name.
+_NUMBERED = r"(?s)^(.*)-(\d{1,18})$"
 
-    A file that keeps its stem is left alone; one that already is number k of that name in its
-    folder keeps k. Any other gets one more than the highest number of that name, in its folder or
-    handed out earlier in the batch. Handing out is a fold of functions x -> max(c, x + d), so it
-    runs in blocks like the feedback folds even when all files share one name.
-    """
-    name = P.basename("new_path")
-    base, ext = P.stem(name), P.extension(name)
-    own = P.stem(P.basename("full_path"))
-    folder = P.dirname("full_path")
-    numbered = r"(?s)^(.*)-(\d{1,18})$"
+
+def _invoice_cases(planned: DataFrame) -> DataFrame:
+    """Add _case (none, same, keep or number), _folder and _key: the name that a file's number belongs to."""
+    base, own = P.stem(P.basename("new_path")), P.stem(P.basename("full_path"))
     real = F.col("new_path").isNotNull() & F.col("err").isNull()
-    same_name = F.lower(base) == F.lower(own)
-    keeps = F.lower(F.regexp_extract(own, numbered, 1)) == F.lower(base)
-    rows = planned.withColumn(
-        "_case", F.when(~real, "none").when(same_name, "same").when(keeps & F.rlike(own, F.lit(numbered)), "keep").otherwise("number")
-    ).withColumn("_folder", folder)
+    keeps = (F.lower(F.regexp_extract(own, _NUMBERED, 1)) == F.lower(base)) & F.rlike(own, F.lit(_NUMBERED))
+    case = F.when(~real, "none").when(F.lower(base) == F.lower(own), "same").when(keeps, "keep").otherwise("number")
+    rows = planned.withColumn("_case", case).withColumn("_folder", P.dirname("full_path"))
     # only rows to be numbered look for a name; the others are spread by a key no name can have
-    rows = rows.withColumn("_key", F.when(F.col("_case") == "number", F.lower(base)).otherwise(F.col("full_path")))
+    return rows.withColumn("_key", F.when(F.col("_case") == "number", F.lower(base)).otherwise(F.col("full_path")))
+
+
+def _highest_numbers(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """(_folder, _key, _highest): the highest number that a listed file of that name and folder has."""
     wanted = rows.filter("_case = 'number'").select("_folder", "_key").distinct()
     stem = P.stem(P.basename("full_path"))
-    highest = (
+    return (
         listing.select(
-            folder.alias("_folder"), F.lower(F.regexp_extract(stem, numbered, 1)).alias("_key"),
-            F.regexp_extract(stem, numbered, 2).try_cast("long").alias("_n"),
+            P.dirname("full_path").alias("_folder"), F.lower(F.regexp_extract(stem, _NUMBERED, 1)).alias("_key"),
+            F.regexp_extract(stem, _NUMBERED, 2).try_cast("long").alias("_n"),
         )
         .filter("_n is not null")
         .join(wanted, ["_folder", "_key"], "left_semi")
         .groupBy("_folder", "_key").agg(F.max("_n").alias("_highest"))
     )
+
+
+def _numbered_path(number: Column) -> Column:
+    """The planned path with the number of its case."""
+    name = P.basename("new_path")
+    base, ext, own, folder = P.stem(name), P.extension(name), P.stem(P.basename("full_path")), P.dirname("full_path")
+    return (
+        F.when(F.col("_case") == "number", F.concat(folder, F.lit("/"), base, F.lit("-"), number.cast("string"), ext))
+        .when(F.col("_case") == "keep", F.concat(folder, F.lit("/"), own, ext))
+        .otherwise(F.col("new_path"))
+    )
+
+
+def single_invoices(planned: DataFrame, listing: DataFrame) -> DataFrame:
+    """``planned`` (written, unique full_path) with the path and ``invoice_n`` of each file as if it were the only one: it keeps the
+    number it has, or gets one more than the highest there."""
+    rows = _invoice_cases(planned)
+    rows = rows.join(_highest_numbers(rows, listing), ["_folder", "_key"], "left")
+    kept = F.regexp_extract(P.stem(P.basename("full_path")), _NUMBERED, 2).try_cast("long")
+    number = F.when(F.col("_case") == "number", F.coalesce("_highest", F.lit(0)) + 1).when(F.col("_case") == "keep", kept)
+    return rows.withColumn("invoice_n", number).withColumn("new_path", _numbered_path(F.col("invoice_n"))).drop("_case", "_folder", "_key", "_highest")
+
+
+def invoice_numbers(planned: DataFrame, listing: DataFrame) -> DataFrame:
+    """Invoices get ``-n`` after the planned name.
+
+    A file that keeps its stem is left alone; one that already is number k of that name in its
+    folder keeps k. Any other gets one more than the highest number of that name, in its folder or
+    handed out earlier in the batch. Handing out is a fold of functions x -> max(c, x + d), so it
+    runs in blocks like the feedback folds even when all files share one name.
+    """
+    base, own = P.stem(P.basename("new_path")), P.stem(P.basename("full_path"))
+    rows = _invoice_cases(planned)
+    highest = _highest_numbers(rows, listing)
     rows = write_down(rows.join(highest, ["_folder", "_key"], "left"), "invoices")
     # names that are kept as they are count as handed out for the name they extend
     kept_stem = F.when(F.col("_case") == "keep", own).otherwise(base)
@@ -174,8 +204,8 @@ def invoice_numbers(planned: DataFrame, listing: DataFrame) -> DataFrame:
         "position", "_key", (F.coalesce("_highest", F.lit(0)) + 1).alias("c"), F.lit(1).alias("d")
     ).unionByName(
         rows.filter("_case in ('same', 'keep')").select(
-            "position", F.lower(F.regexp_extract(kept_stem, numbered, 1)).alias("_key"),
-            F.regexp_extract(kept_stem, numbered, 2).try_cast("long").alias("c"), F.lit(0).alias("d"),
+            "position", F.lower(F.regexp_extract(kept_stem, _NUMBERED, 1)).alias("_key"),
+            F.regexp_extract(kept_stem, _NUMBERED, 2).try_cast("long").alias("c"), F.lit(0).alias("d"),
         ).filter("c is not null")
     )
 
@@ -191,12 +221,7 @@ def invoice_numbers(planned: DataFrame, listing: DataFrame) -> DataFrame:
     given = running(events, ["_key"], F.lit(0).cast("long"), effect, order="position").select(
         "position", F.col("after").alias("_number")
     )
-    new = (
-        F.when(F.col("_case") == "number", F.concat(folder, F.lit("/"), base, F.lit("-"), F.col("_number").cast("string"), ext))
-        .when(F.col("_case") == "keep", F.concat(folder, F.lit("/"), own, ext))
-        .otherwise(F.col("new_path"))
-    )
-    return rows.join(given, "position", "left").withColumn("new_path", new).select(*planned.columns)
+    return rows.join(given, "position", "left").withColumn("new_path", _numbered_path(F.col("_number"))).select(*planned.columns)
 
 
 def commit_plan(plan: DataFrame, listing: DataFrame, keep_both: bool = False) -> DataFrame:
@@ -209,7 +234,9 @@ def commit_plan(plan: DataFrame, listing: DataFrame, keep_both: bool = False) ->
     that its rows asked for and got.
     """
     usable = plan.filter("err is null and not same and new_path is not null")
-    there = listing.select("full_path").distinct()
+    usable = write_down(usable.select("position", "full_path", "new_path"), "usable")
+    names = usable.select("full_path").unionByName(usable.select(F.col("new_path").alias("full_path")))
+    there = write_down(paths_there(listing, names, "full_path", "_held"), "there").select("full_path")
     rows = write_down(usable.join(there, "full_path", "left_semi").select("position", "full_path", "new_path"), "ops")
     # the file that holds the wanted name, and the row of the plan that takes it away
     holder = rows.select(F.col("full_path").alias("new_path"), F.col("position").alias("_leaves"))
@@ -234,7 +261,7 @@ def commit_plan(plan: DataFrame, listing: DataFrame, keep_both: bool = False) ->
     done = settled.filter("_free").select("position", "full_path", F.col("new_path").alias("destination"))
     late = settled.filter("not _free").select("position", "full_path", "new_path")
     if keep_both:
-        seen = there.unionByName(done.select(F.col("destination").alias("full_path")))
+        seen = listing.select("full_path").unionByName(done.select(F.col("destination").alias("full_path")))
         late = free_destinations(
             late.withColumn("dest_dir", P.dirname("new_path")).withColumn("filename", P.basename("new_path")),
             seen, ["position"], first_slot=1,
@@ -250,23 +277,31 @@ def commit_counts(committed: DataFrame) -> DataFrame:
 
 
 def single_plans(
-    files: DataFrame, settings: Rename, duplicates: DataFrame, start: int = 1, listing: DataFrame | None = None
+    files: DataFrame, settings: Rename, duplicates: DataFrame, start: int = 1, listing: DataFrame | None = None, invoice: bool = False
 ) -> DataFrame:
     """Each file planned on its own (no counter shared with others), with its nearest duplicate
-    (full_path, other, distance) unless the name is in error."""
+    (full_path, other, distance) unless the name is in error. A column ``taken_at`` of ``files`` is the capture date. With
+    ``invoice`` names get an invoice number, given as ``invoice_n``; a template with a counter has its own."""
     listing = files if listing is None else listing
-    planned = files.withColumn("_r", renamed(settings, "full_path", F.lit(start)))
-    there = listing.select(F.col("full_path").alias("_wanted"), F.lit(True).alias("_there")).distinct()
+    taken_at = F.col("taken_at") if "taken_at" in files.columns else None
+    name = renamed(settings, "full_path", F.lit(start), taken_at=taken_at)
+    planned = write_down(files.select("full_path", name.alias("_r")).select("full_path", "_r.new_path", "_r.err"), "names")
+    if invoice and not settings.parsed().uses("n"):
+        planned = write_down(single_invoices(planned, listing), "numbered")
+    elif invoice:
+        planned = planned.withColumn("invoice_n", F.lit(None).cast("long"))
+    there = paths_there(listing, planned, "new_path", "_there").withColumnRenamed("new_path", "_wanted")
+    other = F.col("new_path") != F.col("full_path")
     return (
-        planned.select("full_path", F.col("_r.new_path").alias("new_path"), F.col("_r.err").alias("err"))
-        .withColumn("_wanted", _wanted())
+        planned.withColumn("_wanted", _wanted())
         .join(there, "_wanted", "left")
         .join(duplicates.select("full_path", "other", "distance"), "full_path", "left")
         .select(
             "full_path", "new_path", "err",
-            (F.col("new_path").isNull() & F.col("err").isNull()).alias("same"),
-            F.coalesce(F.col("_there") & F.col("new_path").isNotNull(), F.lit(False)).alias("conflict"),
+            ((F.col("new_path").isNull() & F.col("err").isNull()) | F.coalesce(~other, F.lit(False))).alias("same"),
+            F.coalesce(F.col("_there") & other, F.lit(False)).alias("conflict"),
             F.when(F.col("err").isNull(), F.col("other")).alias("dup_path"),
             F.when(F.col("err").isNull(), F.col("distance")).alias("dup_distance"),
+            *(["invoice_n"] if invoice else []),
         )
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelf.functions import paths as P
+from shelf.operators.index import paths_there
 from shelf.operators.logs import latest_run
 from shelf.operators.slots import free_destinations
 from shelf.session import write_down
@@ -17,7 +18,7 @@ def _restore(rows: DataFrame, listing: DataFrame, turn: str) -> DataFrame:
     its source, or to the next free name when that is taken; a source that an earlier row of the
     plan has vacated counts as free.
     """
-    exists = listing.select(F.col("full_path").alias("destination"), F.lit(True).alias("_there")).distinct()
+    exists = paths_there(listing, rows, "destination", "_there")
     takes = rows.groupBy("destination").agg(F.min(turn).alias("_first_take"))
     rows = (
         rows.join(takes, "destination")

@@ -179,6 +179,31 @@ def test_locator_learns_the_sheet(spark, album):
     assert locate.evaluate_folds(cells, taught.limit(3)) is None and locate.train(cells, 2) is None
 
 
+def test_a_model_is_trained_once(spark, album, folder, monkeypatch):
+    from shelf.operators import model_store as store, raster
+
+    read = images.read_images(spark, album).filter("width = 128")
+    pixels = images.to_cells(images.to_grids(read, 32, 8, cell=2)).withColumn("image_id", F.element_at(F.split("full_path", "/"), -1))
+    cells = locate.cell_features(pixels.drop("full_path"), cell=2)
+    cells = cells.join(raster.grid_sizes(cells), "image_id")
+    rows = [(n, n, (l / 128, t / 96, r / 128, b / 96), 7) for n, (l, t, r, b) in BOXES.items()]
+    kind = "image_id string, path string, box struct<l:double,t:double,r:double,b:double>, mtime long"
+    taught = spark.createDataFrame(rows, kind)
+    fits, train = [], locate.train
+    monkeypatch.setattr(locate, "train", lambda *a: fits.append(a) or train(*a))
+    assert store.status(folder, taught).first().trained is False and store.stored_model(folder, taught.limit(2), cells) is None
+    first = store.stored_model(folder, taught, cells)
+    again = store.stored_model(folder, taught, cells)
+    assert len(fits) == 1 and first.toDebugString == again.toDebugString
+    assert tuple(store.status(folder, taught).first()) == (4, 3, True, None)
+    score = store.record_accuracy(folder, taught, cells)
+    assert store.status(folder, taught).first().cv_iou == pytest.approx(score) and len(fits) == 5
+    moved = spark.createDataFrame([(*r[:3], 8) if k == 0 else r for k, r in enumerate(rows)], kind)
+    assert store.status(folder, moved).first().trained is False
+    store.stored_model(folder, moved, cells)
+    assert len(fits) == 6 and store.saved_models(spark, folder).count() == 2 and store.status(folder, taught).first().cv_iou == pytest.approx(score)
+
+
 def test_import_boxes(spark, folder):
     path = os.path.join(folder, "b.json")
     with open(path, "w") as f:
@@ -222,6 +247,32 @@ def test_quad_iou(spark):
     assert box.select(G.iou(F.col("b"), F.col("b"))).first()[0] == 0.0
 
 
+def test_best_rectangle_of_large_grids(spark):
+    """96 x 96 cells, in stretches of columns: one shuffle, and the planted block is found."""
+    from shelf.operators.locate import _best_rectangle
+
+    rng = np.random.default_rng(1)
+    grids = {}
+    for k in range(3):
+        grids[k] = rng.normal(-0.5, 0.2, (96, 96))
+        grids[k][20 + k : 70, 11 : 60 + k] += 1.0
+    rows = [(k, y, x, float(v)) for k, g in grids.items() for (y, x), v in np.ndenumerate(g)]
+    found = locate.best_rectangles(spark.createDataFrame(rows, "image_id int, y int, x int, score double"))
+    assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hash") == 1
+    assert {r.image_id: (r.l, r.t, r.r, r.b) for r in found.collect()} == {k: (11, 20 + k, 60 + k, 70) for k in grids}
+    ties = np.array([[1.0, -9, 1], [-9, -9, -9], [1, -9, 1]])
+    assert _best_rectangle(ties) == (0, 0, 1, 1, 1.0) and _best_rectangle(-np.ones((2, 2))) == (0, 0, 1, 1, -1.0)
+    assert _best_rectangle(np.array([[0.0], [0.0], [2.0], [-1.0]]))[:4] == (0, 0, 1, 3)
+
+
+def test_open_and_close_shuffle_once(spark):
+    from shelf.operators import raster
+
+    masks = spark.range(4000).select((F.col("id") % 4).alias("image_id"), F.lit("m").alias("mask"), F.lit(0).alias("rank"), F.floor(F.col("id") / 4 / 32).cast("int").alias("y"), (F.floor(F.col("id") / 4) % 32).cast("int").alias("x"), (F.col("id") % 3 == 0).alias("on"))
+    plan = raster.open_close(masks, 32, ("image_id", "mask", "rank"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_best_rectangle_like_brute_force(spark):
     rng = random.Random(4)
     grids = {i: [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(6)] for i in range(12)}

@@ -51,3 +51,35 @@ def test_many_folders(spark, tmp_path):
     spark.dataSource.register(FolderFiles)
     direct = spark.read.format("folder_files").load(str(tmp_path))
     assert {os.path.relpath(r.full_path, tmp_path) for r in direct.collect()} == set(names) and direct.rdd.getNumPartitions() >= 64
+
+
+def test_stored_index(spark, folder):
+    """Ten inserts and a compaction: known paths never shuffle, a repeated insert adds nothing."""
+    from shelf.operators.stored_index import StoredIndex
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = StoredIndex(spark, f"{folder}/index", 4)
+        batches = [spark.createDataFrame([(f"/p/{(k * 7 + j) % 90}.jpg", j) for j in range(30)], "full_path string, mtime long") for k in range(10)]
+        assert index.known() is None
+        for b in batches:
+            index.insert(b)
+        want = {r.full_path for b in batches for r in b.collect()}
+        rows = [r.full_path for r in index.known().collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want and index.files() > 4
+        plan = index.missing(batches[3])._jdf.queryExecution().executedPlan().toString()
+        scan = plan.index("shelf_index_")
+        side = plan[plan.rindex("LeftAnti") : scan]
+        assert "Exchange" not in side.split("\n:- ")[0] and "Bucketed: true" in plan
+        known_side = side[side.rindex("+- ") :] if "+- " in side else side
+        assert "Exchange" not in known_side
+        index.insert(batches[2])
+        assert index.known().count() == len(want)
+        index.compact()
+        assert index.files() == 4 and {r.full_path for r in index.known().collect()} == want
+        again = StoredIndex(spark, f"{folder}/index", 4)
+        again.insert(spark.createDataFrame([("/p/new.jpg", 1), ("/p/1.jpg", 2)], "full_path string, mtime long"))
+        assert again.known().count() == len(want) + 1 and again.missing(batches[0]).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelf.functions.templates import Rename, TemplateError, format_counter, parse_template, target_extension
+from shelf.functions.templates import Rename, TemplateError, format_counter, format_date, parse_template, target_extension
 from shelf.plans.rename import commit_plan, rename_plan
 
 NOON = datetime.datetime(2026, 10, 2)
@@ -116,3 +116,15 @@ def test_counter_formats(spark):
     for wrong in ("08,", "e", "-3", "x"):
         with pytest.raises(TemplateError):
             format_counter(F.col("id"), wrong)
+
+
+def test_date_codes_like_strftime(spark):
+    """Every code, with and without flags, against the clock of this machine."""
+    moments = [datetime.datetime(*t) for t in ((2026, 1, 1, 0, 5, 9, 40), (2024, 12, 30, 12), (2023, 1, 1, 13, 59, 59), (2021, 3, 7, 9, 8, 7, 123456), (1999, 12, 31, 23, 0, 1))]
+    codes = [f"%{c}" for c in "aAbBcCdDeFgGhHIjklmMnpPrRSstTuUVwWxXyYzZf%Q"] + ["%-d.%-m", "%_d", "%^a", "%-H", "%^b", "x%", "%", "a%Qb%Y", "%-j", "%_H"]
+    df = spark.createDataFrame([(k, m) for k, m in enumerate(moments)], "k int, at timestamp")
+    rows = df.select("k", *[format_date(F.col("at"), c).alias(f"c{i}") for i, c in enumerate(codes)]).collect()
+    for r in rows:
+        got = {c: r[f"c{i}"] for i, c in enumerate(codes)}
+        want = {c: str(int(moments[r.k].replace(tzinfo=datetime.timezone.utc).timestamp())) if c == "%s" else moments[r.k].strftime(c) for c in codes}
+        assert got == want

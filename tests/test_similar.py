@@ -114,3 +114,72 @@ def test_selection(spark):
             selected_ranges(wrong, 9)
     listing = spark.createDataFrame([("/r/group_02/a",), ("/r/group_11/b",), ("/r/group_x/b",), ("/r/a/group_99/b",)], "full_path string")
     assert listing.limit(1).select(next_group_number(listing, "/r")).first()[0] == 12
+
+
+def planted(n, seed, skewed=False):
+    """Hashes with near ones among them; skewed ones share most of their bits."""
+    rng = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        h = rng.getrandbits(64)
+        if skewed:
+            h = (0xF0F0F0F0F0F0F0F0 & ~0xFFFF) | rng.getrandbits(12) | (rng.getrandbits(6) << 50)
+        out.add(h)
+        for _ in range(rng.randint(0, 3)):
+            for i in rng.sample(range(64), rng.randint(1, 12)):
+                h ^= 1 << i
+            out.add(h)
+    return [h - (1 << 64) if h >> 63 else h for h in out]
+
+
+def test_covering_masks():
+    for t in range(1, 13):
+        masks = S.covering_masks(t)
+        assert len(set(masks)) == 2 ** (t + 1) - 1 and min(m.bit_count() for m in masks) >= (32 if t <= 6 else 24)
+        rng = random.Random(t)
+        for _ in range(300):
+            x = sum(1 << i for i in rng.sample(range(64), rng.randint(0, t)))
+            assert any(m & x == 0 for m in masks)
+    assert S.expected_candidates(10**8, 10) < 2000 and S.masks_pay(10**8, 10) and not S.masks_pay(1000, 10)
+
+
+@pytest.mark.parametrize("threshold, skewed, hot", [(3, False, 20_000), (6, True, 20_000), (6, True, 8), (7, False, 2)])
+def test_pairs_under_masks(spark, threshold, skewed, hot):
+    hashes = planted(250, threshold, skewed)
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    found = S.pairs_under_masks(df, threshold, hot).collect()
+    want = {(min(a, b), max(a, b)): ((a ^ b) & (2**64 - 1)).bit_count() for i, a in enumerate(hashes) for b in hashes[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= threshold}
+    assert len(found) == len(want) and {(r.a, r.b): r.distance for r in found} == want and want
+
+
+def test_blocks_split_like_one_task(spark):
+    """Chains and dense groups, in blocks smaller than they are, give the clusters of the plain greedy split."""
+    rng = random.Random(9)
+    chain, h = [], 0
+    for k in range(90):
+        chain.append(h)
+        h ^= 1 << (k % 64)
+    dense = [(0x5A5A << 40) ^ sum(1 << i for i in rng.sample(range(12), 3)) for _ in range(60)]
+    hashes = list(dict.fromkeys(x - (1 << 64) if x >> 63 else x for x in [*chain, *dense]))
+    rng.shuffle(hashes)
+    df = spark.createDataFrame([(h, f"{k:04d}") for k, h in enumerate(hashes)], "h long, first string")
+    pairs = S.similar_pairs(df.select("h"), 4)
+    placed = S.components(df, pairs).join(df, "h")
+    whole = {r.h: r.cluster for r in S.complete_link(placed, pairs, 4).collect()}
+    for largest, block in ((1, 7), (1, 40), (30, 13)):
+        assert {r.h: r.cluster for r in S.complete_link(placed, pairs, 4, largest, block).collect()} == whole
+
+
+def test_hubs_spread(spark):
+    """The edges of a star stay where they are: its centre's row is broadcast, so no task gets all of them."""
+    from shelf.operators import graph
+
+    n = 20_000
+    for centre in (0, n + 5):
+        edges = spark.range(1, n + 1).select(F.col("id").alias("a"), F.lit(centre).cast("long").alias("b")).unionByName(spark.range(1).select(F.lit(n + 100).cast("long").alias("a"), F.lit(n + 101).cast("long").alias("b")))
+        found = {r.node: r.component for r in graph.connected_components(edges).collect()}
+        assert len(found) == n + 3 and all(found[k] == min(centre, 1) for k in range(1, n + 1)) and found[n + 101] == n + 100
+    both = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    sizes = graph._with_least(both, low, ["u"], graph.HUB_DEGREE).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 3 * sorted(r["count"] for r in sizes)[len(sizes) // 2]

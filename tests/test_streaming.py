@@ -59,3 +59,14 @@ def test_files_that_appear(spark, tmp_path, write_png):
     second = run()
     assert set(second) == {*first, "c/_new.png"} and second["c/_new.png"] > max(first.values())
     assert run() == second
+
+
+def test_answers_one_by_one():
+    """The plain step agrees with the composed effects on every kind of answer."""
+    from shelf.streaming.online import learned
+
+    assert learned(1.0, 10, "crop_too_tight", 3) == (1.5, 10) and learned(8.0, 10, "crop_too_tight", None) == (8.0, 10)
+    assert learned(0.0, 10, "crop_too_loose", 3) == (0.0, 10) and learned(3.0, 7, "reset", 0) == (1.0, 10)
+    assert learned(1.0, 10, "similar_yes", 7) == (1.0, 10) and learned(1.0, 10, "similar_yes", 8) == (1.0, 11) and learned(1.0, 20, "similar_yes", None) == (1.0, 20)
+    assert learned(1.0, 10, "similar_no", 9) == (1.0, 7) and learned(1.0, 10, "similar_no", 30) == (1.0, 9) and learned(1.0, 4, "similar_no", None) == (1.0, 4)
+    assert learned(1.0, 10, None, None) == learned(1.0, 10, "crop_good", 2) == (1.0, 10)
