@@ -72,7 +72,7 @@ def d4(t):
 
 
 _FITS = "list_position(list_transform(acc.cl, lambda c: len(list_filter(c, lambda m: bit_count(xor(m, e.h)) > 20)) = 0), true)"
-GROUPS = f"""img as (select vec_id, list_sum(list_transform(b, lambda x, i: case when x then pow(2::double, i - 1)::uhugeint else 0::uhugeint end))::ubigint as h,
+GROUPS = f"""img as (select vec_id, list_sum(list_transform(b, lambda x, i: case when x then pow(2::double, i - 1)::hugeint else 0::hugeint end))::ubigint as h,
   '/lake/p' || (vec_id % 7) || '/img_' || (vec_id % 50) || '_' || vec_id || '.jpg' as full_path from bits_v),
 hash as (select h, min(full_path) as first, count(*) as copies from img group by h),
 folded as (select list_reduce(list({{'h': h, 'cl': []::ubigint[][]}} order by first), lambda acc, e: {{'h': e.h, 'cl': case when {_FITS} is null then list_append(acc.cl, [e.h])

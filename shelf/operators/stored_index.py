@@ -84,6 +84,12 @@ class StoredIndex:
         place = f"{self.folder}/v{versions[-1] + 1}"
         name = f"{self.table}_new"
         self.spark.sql(f"drop table if exists {name}")
-        rows.sortWithinPartitions("full_path").write.mode("overwrite").format("parquet").option("path", place).bucketBy(self.buckets, "full_path").sortBy("full_path").saveAsTable(name)
+        option = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+        before = self.spark.conf.get(option)
+        self.spark.conf.set(option, "false")  # read bucket by bucket, though nothing is joined
+        try:
+            rows.sortWithinPartitions("full_path").write.mode("overwrite").format("parquet").option("path", place).bucketBy(self.buckets, "full_path").sortBy("full_path").saveAsTable(name)
+        finally:
+            self.spark.conf.set(option, before)
         self.spark.sql(f"drop table if exists {name}")  # only its name; the files belong to the version
         self.spark.sql(f"drop table if exists {self.table}")

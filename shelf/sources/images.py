@@ -195,7 +195,7 @@ def perceptual_hashes(images: DataFrame) -> DataFrame:
             for path, w, h, channels, data, turn in batch.itertuples(index=False):
                 grey = upright(_colors(h, w, channels, data), turn) @ np.array([0.299, 0.587, 0.114])
                 low = cosines @ _averaged(grey, 32, 32) @ cosines.T
-                small = _averaged(grey, 8, 9)
+                small = np.round(_averaged(grey, 8, 9), 6)  # equal cells stay equal, whatever the sums' last digits
                 out.append((path, _bits(low > np.median(low)), _bits(small[:, 1:] > small[:, :-1])))
             yield pd.DataFrame(out, columns=["full_path", "phash", "dhash"])
 

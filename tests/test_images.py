@@ -268,7 +268,7 @@ def test_best_rectangle_of_large_grids(spark):
 def test_open_and_close_shuffle_once(spark):
     from shelf.operators import raster
 
-    masks = spark.range(4000).select((F.col("id") % 4).alias("image_id"), F.lit("m").alias("mask"), F.lit(0).alias("rank"), F.floor(F.col("id") / 4 / 32).cast("int").alias("y"), (F.floor(F.col("id") / 4) % 32).cast("int").alias("x"), (F.col("id") % 3 == 0).alias("on"))
+    masks = spark.range(4000).select((F.col("id") % 4).alias("image_id"), (F.col("id") % 2).cast("string").alias("mask"), (F.col("id") % 4).cast("int").alias("rank"), F.floor(F.col("id") / 4 / 32).cast("int").alias("y"), (F.floor(F.col("id") / 4) % 32).cast("int").alias("x"), (F.col("id") % 3 == 0).alias("on"))
     plan = raster.open_close(masks, 32, ("image_id", "mask", "rank"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 

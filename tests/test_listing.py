@@ -69,11 +69,16 @@ def test_stored_index(spark, folder):
         rows = [r.full_path for r in index.known().collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want and index.files() > 4
         plan = index.missing(batches[3])._jdf.queryExecution().executedPlan().toString()
-        scan = plan.index("shelf_index_")
-        side = plan[plan.rindex("LeftAnti") : scan]
-        assert "Exchange" not in side.split("\n:- ")[0] and "Bucketed: true" in plan
-        known_side = side[side.rindex("+- ") :] if "+- " in side else side
-        assert "Exchange" not in known_side
+        lines = plan.splitlines()
+        at = next(k for k, line in enumerate(lines) if "Bucketed: true" in line)
+        depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+        above = []  # what stands above the scan of the known paths, up to the join
+        for k in range(at - 1, -1, -1):
+            if depth[k] < depth[at]:
+                at, above = k, [*above, lines[k]]
+                if "Join" in lines[k]:
+                    break
+        assert above and "LeftAnti" in above[-1] and not any("Exchange" in line for line in above)
         index.insert(batches[2])
         assert index.known().count() == len(want)
         index.compact()
