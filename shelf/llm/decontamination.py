@@ -209,22 +209,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: flo
     m bytes is found where a part of the text is at most k = min(edit_rate * m, m / q - 1) edits away. Such a part
     shares at least m - q + 1 - k * q q-grams with it on k + 1 neighbouring diagonals, so only bands with that many
     are aligned. An item shorter than q is found in texts equal to it. Null and empty texts have no spans. A
-    benchmark beyond BLOCK_BYTES is taken in blocks, one pass over ``docs`` each. Other columns pass through.
+    benchmark beyond BLOCK_BYTES is taken in blocks, one pass over ``docs`` each. Texts of any length are searched whole;
+    repeated rows each have their spans; spans of equal start go by item_id. Other columns pass through. If ``docs`` has a
+    column ``spans`` it stays, and the result is the column ``spans_found`` (with one more ``_`` for each such column there is).
     """
     sc = docs.sparkSession.sparkContext
-    none = F.array().cast(_SPANS)
-    rows = docs if clean_only else docs.withColumn("spans", none)
+    none, name = F.array().cast(_SPANS), "spans"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "spans_found" if name == "spans" else f"{name}_"
+    rows = docs if clean_only else docs.withColumn(name, none)
     for index in item_blocks(benchmark, q, edit_rate):
-        rows = _against(rows, sc.broadcast(index), clean_only)
+        rows = _against(rows, sc.broadcast(index), clean_only, name)
     return rows
 
 
-def _against(rows: DataFrame, shared, clean_only: bool) -> DataFrame:
+def _against(rows: DataFrame, shared, clean_only: bool, name: str) -> DataFrame:
+    names = rows.columns  # columns go to tasks by their places, as their names may hold dots
+    plain = rows.toDF(*[f"c{k}" for k in range(len(names))])
+    text_at = f"c{names.index('text')}"
+    spans_at = None if clean_only else f"c{names.index(name)}"
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             found: dict[int, list] = {}
-            for chunk in tb.chunks(batch.column("text")):
+            for chunk in tb.chunks(batch.column(text_at)):
                 for t, spans in leaks_in_chunk(chunk, index).items():
                     found[chunk.first + t] = [{"item_id": int(index.ids[i]), "start": a, "end": b, "edits": e} for i, a, b, e in sorted(spans, key=lambda x: (x[1], x[0]))]
             if clean_only:
@@ -232,8 +241,8 @@ def _against(rows: DataFrame, shared, clean_only: bool) -> DataFrame:
                 clean[list(found)] = False
                 yield batch.filter(pa.array(clean))
             else:
-                old = batch.column("spans").to_pylist()
+                old = batch.column(spans_at).to_pylist()
                 spans = pa.array([(x or []) + found.get(k, []) for k, x in enumerate(old)], _SPAN_TYPE)
-                yield pa.RecordBatch.from_arrays([spans if n == "spans" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([spans if n == spans_at else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
-    return rows.mapInArrow(search, rows.schema)
+    return plain.mapInArrow(search, plain.schema).toDF(*names)

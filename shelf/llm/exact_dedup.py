@@ -75,3 +75,10 @@ def exact_groups(docs: DataFrame, carry: tuple[str, ...] = (), max_words: int =
     again = again.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1))})
     every = rows.filter("not maybe").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}).select(columns).unionByName(again.select(columns))
     return every.select("doc_id", *taken, "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def kept_rows(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: they travel as one."""
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
+    kept = exact_groups(packed, ("row",), max_words).filter("kept")
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -120,13 +120,15 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return counted.withColumn("r", best).filter("r = 1").select("a", "b")
 
 
-def open_blocks(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, i, j, own, rep, component): what is left to compare. Buckets whose sets lie in different components are
-    split into blocks, those of the largest component apart from the rest, and each two blocks i <= j meet in a task of
-    their own, but never two of the largest component. So no task holds a whole bucket, and a large component only meets
-    the few sets outside it. A set stays in the task if another there, of a different component and of a fitting size,
-    agrees with it in at least LEAST_EQUAL coordinates. Buckets with the same members count once."""
-    placed = buckets.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _placed(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """``buckets`` with the component of each set; a set without links is its own."""
+    named = components.select(F.col("node").alias("rep"), "component")
+    return buckets.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _blocks(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, i, j, own, members): every block of a bucket, packed into one row, once for each two blocks that it is compared in."""
+    placed = _placed(buckets, components)
     parts = placed.groupBy("key", "component").agg(
         F.count("*").alias("n"), F.min("rep").alias("first"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sign")
     )
@@ -142,11 +144,21 @@ def open_blocks(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> D
     major, h = F.col("component") == F.col("main"), F.xxhash64("rep")
     own = F.when(major, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("rests"))).cast("int")
     others = F.sequence(F.when(major, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rests") - 1)
-    rows = rows.select("key", "rep", "component", own.alias("own"), F.explode(others).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-    rows = rows.join(sets.select("rep", "n_shingles", "sketch"), "rep")
+    rows = rows.select("key", "rep", "component", own.alias("own"), others.alias("others")).join(sets.select("rep", "n_shingles", "sketch"), "rep")
+    packed = rows.groupBy("key", "own").agg(F.collect_list(F.struct("rep", "component", "n_shingles", "sketch")).alias("members"), F.max("others").alias("others"))
+    packed = packed.select("key", "own", "members", F.explode("others").alias("other"))
+    return packed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "members")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+
+def open_blocks(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, i, j, own, rep, component): what is left to compare. Buckets whose sets lie in different components are
+    split into blocks, those of the largest component apart from the rest, and each two blocks i <= j meet in a task of
+    their own, but never two of the largest component. So no task holds a whole bucket, and a large component only meets
+    the few sets outside it. A set stays in the task if another there, of a different component and of a fitting size,
+    agrees with it in at least LEAST_EQUAL coordinates. Buckets with the same members count once."""
+    def compare(blocks: pd.DataFrame) -> pd.DataFrame:
+        members = pd.DataFrame([m for block in blocks["members"] for m in block])
+        group = members.assign(own=np.repeat(blocks["own"].to_numpy(), [len(x) for x in blocks["members"]]), key=blocks["key"].iloc[0], i=blocks["i"].iloc[0], j=blocks["j"].iloc[0])
         sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), COORDINATES)
         component, n, own = (group[c].to_numpy() for c in ("component", "n_shingles", "own"))
         across = group["i"].iloc[0] != group["j"].iloc[0]
@@ -159,6 +171,7 @@ def open_blocks(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> D
                 needed[other] = needed[k] = True
         return group.loc[needed, ["key", "i", "j", "own", "rep", "component"]]
 
+    rows = _blocks(buckets, components, sets)
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "key long, i int, j int, own int, rep long, component long")
 
 

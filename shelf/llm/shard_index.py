@@ -26,13 +26,13 @@ MARK = 5
 MOST_WINDOWS = 64
 #: A marker that more regions have is crowded: its regions are cut into single windows.
 CROWDED = 4096
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Words of an average region: half the places of a marker in a window, and the rest of a window.
 REGION_WORDS = (WINDOW - MARK + 2) // 2 + WINDOW - 1
 FILTER_BITS = 16
 MOST_BITS = 1 << 28
 #: Distinct regions that a task holds back to combine equal ones.
-COMBINED = 1 << 19
+COMBINED = 1 << 18
 SLICE_BITS = 1 << 19
 _WORD = (~tb.WHITE).astype(np.uint8)
 _NO_ID = np.iinfo(np.int64).max

@@ -45,4 +45,4 @@ def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     marked = rows.withColumn("_slot", slot).join(slots, "_slot", "left")
     sure = marked.filter("_there is null")
     perhaps = marked.filter("_there").join(gone, key, "left_anti")
-    return sure.unionByName(perhaps).select(rows.columns)
+    return sure.unionByName(perhaps).select(*[F.col(f"`{c}`") for c in rows.columns])

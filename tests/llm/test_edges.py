@@ -173,6 +173,30 @@ def test_mixing(docs, empty):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+CLASHES = "kept boolean, keep_id string, group_size string, word string, bits string, seen string, maybe string, text_sha256 string, spans string, spans_found int, whole string, last_place int, more string, row string, place_ string, `_source` string, tokens string, toxic string, target string, n_grams int, log_weight string, key string, component_id int, n_shingles string, `a.b` string"
+
+
+def test_clashing_names_pass_through(spark, data):
+    """A documents table with every internal name as an extra column goes through every stage unchanged."""
+    names = [c.strip().split(" ")[0].strip("`") for c in CLASHES.split(",")]
+    kinds = [c.strip().split(" ")[1] for c in CLASHES.split(",")]
+    plain = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    extra = {n: F.lit(True) if k == "boolean" else (F.lit(7) if k == "int" else F.lit(f"own {n}")) for n, k in zip(names, kinds)}
+    wide = plain.select("*", *[v.alias(n) for n, v in extra.items()])
+    more = spark.createDataFrame([(None, None, None, None, None), (70_000, None, None, "x", 0), (70_001, "", "en", None, 0), (70_001, "", "en", None, 0)], plain.schema)
+    wide = wide.unionByName(more.select("*", *[v.alias(n) for n, v in extra.items()]))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, data)
+        assert out.columns == wide.columns + (["block", "place"] if name == "mixing" else []), name
+        rows = out.collect()
+        assert rows and all(r[n] == (True if k == "boolean" else 7 if k == "int" else f"own {n}") for r in rows for n, k in zip(names, kinds)), name
+        assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in wide.select("doc_id").collect()}
+        none = stage(spark, wide.filter("false"), data)
+        assert none.collect() == [] and none.columns == out.columns, name
+    found = decontamination.find_leaks(wide, spark.read.parquet(f"{data}/benchmark.parquet"))
+    assert found.columns == [*wide.columns, "spans_found_"] and {r["spans"] for r in found.select("spans").collect()} == {"own spans"}
+
+
 def test_pages(spark):
     page = (
         "<html><body><nav>Menu</nav><div class='cookie-notice'>Cookies</div><aside>Side</aside><article><h1>A &amp; B</h1><p>one\n two&nbsp;x<p>three <b>bold</b>text"
@@ -202,6 +226,29 @@ def test_slots_of_articles(spark):
     assert [found[40 + k] for k in range(3)] == [f"Story {k}" for k in range(3)]
 
 
+def test_wrappers_keep_their_text(spark):
+    """Everyday names on wrappers empty no page, their parts still go; notices go by the template alone."""
+    names = ["has-sidebar", "content-sidebar-wrap", "search-results-page", "social-science", "post tags-open"]
+    rows, want = [], {}
+    for j, name in enumerate(names):
+        for k in range(4):
+            body = f"<p>Story {k} of {name}.</p><p>It goes on {k * 7} times.</p>"
+            rows.append((100 * j + k, f"http://w{j}.example/{k}", f"<body><div class='{name}'>{body}<div class='sidebar'><p>Also {k}</p></div></div><div class='ad'>Buy {k}</div></body>"))
+            want[100 * j + k] = f"Story {k} of {name}.\nIt goes on {k * 7} times."
+    for k in range(10):
+        notice = "<p>We are closed on Monday.</p>" if k < 7 else ""
+        rows.append((1000 + k, f"http://n.example/{k}", f"<body><div id='content'>{notice}<p>News {k} of the day.</p></div></body>"))
+        want[1000 + k] = f"News {k} of the day."
+    for k in range(5):
+        rows.append((2000 + k, f"http://a.example/{k}", f"<body><article><h1>Title {k}</h1><p>Sign our petition.</p><p>Text {k}.</p></article></body>"))
+        want[2000 + k] = f"Title {k}\nText {k}."
+    rows.append((3000, "http://one.example/", "<body><div class='comments-open'><h1>Head</h1><p>Short.</p></div><div class='comments'><p>A much longer comment of a reader than the story itself.</p></div></body>"))
+    want[3000] = "Head\nShort."
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    found = {r["page_id"]: r["text"] for r in page_templates.extract_main_text(df).collect()}
+    assert found == want
+
+
 def test_texts_of_templates(spark):
     lead = "lead " * 60
     rows = [(20 + k, f"http://l.example/{k}", f"<body><div><p>{lead}{k}</p></div></body>") for k in range(4)]

@@ -124,7 +124,8 @@ def test_mix_by_entropy(spark, data):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
     cursor = con.execute(catalog.ORACLES[name])
     columns = [d[0] for d in cursor.description]
     df = catalog.QUERIES[name](spark, data)
