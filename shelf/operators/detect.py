@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelf.functions.geometry import confidence_score
-from shelf.operators import edges, raster
+from shelf.operators import edges, grids, raster
 from shelf.operators.fine import judged_rectangles
-from shelf.operators.regions import KEY, fill_holes, frame_quad, largest_region, min_area_rectangles
+from shelf.operators.regions import KEY, fill_holes, frame_quad, largest_region, min_area_rectangles, smallest_rectangles
 from shelf.session import spread, write_down
 
 # Limits of confidence, and how near to the paper's colour a cell must be, strict first.
@@ -19,13 +19,16 @@ SMALLEST_SIDE = 16
 
 def image_arrays(cells: DataFrame) -> DataFrame:
     """(image_id, gw, gh, r, g, b, lum): each grid as flat arrays in reading order (a bounded size)."""
-    packed = cells.groupBy("image_id").agg(
+    values = {c: F.transform("_cells", _field(c)) for c in "rgb"}
+    lum = F.transform("_cells", lambda c: raster.luma(c["r"], c["g"], c["b"]))
+    return _packed(cells).select("image_id", "gw", "gh", *[v.alias(c) for c, v in values.items()], lum.alias("lum"))
+
+
+def _packed(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("image_id").agg(
         (F.max("x") + 1).alias("gw"), (F.max("y") + 1).alias("gh"),
         F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("_cells"),
     )
-    values = {c: F.transform("_cells", _field(c)) for c in "rgb"}
-    lum = F.transform("_cells", lambda c: raster.luma(c["r"], c["g"], c["b"]))
-    return packed.select("image_id", "gw", "gh", *[v.alias(c) for c, v in values.items()], lum.alias("lum"))
 
 
 def _field(name: str):
@@ -65,6 +68,11 @@ def score_regions(regions: DataFrame, arrays: DataFrame, fine: DataFrame | None
     return _scored(write_down(judged, "inner"))
 
 
+def _judged(regions: DataFrame, judging: DataFrame) -> DataFrame:
+    """One row per region of whole grids, scored on the grids of ``judging``; sampling is the same on either table."""
+    return _scored(write_down(judged_rectangles(smallest_rectangles(grids.region_corners(regions)), judging), "judged"))
+
+
 def _scored(judged: DataFrame) -> DataFrame:
     frac = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("gw") * F.col("gh"))
     score = confidence_score(F.col("fill"), F.least(F.col("frac"), F.lit(1.0)), F.col("contrasts"), F.col("purity"))
@@ -105,6 +113,38 @@ def detect_documents(cells: DataFrame, tolerance: float = 28, fine: DataFrame |
     All masks of all images are evaluated together, the paper-colour pass only for images whose best
     region so far is not sure. Boxes are as fine as the grid that judges them.
     """
+    place = F.transform("_cells", lambda c: c["y"] * F.col("gw") + c["x"])
+    gaps = F.exists("_cells", lambda c: c["r"].isNull() | c["g"].isNull() | c["b"].isNull())
+    whole = (F.col("gw") > 0) & (F.col("gh") > 0) & ~gaps & (place == F.sequence(F.lit(0), F.col("gw") * F.col("gh") - 1))
+    # images without an id only keep their size
+    packed = _packed(cells).withColumn("whole", F.coalesce(F.col("image_id").isNull() | whole, F.lit(False)))
+    packed = write_down(packed.select("image_id", "gw", "gh", "whole", *[F.transform("_cells", _field(c)).alias(c) for c in "rgb"]), "packed")
+    found = detect_in_grids(packed.filter("whole").drop("whole"), tolerance, fine)
+    odd = packed.filter("not whole").select("image_id")
+    if odd.isEmpty():
+        return found
+    return found.unionByName(_detect_in_cells(cells.join(odd, "image_id", "left_semi"), tolerance, fine))
+
+
+def detect_in_grids(arrays: DataFrame, tolerance: float = 28, fine: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`detect_documents` for whole grids, one row per image (image_id, gw, gh, r, g, b as flat arrays)."""
+    sizes = arrays.select("image_id", "gw", "gh")
+    big = arrays.filter("image_id is not null").filter(F.least("gw", "gh") >= SMALLEST_SIDE)
+    blurred = write_down(grids.blur(spread(big), 3), "blurred")
+    judging = big if fine is None else fine
+    masks = grids.candidate_masks(blurred, tolerance).unionByName(grids.fill_holes(grids.edge_lines(blurred)))
+    regions = write_down(grids.clean_regions(masks), "regions")
+    scored = write_down(_judged(regions, judging), "scored")
+    first = write_down(_best(scored), "first")
+    unsure = first.filter(F.col("conf") < SURE).select("image_id", "mask", "rank")
+    seen = regions.join(unsure, list(KEY), "left_semi")
+    paper = grids.clean_regions(grids.paper_masks(blurred, seen, PAPER_GAPS))
+    again = _judged(paper, judging)
+    return _reported(sizes, first.unionByName(again), blurred.select("image_id", "bg_r", "bg_g", "bg_b"), fine)
+
+
+def _detect_in_cells(cells: DataFrame, tolerance: float, fine: DataFrame | None) -> DataFrame:
+    """The rows of :func:`detect_documents` for grids with cells missing or repeated."""
     sizes = raster.grid_sizes(cells)
     big = write_down(sizes.filter(F.least("gw", "gh") >= SMALLEST_SIDE), "sizes")
     # a side below 16 cells is too small to look at
@@ -121,7 +161,12 @@ def detect_documents(cells: DataFrame, tolerance: float = 28, fine: DataFrame |
     seen = regions.join(unsure, list(KEY), "left_semi")
     paper = paper_masks(blurred.join(unsure.select("image_id"), "image_id", "left_semi"), seen)
     again = score_regions(clean_regions(paper, big), arrays, fine)
-    best = _best(first.unionByName(again))
+    return _reported(sizes, first.unionByName(again), raster.border_colors(blurred), fine)
+
+
+def _reported(sizes: DataFrame, scored: DataFrame, colors: DataFrame, fine: DataFrame | None) -> DataFrame:
+    """The best region of each image as :func:`detect_documents` gives it."""
+    best = _best(scored)
     degrees = F.degrees("ang")
 
     def flag(condition: Column, name: str) -> Column:
@@ -144,7 +189,7 @@ def detect_documents(cells: DataFrame, tolerance: float = 28, fine: DataFrame |
         sizes = sizes.drop("gw", "gh").join(fine.select("image_id", "gw", "gh"), "image_id", "left")
     return (
         sizes.join(best.drop("gw", "gh"), "image_id", "left")
-        .join(raster.border_colors(blurred), "image_id", "left")
+        .join(colors, "image_id", "left")
         .select(
             "image_id",
             F.when(found, frame_quad(F.col("ang"), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))).alias("quad"),

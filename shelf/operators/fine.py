@@ -6,14 +6,17 @@ are sampled in the task. The same steps as columns, for grids that are small, ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from shelf.operators.raster import LUMA
+from shelf.session import spread
+
 SIDES = ("x0", "x1", "y0", "y1")
-LUMA = np.array([0.299, 0.587, 0.114])
 #: A photo's fine grid has at most so many cells a side.
 FINE_SIDE = 1600
 
@@ -24,7 +27,7 @@ class Photo:
     def __init__(self, width: int, height: int, r: np.ndarray, g: np.ndarray, b: np.ndarray):
         self.w, self.h = width, height
         self.rgb = np.stack([np.asarray(c, np.float64) for c in (r, g, b)], 1).reshape(height, width, 3)
-        self.lum = self.rgb @ LUMA
+        self.lum = self.rgb[..., 0] * LUMA[0] + self.rgb[..., 1] * LUMA[1] + self.rgb[..., 2] * LUMA[2]
         short = min(width, height)
         self.reach = max(6, round(0.025 * short))
         self.depth = max(3.0, 0.012 * short)
@@ -56,6 +59,11 @@ class Frame:
         return fx * self.cos - fy * self.sin, fx * self.sin + fy * self.cos
 
 
+def _shares(low: float, high: float, n: int) -> np.ndarray:
+    """As in ``edges``: points that fall between two cells go to the same one."""
+    return np.array([low + (high - low) * i / (n - 1) for i in range(n)])
+
+
 def _inward(side: str) -> float:
     return 1.0 if side[1] == "0" else -1.0
 
@@ -67,7 +75,7 @@ def snapped(photo: Photo, frame: Frame) -> Frame:
     offsets = np.arange(-photo.reach, photo.reach + 1)
     for side in SIDES:
         low, high = out.span(side)
-        along = low + np.linspace(0.15, 0.85, 25)[:, None] * (high - low)
+        along = low + _shares(0.15, 0.85, 25)[:, None] * (high - low)
         lines = photo.lum[photo.cells(*out.image(side, out.sides[side] + offsets[None], along))]
         near = np.pad(lines, ((0, 0), (2, 2)), mode="edge")
         smooth = sum(near[:, k : k + lines.shape[1]] for k in range(5)) / 5
@@ -93,7 +101,7 @@ def contrasts(photo: Photo, frame: Frame) -> tuple[list[float], int, float]:
     """Colour gaps of the sides inside the photo, how many sides are not, and how far the sides' inner strips share a colour.
     Of a strip the brighter half counts, which leaves print out."""
     gaps, touching, inner_colours = [], 0, []
-    shares = np.linspace(0.15, 0.85, 25)
+    shares = np.array([i / 24 * 0.7 + 0.15 for i in range(25)])
     for side in SIDES:
         low, high = frame.span(side)
         means, outside = [], 0.0
@@ -115,14 +123,15 @@ def contrasts(photo: Photo, frame: Frame) -> tuple[list[float], int, float]:
 
 def has_inner_edge(photo: Photo, frame: Frame) -> bool:
     """A side on the photo's border has a long weak edge, nearly parallel, further in: the rectangle is too large."""
-    tilts = np.tan(np.radians(-6.0 + 1.5 * np.arange(9)))
+    tilts = np.array([math.tan(math.radians(-6.0 + 1.5 * i)) for i in range(9)])
     for side in SIDES:
         length = frame.length(side)
-        places = np.arange(0.04 * length, 0.65 * length, 2.0)
+        first = 0.04 * length
+        places = first + np.arange(max(0, math.ceil((0.65 * length - first) / 2.0))) * 2.0
         if not len(places) or not near_border(photo, frame, side):
             continue
         low, high = frame.span(side)
-        along = low + np.linspace(0.12, 0.88, 40) * (high - low)
+        along = low + _shares(0.12, 0.88, 40) * (high - low)
         lean = (along - 0.5 * (low + high))[None] * tilts[:, None]
         across = frame.sides[side] + _inward(side) * places[None, :, None] + lean[:, None, :]
         before, after = (photo.lum[photo.cells(*frame.image(side, across + d, np.broadcast_to(along, across.shape)))] for d in (-2.0, 2.0))
@@ -156,4 +165,4 @@ def judged_rectangles(rects: DataFrame, fine: DataFrame) -> DataFrame:
                     out.append((key, gw, gh, rect["mask"], rect["rank"], rect["ang"], rect["fill"], *(frame.sides[s] for s in SIDES), gaps, touching, purity, has_inner_edge(photo, frame)))
             yield pd.DataFrame(out, columns=["image_id", "gw", "gh", "mask", "rank", "ang", "fill", *SIDES, "contrasts", "touching", "purity", "inner"])
 
-    return fine.select("image_id", "gw", "gh", "r", "g", "b").join(lists, "image_id").mapInPandas(judge, f"image_id {kind}, gw int, gh int, {_JUDGED}")
+    return spread(fine.select("image_id", "gw", "gh", "r", "g", "b"), "image_id").join(lists, "image_id").mapInPandas(judge, f"image_id {kind}, gw int, gh int, {_JUDGED}")

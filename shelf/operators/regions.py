@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shelf.session import spread, write_down
+from shelf.session import write_down
 
 KEY = ("image_id", "mask", "rank")
 _ROW = 1 << 20  # larger than any grid side
@@ -39,23 +41,26 @@ def label_regions(masks: DataFrame, by: tuple[str, ...] = KEY, column: str = "on
     )
 
 
+def joined_labels(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest that edges lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[one], label[two])
+        lower = label.copy()
+        for end in (label[one], label[two], one, two):
+            np.minimum.at(lower, end, low)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def _join_runs(by: list[str]):
     """Component (its smallest run) of every run of one image, by lowering labels along edges."""
 
     def join(edges: pd.DataFrame) -> pd.DataFrame:
         runs, ends = np.unique(edges[["run", "a"]].to_numpy(), return_inverse=True)
-        one, two = ends.reshape(-1, 2).T
-        label = np.arange(len(runs))
-        while True:
-            low = np.minimum(label[one], label[two])
-            lower = label.copy()
-            for end in (label[one], label[two], one, two):
-                np.minimum.at(lower, end, low)
-            lower = lower[lower]
-            if (lower == label).all():
-                break
-            label = lower
-        found = pd.DataFrame({"_run": runs, "component": runs[label]})
+        found = pd.DataFrame({"_run": runs, "component": runs[joined_labels(len(runs), *ends.reshape(-1, 2).T)]})
         for i, name in enumerate(by):
             found.insert(i, name, edges[name].iloc[0])
         return found
@@ -101,27 +106,38 @@ def min_area_rectangles(regions: DataFrame, by: tuple[str, ...] = KEY) -> DataFr
         ])
         return spans.select(*by, F.inline(corners)).select(*by, "x", "y")
 
-    corners = ends("y", "x").unionByName(ends("x", "y")).distinct()
-    turn = F.radians((F.col("step") - 90) / 2.0)
-    xr = F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn)
-    yr = -F.col("x") * F.sin(turn) + F.col("y") * F.cos(turn)
-    frames = (
-        spread(corners, *by).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(180))))
-        .groupBy(*by, "step")
-        .agg(F.min(xr).alias("x0"), F.max(xr).alias("x1"), F.min(yr).alias("y0"), F.max(yr).alias("y1"))
-    )
-    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    frame = F.struct("step", "x0", "x1", "y0", "y1")
-    chosen = frames.groupBy(*by).agg(
-        F.min_by(frame, F.struct(size.alias("size"), "step")).alias("best"),
-        F.max(F.when(F.col("step") == 90, frame)).alias("upright"),
-    )
-    tiny = F.abs(F.col("best.step") - 90) < 2
+    corners = ends("y", "x").unionByName(ends("x", "y")).groupBy(*by).agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
     areas = regions.groupBy(*by).agg(F.count("*").alias("area"), F.max("gw").alias("gw"), F.max("gh").alias("gh"))
-    rect = chosen.withColumn("r", F.when(tiny, F.col("upright")).otherwise(F.col("best"))).join(areas, by)
-    full = F.greatest(F.lit(1.0), (F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0")))
-    return rect.filter(F.col("area") >= 0.02 * F.col("gw") * F.col("gh")).select(
-        *by, "area", F.radians((F.col("r.step") - 90) / 2.0).alias("ang"), "r.x0", "r.x1", "r.y0", "r.y1",
+    return smallest_rectangles(areas.join(corners, by), by)
+
+
+def smallest_rectangles(bounded: DataFrame, by: tuple[str, ...] | list[str] = KEY) -> DataFrame:
+    """The rectangles of :func:`min_area_rectangles` for regions (``by``…, area, gw, gh) with the corners ``xs``, ``ys`` that
+    bound them, one row each. All turns of a region are tried in its row."""
+    by = list(by)
+    turn = F.radians((F.col("id") - 90) / 2.0)
+    table = bounded.sparkSession.range(181).select("id", F.cos(turn), F.sin(turn)).collect()  # one row per turn
+    cos, sin = (np.array([row[k] for row in sorted(table)])[:, None] for k in (1, 2))
+    kept = bounded.filter(F.col("area") >= 0.02 * F.col("gw") * F.col("gh")).select(*by, "area", "gw", "gh", "xs", "ys")
+    schema = T.StructType([kept.schema[c] for c in (*by, "area", "gw", "gh")] + [T.StructField("step", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in ("x0", "x1", "y0", "y1")])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for xs, ys in zip(batch["xs"], batch["ys"]):
+                x, y = np.asarray(xs, np.float64), np.asarray(ys, np.float64)
+                xr, yr = x * cos + y * sin, -x * sin + y * cos
+                x0, x1, y0, y1 = xr.min(1), xr.max(1), yr.min(1), yr.max(1)
+                step = int(((x1 - x0) * (y1 - y0)).argmin())
+                step = 90 if abs(step - 90) < 2 else step
+                found.append((step, x0[step], x1[step], y0[step], y1[step]))
+            frames = pd.DataFrame(found, columns=["step", "x0", "x1", "y0", "y1"], index=batch.index)
+            yield pd.concat([batch.drop(columns=["xs", "ys"]), frames], axis=1)
+
+    rect = kept.mapInPandas(fit, schema)
+    full = F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return rect.select(
+        *by, "area", F.radians((F.col("step") - 90) / 2.0).alias("ang"), "x0", "x1", "y0", "y1",
         F.least(F.lit(1.0), F.col("area") / full).alias("fill"), "gw", "gh",
     )
 

@@ -284,3 +284,21 @@ def test_best_rectangle_like_brute_force(spark):
             for l in range(5) for rr in range(l + 1, 6) for t in range(6) for b in range(t + 1, 7)
         }
         assert r.gain == pytest.approx(max(sums.values())) and sums[(r.l, r.t, r.r, r.b)] == pytest.approx(r.gain)
+
+
+def test_whole_grids_are_as_cells(spark):
+    """Grids in one row each give what their cells give; a grid with cells missing goes by its cells."""
+    rng = random.Random(5)
+    rows = [
+        (k, y, x, *(float(rng.randrange(30) + (180 if 4 + k <= x < 15 + k and 3 <= y < 15 else 60)) for _ in "rgb"))
+        for k in range(3) for y in range(18) for x in range(22) if (k, x) != (2, 21) or y < 17
+    ]
+    cells = spark.createDataFrame(rows, "image_id long, y int, x int, r double, g double, b double")
+    found = detect.detect_documents(cells).orderBy("image_id").collect()
+    slow = detect._detect_in_cells(cells, 28, None).orderBy("image_id").collect()
+    assert [r.method for r in found] == [r.method for r in slow]
+    for a, b in zip(found, slow):
+        assert a.warnings == b.warnings and a.bg == b.bg and a.conf == pytest.approx(b.conf) and a.angle == b.angle
+        assert (a.quad is None) == (b.quad is None) and (a.quad is None or [p for q in a.quad for p in q] == pytest.approx([p for q in b.quad for p in q]))
+    whole = detect.detect_in_grids(detect.image_arrays(cells.filter("image_id < 2"))).orderBy("image_id").collect()
+    assert whole == found[:2]
