@@ -10,10 +10,10 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, functions as F
 
 from shelf.operators import crop, locate
-from shelf.operators.detect import detect_documents
+from shelf.operators.detect import detect_in_grids
 from shelf.operators.fine import FINE_SIDE
 from shelf.operators.numbering import first_per
-from shelf.session import write_down
+from shelf.session import spread, write_down
 from shelf.sources import images as I
 
 # Cells along the long side of the grid that sheets are found on, and of the model's, whose cells are of 6 x 6.
@@ -24,8 +24,8 @@ MODEL_SIDE, MODEL_CELL, MODEL_SMALLEST = 96, 6, 8
 def detected(grids: DataFrame, tolerance: float = 28) -> DataFrame:
     """(full_path, w, h, quad, det_conf, angle, warnings) of written two-grid rows; quads in pixels of the upright photo."""
     fine = grids.select(F.col("full_path").alias("image_id"), *[F.col(f"fine_{c}").alias(c) for c in ("gw", "gh", "r", "g", "b")])
-    cells = I.to_cells(grids).withColumnRenamed("full_path", "image_id")
-    found = detect_documents(cells, tolerance, fine)
+    coarse = grids.select(F.col("full_path").alias("image_id"), "gw", "gh", "r", "g", "b")
+    found = detect_in_grids(coarse, tolerance, fine)
     scale = F.least(F.lit(1.0), F.lit(float(FINE_SIDE)) / F.greatest("w", "h"))
     quad = F.transform("quad", lambda p: F.struct((p["x"] / scale).alias("x"), (p["y"] / scale).alias("y")))
     sized = found.withColumnRenamed("image_id", "full_path").drop("gw", "gh").join(grids.select("full_path", "w", "h"), "full_path")
@@ -61,7 +61,7 @@ def auto_crop(
     says why it went no further. ``examples`` are taught boxes, ``model`` a trained locator; both may be missing.
     """
     photos = first_per(images, ["full_path"], ["width", "height"])
-    grids = write_down(I.two_grids(photos, FOUND_SIDE, FINE_SIDE), "photo-grids")
+    grids = write_down(I.two_grids(spread(photos, "full_path"), FOUND_SIDE, FINE_SIDE), "photo-grids")
     decoded = grids.filter("reason is null")
     found = write_down(detected(decoded, tolerance), "detected")
     if model is None:
