@@ -66,7 +66,7 @@ select node as vec_id, min(other) as component from reach group by node)"""),
 def d4(t):
     images = _images(t)
     hashes = S.distinct_hashes(images, "vec_id")
-    placed = images.join(S.components(hashes, S.similar_pairs(hashes.select("h"), CLOSE)), "h")
+    placed = images.join(S.components(hashes, S.linked(hashes.select("h"), CLOSE)), "h")
     lowest = placed.groupBy("component").agg(F.min("vec_id").alias("lowest"))
     return placed.join(lowest, "component").select("vec_id", F.col("lowest").alias("component"))
 

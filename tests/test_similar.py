@@ -183,3 +183,34 @@ def test_hubs_spread(spark):
     low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
     sizes = graph._with_least(both, low, ["u"], graph.HUB_DEGREE).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 3 * sorted(r["count"] for r in sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("block", (1000, 60, 50))
+def test_hashes_block_by_block(spark, monkeypatch, block):
+    """In one block, in an odd and in an even number of them: the pairs of brute force, few links, and the nearest in order."""
+    rng = random.Random(block)
+    values = sorted({sum(1 << k for k in rng.sample(range(64), 32)) - (1 << 63) for _ in range(230)})
+    brute = {(a, b): ((a ^ b) % (1 << 64)).bit_count() for i, a in enumerate(values) for b in values[i + 1 :]}
+    brute = {k: d for k, d in brute.items() if d <= 22}
+    monkeypatch.setattr(S, "BLOCK", block)
+    assert S.blocks_pay(len(values), 22)
+    hashes = spark.createDataFrame([(v,) for v in values], "h long")
+    assert sorted(((r.a, r.b), r.distance) for r in S.similar_pairs(hashes, 22).collect()) == sorted(brute.items())
+    root = {v: v for v in values}
+    for _ in values:
+        for a, b in brute:
+            root[a] = root[b] = min(root[a], root[b])
+    links = S.linked(hashes, 22)
+    assert {r.h: r.component for r in S.components(hashes, links).collect()} == root
+    assert links.count() <= len(values) * (-(-len(values) // block) + 1)
+    images = spark.createDataFrame([(f"/p{(7 * i) % 229}_{i}", v) for i, v in enumerate(values)] + [("/copy", values[0])], "full_path string, h long")
+    path = {v: p for p, v in ((r.full_path, r.h) for r in images.collect()) if p != "/copy"}
+    path[values[0]] = min(path[values[0]], "/copy")
+    near = {}
+    for (a, b), d in brute.items():
+        for one, two in ((a, b), (b, a)):
+            near[one] = min(near.get(one, (99, "")), (d, path[two]))
+    expected = {path[v]: (o, d) for v, (d, o) in near.items() if v != values[0]}
+    found = {r.full_path: (r.other, r.distance) for r in S.nearest_duplicate(images, 22, ["full_path"]).collect()}
+    assert found.pop("/copy")[1] == 0 and found.pop("/p0_0")[1] == 0
+    assert found == expected
