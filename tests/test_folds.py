@@ -51,6 +51,18 @@ def test_exact_median(spark):
     assert quantiles.exact_medians(even, ["v"], rows=10)[1]["v"] == pytest.approx(quantiles.exact_medians(even, ["v"])[1]["v"], rel=1e-12)
 
 
+def test_medians_take_few_passes(spark):
+    """Passes depend on neither the number of columns nor on how values are spread; NaN is the largest value, as in the built-in median."""
+    v = F.xxhash64("id") / 1e15
+    df = spark.range(3001).select(v.alias("a"), F.exp(v / 100).alias("b"), (-v).alias("c"), F.when(F.col("id") % 3 == 0, float("nan")).otherwise(v).alias("d"))
+    spark.sparkContext.setJobGroup("medians", "medians")
+    got = quantiles.exact_medians(df, list("abcd"), rows=100)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("medians"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == quantiles.exact_medians(df, list("abcd"))
+    assert jobs <= 20
+
+
 def test_pointers(spark):
     rows = [(i, i - 1, None) for i in range(1, 60)] + [(0, None, True), (100, None, False), (101, 100, None)]
     got = {r.id: r.value for r in resolve(spark.createDataFrame(rows, "id bigint, next bigint, value boolean")).collect()}
