@@ -27,20 +27,16 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(joint != 0, shared / joint).otherwise(0.0)
 
 
-def _xs(quad: Column) -> Column:
-    return F.transform(quad, lambda p: p["x"])
-
-
-def _ys(quad: Column) -> Column:
-    return F.transform(quad, lambda p: p["y"])
+def _each(quad: Column, c: str) -> list[Column]:
+    return [F.get(quad, i)[c] for i in range(4)]
 
 
 def quad_bounds(quad: Column, w: Column, h: Column) -> Column:
     """Whole-pixel box around a quad, inside the photo and at least one pixel wide and high."""
-    l = F.greatest(F.lit(0), F.floor(F.array_min(_xs(quad)))).cast("int")
-    t = F.greatest(F.lit(0), F.floor(F.array_min(_ys(quad)))).cast("int")
-    r = F.least(w, F.ceil(F.array_max(_xs(quad)))).cast("int")
-    b = F.least(h, F.ceil(F.array_max(_ys(quad)))).cast("int")
+    l = F.greatest(F.lit(0), F.floor(F.least(*_each(quad, "x")))).cast("int")
+    t = F.greatest(F.lit(0), F.floor(F.least(*_each(quad, "y")))).cast("int")
+    r = F.least(w, F.ceil(F.greatest(*_each(quad, "x")))).cast("int")
+    b = F.least(h, F.ceil(F.greatest(*_each(quad, "y")))).cast("int")
     return F.when(quad.isNotNull(), box(l, t, F.greatest(l + 1, r), F.greatest(t + 1, b)))
 
 
@@ -48,39 +44,58 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
 
 
-def expand_quad(quad: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
-    """The quad grown outward along its own sides, in pixels; negative values shrink it."""
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _steps(quad: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """For each corner struct(x, y, ux, uy, vx, vy): where it is, and how far the margins move it along the upper and the left side."""
     q = [quad[i] for i in range(4)]
+    sides = {"u": q[1], "v": q[3]}
+
+    def units(size: Column) -> Column:
+        length = {n: F.when(size[n] == 0, 1.0).otherwise(size[n]) for n in sides}
+        return F.struct(*[((to[c] - q[0][c]) / length[n]).alias(n + c) for n, to in sides.items() for c in "xy"])
+
+    def corners(unit: Column) -> Column:
+        def step(p: Column, along_u: Column, along_v: Column) -> Column:
+            along = {"u": along_u, "v": along_v}
+            return F.struct(
+                *[p[c].cast("double").alias(c) for c in "xy"], *[(unit[n + c] * along[n]).alias(n + c) for n in sides for c in "xy"]
+            )
 
-    def unit(to: Column) -> tuple[Column, Column]:
-        size = _distance(q[0], to)
-        size = F.when(size == 0, 1.0).otherwise(size)
-        return (to["x"] - q[0]["x"]) / size, (to["y"] - q[0]["y"]) / size
+        return F.array(step(q[0], -left, -top), step(q[1], right, -top), step(q[2], right, bottom), step(q[3], -left, bottom))
 
-    ux, uy = unit(q[1])
-    vx, vy = unit(q[3])
+    return _once(_once(F.struct(*[_distance(q[0], to).alias(n) for n, to in sides.items()]), units), corners)
 
-    def moved(p: Column, along_u: Column, along_v: Column) -> Column:
-        return point(p["x"] + ux * along_u + vx * along_v, p["y"] + uy * along_u + vy * along_v)
 
-    return F.array(
-        moved(q[0], -left, -top), moved(q[1], right, -top), moved(q[2], right, bottom), moved(q[3], -left, bottom)
-    )
+def _moved(corner: Column, share: Column, c: str) -> Column:
+    return corner[c] + corner["u" + c] * share + corner["v" + c] * share
+
+
+def expand_quad(quad: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """The quad grown outward along its own sides, in pixels; negative values shrink it."""
+    whole = F.lit(1.0)
+    return F.transform(_steps(quad, left, top, right, bottom), lambda p: point(_moved(p, whole, "x"), _moved(p, whole, "y")))
 
 
 def fit_inside(quad: Column, w: Column, h: Column, margins: Column) -> Column:
     """The quad with margins struct(l, t, r, b), halved up to six times until all corners lie in the
-    photo within a pixel; the plain quad when even that does not fit."""
-    grown = F.transform(
-        F.sequence(F.lit(0), F.lit(6)),
-        lambda k: expand_quad(quad, *[margins[s] * F.pow(F.lit(0.5), k) for s in "ltrb"]),
-    )
-    fitting = F.filter(
-        grown,
-        lambda q: (F.array_min(_xs(q)) >= -1) & (F.array_min(_ys(q)) >= -1)
-        & (F.array_max(_xs(q)) <= w + 1) & (F.array_max(_ys(q)) <= h + 1),
-    )
-    return F.coalesce(F.get(fitting, 0), quad)
+    photo within a pixel; the plain quad when even that does not fit. How far whole margins move the corners is found once;
+    halving by powers of two is exact."""
+
+    def grown(corners: Column) -> Column:
+        def fits(share: Column) -> Column:
+            xs, ys = ([_moved(corners[i], share, c) for i in range(4)] for c in "xy")
+            return (F.least(*xs) >= -1) & (F.least(*ys) >= -1) & (F.greatest(*xs) <= w + 1) & (F.greatest(*ys) <= h + 1)
+
+        share = F.get(F.filter(F.array(*[F.lit(0.5**k) for k in range(7)]), fits), 0)
+        return F.transform(F.array(share), lambda s: F.when(
+            s.isNotNull(), F.transform(corners, lambda p: point(_moved(p, s, "x"), _moved(p, s, "y")))
+        ))[0]
+
+    return F.coalesce(_once(_steps(quad, *[margins[s] for s in "ltrb"]), grown), quad)
 
 
 def out_size(plan_box: Column, quad: Column, deskew: Column) -> Column:

@@ -5,6 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from shelf.functions import geometry as G
 from shelf.operators import crop
 
 
@@ -49,3 +50,40 @@ def test_offsets_need_two(spark):
     assert crop.learned_offsets(spark.createDataFrame([row], names)) is None
     got = crop.learned_offsets(spark.createDataFrame([row, row], names))
     assert got == pytest.approx({"l": 0.04, "t": 0.0, "r": 0.10, "b": 0.0})
+
+
+def test_fitting_finds_sides_once(spark, capsys):
+    """Quads with margins as one by one; the lengths of a quad's sides are found once, not for each corner and halving."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        w, h = rng.randrange(100, 400), rng.randrange(100, 400)
+        turn = lambda: rng.uniform(-6, 6)
+        quad = [(20 + turn(), 20 + turn()), (w - 20 + turn(), 20 + turn()), (w - 20 + turn(), h - 20 + turn()), (20 + turn(), h - 20 + turn())]
+        if i % 20 == 0:
+            quad[3] = quad[1] = quad[0]
+        rows.append((i, w, h, None if i == 7 else quad, *[rng.choice([-5.0, 3.0, 18.0, 90.0, 900.0, 4000.0]) for _ in range(4)]))
+    df = spark.createDataFrame(rows, "id int, w int, h int, quad array<struct<x: double, y: double>>, l double, t double, r double, b double")
+    fitted = df.select("id", G.fit_inside(F.col("quad"), F.col("w"), F.col("h"), G.box(*[F.col(s) for s in "ltrb"])).alias("q"))
+    for r, (_, w, h, quad, *margins) in zip(fitted.orderBy("id").collect(), rows):
+        if quad is None:
+            assert r.q is None
+            continue
+
+        def unit(to):
+            size = math.dist(quad[0], to) or 1.0
+            return [(to[c] - quad[0][c]) / size for c in (0, 1)]
+
+        u, v = unit(quad[1]), unit(quad[3])
+        want = quad
+        for k in range(7):
+            left, top, right, bottom = (m * 0.5**k for m in margins)
+            ways = [(-left, -top), (right, -top), (right, bottom), (-left, bottom)]
+            grown = [[p[c] + u[c] * a + v[c] * b for c in (0, 1)] for p, (a, b) in zip(quad, ways)]
+            if all(-1 <= x <= w + 1 and -1 <= y <= h + 1 for x, y in grown):
+                want = grown
+                break
+        assert [x for p in r.q for x in (p.x, p.y)] == pytest.approx([x for p in want for x in p], abs=1e-9)
+    capsys.readouterr()
+    fitted.explain()
+    assert 1 <= capsys.readouterr().out.lower().count("sqrt") <= 4
