@@ -48,13 +48,7 @@ def d2(t):
 
 @query("D3_similar_pairs", with_views("bits_v", ctes=PAIRS, body="select a, b, distance from pair"))
 def d3(t):
-    images = _images(t)
-    ids = images.groupBy("h").agg(F.min("vec_id").alias("id"))
-    pairs = S.similar_pairs(ids.select("h"), CLOSE)
-    named = pairs.join(ids.select(F.col("h").alias("a"), F.col("id").alias("x")), "a").join(
-        ids.select(F.col("h").alias("b"), F.col("id").alias("y")), "b"
-    )
-    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    return S.image_pairs(_images(t), CLOSE, "vec_id")
 
 
 @query(

@@ -221,3 +221,17 @@ def test_images_without_hash_meet_nothing(spark):
     assert [(r.a, r.b, r.distance) for r in S.similar_pairs(hashes, 20).collect()] == [(0, 1, 1)]
     images = spark.createDataFrame([("/a", 0), ("/b", 1), ("/c", None), ("/d", None)], "full_path string, h long")
     assert {r.full_path: r.other for r in S.nearest_duplicate(images.filter("full_path <> '/d'"), 20, ["full_path"]).collect()} == {"/a": "/b", "/b": "/a"}
+
+
+@pytest.mark.parametrize("most", (None, 3))
+def test_pairs_of_all_images(spark, most):
+    """Copies of one hash are pairs, and each of them meets what is similar, in one piece or in many."""
+    images = [(k, h) for k, h in enumerate([0] * 10 + [1] * 4 + [3, -1, -1] + [0x0F0F0F0F0F0F0F0F] * 2 + [None, None])] + [(3, 0), (15, -1), (None, 0)]
+    brute = sorted(
+        (a, b, far(g & MASK, h & MASK)) for a, g in images for b, h in images
+        if None not in (a, b, g, h) and a < b and far(g & MASK, h & MASK) <= 20
+    )
+    df = spark.createDataFrame(images, "image long, h long")
+    found = S.image_pairs(df, 20, "image", most)
+    assert sorted(tuple(r) for r in found.collect()) == brute and len(brute) > 100
+    assert found.columns == ["a", "b", "distance"] and S.image_pairs(df.filter("false"), 20, "image", most).collect() == []
