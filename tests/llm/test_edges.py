@@ -259,6 +259,84 @@ def test_texts_of_templates(spark):
     assert [found[30 + k] for k in range(5)] == ["One page\nmany times"] * 5
 
 
+def test_slots_are_gaps_of_nested_classes(spark):
+    """A text is the template's only in the slot where most pages have it, and stories in elements with names of their own are found by their slot."""
+    word = lambda k: "abcdefghijkl"[k] * 5
+    rows, want = [], {}
+    for k in range(10):
+        # in the last two the line of the foot is a sentence of the story too
+        own = "<p>More to follow.</p>" if k >= 8 else ""
+        foot = "<div id='zf'><p>More to follow.</p></div>" if k < 9 else "<div id='zf'></div>"
+        rows.append((k, f"http://s.example/{k}", f"<body><div id='zc'><h1>Title {k}</h1><p>Story {k}.</p>{own}<p>It ends {k}.</p></div>{foot}</body>"))
+        want[k] = "\n".join([f"Title {k}", f"Story {k}.", *["More to follow."] * (k >= 8), f"It ends {k}."])
+        # each story has an element of its own name; what all pages have is a list of others, and a notice in the story
+        body = f"<div id='z-{word(k)}'><h1>Title {k}</h1><p>{word(k)} went home and stayed there for {k} days.</p><p>Write to us.</p></div>"
+        rows.append((100 + k, f"http://o.example/{k}", f"<body><div id='zh'><b>Daily</b></div>{body}<div id='zo'><p>Also {k}</p></div><div id='zf'><b>End</b></div></body>"))
+        want[100 + k] = f"Title {k}\n{word(k)} went home and stayed there for {k} days."
+        # one page has another element around the story
+        name = "zc" if k else "zx"
+        rows.append((200 + k, f"http://x.example/{k}", f"<body><div id='za'><p>Now {k}</p></div><hr><h2>News</h2><div id='{name}'><p>A long story, number {k}.</p></div><h2>End</h2></body>"))
+        want[200 + k] = f"A long story, number {k}."
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in page_templates.extract_main_text(df).collect()}
+    assert found == want
+
+
+def test_classes_are_ordered_and_nested():
+    """Tokens that change places leave their class; a class that overlaps a larger one is none."""
+    import json
+
+    def nested(pages, **vectors):
+        often = json.dumps([{"token": x, "n_pages": n, "signature": v} for v, (n, tokens) in vectors.items() for x in tokens])
+        ranges, classes = {}, page_templates.Classes(often)
+        for page in pages:
+            numbers, gaps = classes.facts(tuple(classes.number[x] for x in ["", *page, "."]))
+            for t, row in zip(numbers.tolist(), gaps.tolist()):
+                for c, gap in enumerate(row):
+                    if gap >= 0:
+                        lo, hi = ranges.get((t, c), (gap, gap))
+                        ranges[t, c] = min(lo, gap), max(hi, gap)
+        valid = page_templates.valid_classes(often, json.dumps([{"x": str(t), "y": str(c), "lo": a, "hi": b} for (t, c), (a, b) in ranges.items()]))
+        return page_templates.Nested(often, valid)
+
+    whole, xy, vw = (9, ["", "/a", "/b", "/c", "=d", "."]), (8, ["/x", "=y"]), (7, ["/v", "=w"])
+    found = nested([["/a", "/x", "=y", "/x", "=y", "/b", "/c", "=d"], ["/a", "/c", "/b", "=d"]], one=whole, more=xy)
+    assert found.ranks == {0: [0, 1, 4, 5], 1: [0, 1]} and found.texts == {"=d", "=y"} and found.around("1:1") == {"1:1", "0:2"}
+    order = tuple(found.classes.number[x] for x in ["", "/a", "/x", "=y", "/b", "/c", "=d", "."])
+    assert [found.slot(x) for x in found.classes.gaps(order)] == ["", "0:1", "0:2", "1:1", "0:2", "0:2", "0:2", "0:3", ""]
+    # x and y on two sides of b; in different gaps; not alternating
+    for pages in ([["/a", "/x", "/b", "=y", "/c", "=d"]], [["/x", "=y", "/a", "/b", "/c", "=d"], ["/a", "/x", "=y", "/b", "/c", "=d"]], [["/x", "/x", "=y", "=y", "/a", "/b", "/c", "=d"]]):
+        found = nested(pages, one=whole, more=xy)
+        assert found.ranks == {0: [0, 1, 2, 3, 4, 5]} and found.texts == {"=d"}
+    # classes that only some pages have: one in the other, side by side, and never on one page
+    some = ["/a", "/b", "/c", "=d"]
+    found = nested([["/x", "/v", "=w", "=y", *some], some, ["/v", "=w", *some], ["/x", "=y", *some]], one=whole, more=xy, few=vw)
+    assert found.outer == {0: {}, 1: {0: 1}, 2: {0: 1, 1: 1}}
+    found = nested([["/x", "=y", *some], ["/v", "=w", *some]], one=whole, more=xy, few=vw)
+    assert found.outer == {0: {}, 1: {0: 1}, 2: {0: 1}}
+    found = nested([["/x", "/v", "=y", "=w", *some]], one=whole, more=xy, few=vw)
+    assert found.outer == {0: {}, 1: {0: 1}}
+
+
+def test_notices_around_elements_of_some_pages(spark):
+    """A notice stays the template's where other parts of it are missing on some pages; articles in elements of their own names are found."""
+    word = lambda k: "abcdefghijkl"[k] * 5
+    rows, want = [], {}
+    for k in range(10):
+        by, tags = ("<div id='zb'></div>", "<div id='zt'></div>") if k < 7 else ("", "")
+        notice = "<p>Closed on Monday.</p>" if k not in (0, 1) else ""
+        rows.append((k, f"http://n.example/{k}", f"<body><div id='zc'>{by}<p>Story {k}.</p>{notice}<p>It ends {k}.</p>{tags}</div></body>"))
+        want[k] = f"Story {k}.\nIt ends {k}."
+        story = f"<div id='z-{word(k)}'><article><h1>Title {k}</h1><p>{word(k)} went home.</p></article><p>Read {k}</p></div>"
+        rows.append((100 + k, f"http://a.example/{k}", f"<body>{story}<div id='zo'><p>Also {k}</p></div></body>"))
+        want[100 + k] = f"Title {k}\n{word(k)} went home."
+    rows += [(200 + k, f"http://t.example/{k}", f"<q-{word(k)}>Only this</q-{word(k)}><{word(k)}><p>Is the same {k}</p></{word(k)}>") for k in range(4)]
+    want |= {200 + k: f"Is the same {k}" for k in range(4)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in page_templates.extract_main_text(df).collect()}
+    assert found == want
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")
